@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .minhash_dedup import near_duplicates
+from .substring_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +52,21 @@ FROM g LEFT JOIN c ON c.id = g.doc_id""",
 )
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, threshold=0.8)
+
+
+@query(
+    "op5_substring_dedup",
+    rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACE}) AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS gram FROM w, unnest(range(1, len(ws) - 18)) AS t(i)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY gram ORDER BY doc_id, i) AS n FROM g) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM late, range(0, 20) AS r(j)),
+each AS (SELECT doc_id, i, ws[i] AS word, gone.i IS NOT NULL AS out
+         FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) LEFT JOIN gone USING (doc_id, i)),
+kept AS (SELECT doc_id, count(*) FILTER (out) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT out) AS text FROM each GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)""",
+)
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=20)
+    return out.select("doc_id", "removal.n_words", "removal.n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -109,3 +109,24 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[i], starts[i]+1, ... counts[i] of them, one after another."""
     ends = np.cumsum(counts)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
+def span_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of words[starts[i]:ends[i]], for spans of any lengths."""
+    n = len(words)
+    total = np.empty(n + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(words * powers(_R, n)[:n], out=total[1:])
+    return mix((total[ends] - total[starts]) * powers(_R_INV, n)[starts] + (ends - starts).astype(np.uint64), 5)
+
+
+def sliding_least(x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each m consecutive values, the smallest and its index, the leftmost among equals."""
+    value, at, have = x, np.arange(len(x)), 1
+    while have < m:
+        step = min(have, m - have)
+        right = value[step:] < value[:-step]
+        value = np.where(right, value[step:], value[:-step])
+        at = np.where(right, at[step:], at[:-step])
+        have += step
+    return value, at
