@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import keyed
+from .rows import keyed, unpacked
 from .scratch import n_tasks, stored
 from .words import ALNUM_WORDS, Words, mix, pieces, ranges, windows
 
@@ -142,7 +142,7 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([*(b.column(x).take(at) for x in ("id", "sub", "item")), pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["id", "sub", "item", "s", "n"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, text: bool = True) -> DataFrame:
     """docs with struct `leak`: n_words, n_hit, spans (hit word ranges, merged), items (ids, sorted as strings).
 
     Words are runs of ASCII letters and digits and of characters beyond ASCII, after lower-casing A-Z.
@@ -151,7 +151,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     Null texts and items without words have no words and no windows. An item without id hits words but
     is not listed; items that repeat an id are one item with both texts' windows. Rows of docs that
     repeat an id are judged each by its own text. Other columns come back unchanged, whatever their
-    names, but for one named leak, which is replaced. No items or no documents: nothing is hit.
+    names, but for one named leak, which is replaced; text=False leaves the text out. No items or no documents: nothing is hit.
     """
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
@@ -189,4 +189,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
         F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
     ).alias("leak")
     found = found.select("id", "sub", leak)
-    return rows.select("id", "sub", "row").join(found, ["id", "sub"]).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "leak"], "leak")
+    return unpacked(rows.join(found, ["id", "sub"]), docs, text_col, "leak", text=text)

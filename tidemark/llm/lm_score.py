@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rows import packed, unpacked
 from .scratch import n_tasks
 from .words import Words, ranges, windows
 
@@ -44,7 +45,7 @@ def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
 
 
-def scored(docs: DataFrame, *, text_col: str = "text", order: int = 2, backoff: float = 0.4, least: int = 2) -> DataFrame:
+def scored(docs: DataFrame, *, text_col: str = "text", order: int = 2, backoff: float = 0.4, least: int = 2, text: bool = True) -> DataFrame:
     """docs with struct `lm`: n_words, log_score (sum over words of the natural log), mean_log_score.
 
     Words are runs of bytes other than ASCII white space, lower-cased (A-Z). A word's score is
@@ -53,15 +54,16 @@ def scored(docs: DataFrame, *, text_col: str = "text", order: int = 2, backoff:
     given up; with no context it is c(word) / words of all documents.
 
     Null, empty or wordless texts have n_words 0, log_score 0 and mean_log_score null. All rows and
-    other columns come back as they are, whatever their names, but for one named lm, which is replaced.
+    other columns come back as they are, whatever their names, but for one named lm, which is replaced;
+    text=False leaves the text out.
     """
     spark = docs.sparkSession
-    wide = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    wide, back = packed(docs, text_col), ["row", *["text"] * text]
     size = wide.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(n_tasks(spark), size // BLOCK)
-    wide = wide.withColumn("block", F.pmod(F.xxhash64("text", F.xxhash64(F.to_json("row"))), F.lit(blocks)).cast("int"))
+    wide = wide.withColumn("block", F.pmod(F.xxhash64("text", "row"), F.lit(blocks)).cast("int"))
 
-    def explode(key, table: pa.Table) -> pa.Table:
+    def explode(key, table):
         out = []
         for n, (keys, which, _) in enumerate(_ngrams(_text(table), order)[1], 1):
             counts, cut = np.bincount(which, minlength=len(keys)).astype(np.uint32), _edges(keys, blocks)
@@ -79,9 +81,9 @@ def scored(docs: DataFrame, *, text_col: str = "text", order: int = 2, backoff:
         cut = np.cumsum([len(x) for x in keys])[:-1]
         return pa.table({**{c: table.column(c) for c in ("block", "n", "bucket")}, "totals": pa.array([x.tobytes() for x in np.split(total, cut)], pa.binary()), "all": pa.array([int(counts.sum())] * len(keys), pa.int64())})
 
-    def score(texts: pa.Table, totals: pa.Table) -> pa.Table:
+    def score(texts, totals):
         if not len(texts):
-            return pa.table({"row": texts.column("row"), "lm": pa.array([], kind)})
+            return pa.table({**{c: texts.column(c) for c in back}, "lm": pa.array([], kind)})
         words, grams = _ngrams(_text(texts), order)
         totals = totals.sort_by([("n", "ascending"), ("bucket", "ascending")]).select(["n", "totals", "all"]).to_pylist()
         c = [np.frombuffer(b"".join(x["totals"] for x in totals if x["n"] == n), np.int64)[grams[n - 1][1]] for n in range(1, order + 1)]
@@ -100,11 +102,11 @@ def scored(docs: DataFrame, *, text_col: str = "text", order: int = 2, backoff:
         each = np.add.reduceat(np.r_[value + given_up * np.log(backoff), 0], words.offsets[:-1])
         each = np.where(words.counts > 0, each, 0.0)
         mean = pa.array(each / np.maximum(words.counts, 1), mask=words.counts == 0)
-        return pa.table({"row": texts.column("row"), "lm": pa.StructArray.from_arrays([pa.array(words.counts.astype(np.int64)), pa.array(each), mean], ["n_words", "log_score", "mean_log_score"])})
+        return pa.table({**{c: texts.column(c) for c in back}, "lm": pa.StructArray.from_arrays([pa.array(words.counts.astype(np.int64)), pa.array(each), mean], ["n_words", "log_score", "mean_log_score"])})
 
     kind = pa.struct([("n_words", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64())])
     sent = wide.select("block", "text").groupBy("block").applyInArrow(explode, "block int, n int, bucket int, keys binary, counts binary")
     answers = sent.groupBy("n", "bucket").applyInArrow(count, "block int, n int, bucket int, totals binary, all long")
-    schema = T.StructType([wide.schema["row"], *T.StructType.fromDDL("lm struct<n_words: bigint, log_score: double, mean_log_score: double>").fields])
+    schema = T.StructType([*wide.select(*back).schema.fields, *T.StructType.fromDDL("lm struct<n_words: bigint, log_score: double, mean_log_score: double>").fields])
     out = wide.select("block", "row", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
-    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "lm"], "lm")
+    return unpacked(out, docs, text_col, "lm", text=text)

@@ -108,7 +108,7 @@ def pack(parts: DataFrame, *, length_col: str = "length", capacity: int = CAPACI
             seen[values] += many
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("length"), pa.array(np.full(len(n), task, np.int32)), pa.array(rank)], ["row", "length", "task", "rank"])
 
-    wide = parts.select(F.struct(*[parts[c] for c in parts.columns]).alias("row"), F.col(length_col).cast("long").alias("length"))
+    wide = parts.select(F.struct(*[F.col(f"`{c}`") for c in parts.columns]).alias("row"), F.col(length_col).cast("long").alias("length"))
     wide = wide.withColumn("length", F.when(F.col("length").between(1, capacity), F.col("length")).otherwise(F.raise_error(F.lit(f"a length is not from 1 to {capacity}"))))
     kept = stored(wide.mapInArrow(ranked, T.StructType([*wide.schema.fields, *T.StructType.fromDDL("task int, rank long").fields])))
     tallies = kept.groupBy("task", "length").agg(F.count("*").alias("n"))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .rows import packed, unpacked
 from .words import ALNUM_WORDS, LOWER, SPACE_WORDS, Words, mix, pieces, windows
 
 #: Labelled rows that training reads at most (those whose ids hash lowest), features with a weight in a head.
@@ -175,13 +176,14 @@ def _scores(head: Head, bits: np.ndarray, h: np.ndarray, doc: np.ndarray, n: int
     return _sigmoid(head.a * score + head.b)
 
 
-def judged(docs: DataFrame, model: Model, *, text_col: str = "text", good: float = GOOD, toxic: float = TOXIC) -> DataFrame:
+def judged(docs: DataFrame, model: Model, *, text_col: str = "text", good: float = GOOD, toxic: float = TOXIC, text: bool = True) -> DataFrame:
     """docs with struct `rules`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, p_good, p_toxic, kept.
 
     Words are runs of bytes other than ASCII white space. base_failed: under 10 words, or over 20 % of
     words in 5-word windows that the text has more than once. kept: not base_failed, p_good >= good and
     p_toxic < toxic. Null and empty texts have no words, so they fail. All rows and other columns come
-    back as they are, whatever their names, but for one named rules, which is replaced.
+    back as they are, whatever their names, but for one named rules, which is replaced; text=False
+    leaves the text out.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -198,9 +200,10 @@ def judged(docs: DataFrame, model: Model, *, text_col: str = "text", good: float
             h, doc = features(b.column("text"))
             p_good, p_toxic = (_scores(head, bits, h, doc, len(b)) for head, bits in heads)
             cols = [*(pa.array(x[c]) for c in names), pa.array(failed), pa.array(p_good), pa.array(p_toxic), pa.array(~failed & (p_good >= good) & (p_toxic < toxic))]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.StructArray.from_arrays(cols, [*names, "base_failed", "p_good", "p_toxic", "kept"])], ["row", "rules"])
+            verdict = pa.StructArray.from_arrays(cols, [*names, "base_failed", "p_good", "p_toxic", "kept"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in back), verdict], [*back, "rules"])
 
-    wide = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    wide, back = packed(docs, text_col), ["row", *["text"] * text]
     rules = "struct<" + ", ".join(f"{c}: bigint" for c in names) + ", base_failed: boolean, p_good: double, p_toxic: double, kept: boolean>"
-    out = wide.mapInArrow(run, T.StructType([wide.schema["row"], *T.StructType.fromDDL(f"rules {rules}").fields]))
-    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c != "rules"], "rules")
+    out = wide.mapInArrow(run, T.StructType([*wide.select(*back).schema.fields, *T.StructType.fromDDL(f"rules {rules}").fields]))
+    return unpacked(out, docs, text_col, "rules", text=text)

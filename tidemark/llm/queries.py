@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
+from .lm_score import scored
 from .minhash_dedup import near_duplicates
 from .packing import pack, token_pieces
 from .quality import judged, train
 from .scratch import shared_dir
 from .substring_dedup import remove_repeats
 from .token_files import checksums, read_tokens, write_tokens
+from .url_filter import filtered, host_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,7 +106,7 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
 )
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
+    out = contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10, text=False)
     items = F.sha2(F.array_join("leak.items", ","), 256).alias("items_sha256")
     return out.select("doc_id", "leak.n_words", "leak.n_hit", F.size("leak.items").cast("long").alias("n_items"), items, (F.col("leak.n_hit") > 0).alias("contaminated"))
 
@@ -124,4 +126,59 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judged(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "rules.*")
+    return judged(docs, train(docs, table(spark, sf_dir, "labels")), text=False).select("doc_id", "rules.*")
+
+
+@query(
+    "op2_lm_score",
+    rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_SPACE}) AS ws FROM documents),
+t AS (SELECT doc_id, i, ws[i] AS b, CASE WHEN i > 1 THEN ws[i - 1] END AS a FROM w, unnest(range(1, len(ws) + 1)) AS r(i)),
+c1 AS (SELECT b AS word, count(*) AS n FROM t GROUP BY 1),
+c2 AS (SELECT a, b, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2),
+s AS (SELECT t.doc_id, CASE WHEN t.a IS NULL THEN ln(u.n / (SELECT count(*) FROM t)::DOUBLE)
+        WHEN c2.n IS NOT NULL THEN ln(c2.n / v.n::DOUBLE) ELSE ln(u.n / (SELECT count(*) FROM t)::DOUBLE) + ln(0.4::DOUBLE) END AS x
+      FROM t JOIN c1 u ON u.word = t.b LEFT JOIN c1 v ON v.word = t.a LEFT JOIN c2 ON c2.a = t.a AND c2.b = t.b),
+d AS (SELECT doc_id, count(*) AS n, sum(x) AS x FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, round(coalesce(x, 0), 5) AS log_score, round(x / n, 7) AS mean_log_score
+FROM w LEFT JOIN d USING (doc_id)""",
+)
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scored(table(spark, sf_dir, "documents").select("doc_id", "text"), order=2, backoff=0.4, least=2, text=False)
+    return out.select("doc_id", "lm.n_words", F.round("lm.log_score", 5).alias("log_score"), F.round("lm.mean_log_score", 7).alias("mean_log_score"))
+
+
+#: Dated lists by rule: of each host, whether and when it is listed follows from its length.
+_LISTS = """
+SELECT 'hosts' AS list, host AS entry, DATE '2024-01-01' + CAST(length(host) % 9 * 20 AS INT) AS date, 'add' AS action FROM hosts WHERE length(host) % 3 = 0
+UNION ALL SELECT 'hosts', host, DATE '2024-03-01' + CAST(length(host) % 9 * 20 AS INT), 'remove' FROM hosts WHERE length(host) % 3 = 0
+UNION ALL SELECT 'hosts', host, DATE '2024-10-01', 'add' FROM hosts WHERE length(host) % 6 = 0
+UNION ALL SELECT 'sections', concat(host, '/en'), DATE '2024-02-10', 'add' FROM hosts WHERE length(host) % 4 = 1
+UNION ALL SELECT 'sections', concat(host, '/de'), DATE '2024-05-10', 'add' FROM hosts WHERE length(host) % 4 = 2
+UNION ALL SELECT 'domains', 'example.org', DATE '2024-06-01', 'add' UNION ALL SELECT 'domains', 'example.org', DATE '2024-06-20', 'remove'
+UNION ALL SELECT 'spam', 'spam-farm.example.org', DATE '2024-01-01', 'add' UNION ALL SELECT 'spam', 'www.cheap-pills.example.com', DATE '2024-01-15', 'add'
+"""
+_SQL_HOST = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)"
+_SQL_PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1)"
+
+
+@query(
+    "op3_url_filter",
+    rf"""
+WITH c AS (SELECT page_id, lower({_SQL_HOST}) AS host, {_SQL_PATH} AS path, DATE '2024-01-01' + CAST(page_id % 366 AS INT) AS t FROM pages),
+hosts AS (SELECT DISTINCT host FROM c WHERE host <> ''),
+e AS ({_LISTS}),
+x AS (SELECT *, lead(date) OVER (PARTITION BY list, entry ORDER BY date) AS until FROM e),
+hit AS (SELECT DISTINCT page_id, list, entry FROM c JOIN x ON t >= x.date AND (until IS NULL OR t < until) AND action = 'add'
+        AND (host = entry OR ends_with(host, '.' || entry)
+             OR (contains(entry, '/') AND (host || rtrim(path, '/') = entry OR starts_with(host || path, entry || '/'))))),
+h AS (SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, string_agg(DISTINCT entry, ',' ORDER BY entry) AS entries FROM hit GROUP BY page_id)
+SELECT page_id, h.page_id IS NOT NULL AS blocked, coalesce(lists, '') AS lists, coalesce(entries, '') AS entries FROM c LEFT JOIN h USING (page_id)""",
+)
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    entries = spark.sql(_LISTS.replace("FROM hosts", "FROM {hosts}"), hosts=hosts)
+    captures = pages.withColumn("fetched", F.expr("DATE '2024-01-01' + CAST(page_id % 366 AS INT)"))
+    out = filtered(captures, entries, id_col="page_id")
+    return out.select("page_id", "blocked", F.array_join("lists", ",").alias("lists"), F.array_join("entries", ",").alias("entries"))

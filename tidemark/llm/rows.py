@@ -8,9 +8,23 @@ from pyspark.sql import functions as F
 _LAST = 2**63 - 1
 
 
+def packed(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row, text): a struct of all columns but the text, so that names can't clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def unpacked(out: DataFrame, docs: DataFrame, text_col: str, *added: str, text: bool = True) -> DataFrame:
+    """Columns of docs, in their order, from (row, text), then the added ones; text: with the text column."""
+    own = [(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in added and (text or c != text_col)]
+    return out.select(*own, *added)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, sub, text, row): id orders documents, null last; sub is 0, or a hash of the text where an id repeats."""
-    row = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    """(id, sub, text, row): id orders documents, null last; sub is 0, or a hash of the text where an id repeats.
+
+    row holds all columns but the text.
+    """
+    row = packed(docs, text_col).withColumn("id", F.coalesce(F.col("row").getField(id_col).cast("long"), F.lit(_LAST)))
     repeated = row.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("again"))
     if repeated.isEmpty():
         return row.withColumn("sub", F.lit(0).cast("long"))

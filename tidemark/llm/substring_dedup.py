@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import keyed
+from .rows import keyed, unpacked
 from .scratch import n_tasks, stored
 from .words import Words, pieces, ranges, sliding_least, span_hashes, windows
 
@@ -207,7 +207,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for b in pieces(batches):
             texts, report = [], []
             for text, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True):
-                words = text.split()
+                words = (text or b"").split()
                 if spans:
                     drop = np.zeros(len(words) + 1, np.int64)
                     np.add.at(drop, [x["s"] for x in spans], 1)
@@ -224,4 +224,4 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(report, kind)], ["row", "text", "removal"])
 
     out = ready.mapInArrow(run, _schema(kept, ready.schema["row"]))
-    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c != "removal"], "removal")
+    return unpacked(out, docs, text_col, "removal")

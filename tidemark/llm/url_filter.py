@@ -59,6 +59,7 @@ def filtered(captures: DataFrame, entries: DataFrame, *, id_col: str, url_col: s
     keys = c.select("id", "url", "t", F.explode(keys_of(F.col("url"))).alias("entry"))
     active = keys.join(intervals(entries), "entry").where("t >= valid_from and (valid_to is null or t < valid_to)")
     hits = active.groupBy("id", "url", "t").agg(F.array_sort(F.collect_set("list")).alias("lists"), F.array_sort(F.collect_set("entry")).alias("entries"))
-    same = c.id.eqNullSafe(hits.id) & c.url.eqNullSafe(hits.url) & c.t.eqNullSafe(hits.t)
+    same = F.expr("c.id <=> h.id and c.url <=> h.url and c.t <=> h.t")
     none = F.array().cast("array<string>")
-    return c.join(hits, same, "left").select(c.id.alias(id_col), hits.lists.isNotNull().alias("blocked"), F.coalesce(hits.lists, none).alias("lists"), F.coalesce(hits.entries, none).alias("entries"))
+    out = c.alias("c").join(hits.alias("h"), same, "left")
+    return out.select(F.col("c.id").alias(id_col), F.col("h.lists").isNotNull().alias("blocked"), F.coalesce("h.lists", none).alias("lists"), F.coalesce("h.entries", none).alias("entries"))
