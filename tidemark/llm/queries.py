@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import repaired
 from .decontaminate import contaminated
 from .lm_score import scored
 from .minhash_dedup import near_duplicates
@@ -16,6 +17,7 @@ from .scratch import shared_dir
 from .substring_dedup import remove_repeats
 from .token_files import checksums, read_tokens, write_tokens
 from .url_filter import filtered, host_of
+from .warc_zip import read_index, read_records, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -182,3 +184,14 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = pages.withColumn("fetched", F.expr("DATE '2024-01-01' + CAST(page_id % 366 AS INT)"))
     out = filtered(captures, entries, id_col="page_id")
     return out.select("page_id", "blocked", F.array_join("lists", ",").alias("lists"), F.array_join("entries", ",").alias("entries"))
+
+
+@query("op7_warc_zip")
+def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = write_archives(table(spark, sf_dir, "pages"), shared_dir(spark), least_bytes=0)
+    return read_records(read_index(archives), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_chat_roles")
+def op8_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(table(spark, sf_dir, "conversations"))
