@@ -20,7 +20,7 @@ from .scratch import n_tasks, stored
 from .words import pieces
 
 #: Costs of merging a turn into the one before, inserting an empty turn, giving a turn another role.
-MERGE, INSERT, RELABEL = 2, 3, 4
+MERGE, INSERT, RELABEL = 2, 3, 6
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 _NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
