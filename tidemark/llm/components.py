@@ -1,4 +1,4 @@
-"""Connected components of links held in a DataFrame, by alternating star contractions."""
+"""Connected components of links held in a DataFrame, by contraction."""
 
 from __future__ import annotations
 
@@ -8,27 +8,33 @@ from pyspark.sql import functions as F
 from .scratch import stored
 
 
-def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """(a, b) links of any orderable type -> (id, label) for each id in a link; label is its component's smallest id.
 
-    Large-star and small-star steps take turns until the links are stars around each component's
-    smallest id. Each step is a grouped minimum joined back to the links, so a hub is never gathered;
-    each round is stored. Nulls, self links and repeats are ignored; no links give no rows.
+    In each round an id goes to the foremost of itself and its neighbours (in order of the ids at first,
+    then of a hash that changes with the round, so that no chain is slow) and links are renamed
+    accordingly, until none is left. A round is a grouped minimum joined to both ends of the links, so a
+    hub is never gathered; each round is stored. Nulls, self links and repeats are ignored; no links
+    give no rows.
     """
-    e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a != b")
-    e = stored(e.distinct())
-    seen = None
-    for _ in range(rounds):
-        mark = e.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-        if mark == seen or not mark["n"]:
-            break
-        seen = mark
-        both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("s"))
-        e = stored(small.select(F.col("s.v").alias("u"), F.col("s.m").alias("v")).where("u != v").distinct())
-    else:
-        raise RuntimeError(f"links did not settle in {rounds} rounds")
-    return e.select(F.col("u").alias("id"), F.col("v").alias("label")).union(e.select("v", "v").distinct())
+    e = links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("a is not null and b is not null and a != b")
+    e, steps = stored(e), []
+    while not e.isEmpty():
+        if len(steps) == rounds:
+            raise RuntimeError(f"links did not settle in {rounds} rounds")
+        order = [F.xxhash64("v", F.lit(len(steps)))] * bool(steps)
+        low = e.union(e.select("v", "u")).groupBy("u").agg(F.min(F.struct(*order, "v")).alias("v"))
+        own = F.struct(*[F.xxhash64("u", F.lit(len(steps)))] * bool(steps), F.col("u").alias("v"))
+        low = stored(low.select("u", F.when(own < F.col("v"), F.col("u")).otherwise(F.col("v.v")).alias("m")))
+        steps.append(low)
+        left = e.join(low, "u").select(F.col("m").alias("v"), F.col("v").alias("u"))
+        e = stored(left.join(low, "u").select(F.col("m").alias("u"), "v").where("u != v"))
+    if not steps:
+        return e.select(F.col("u").alias("id"), F.col("v").alias("label"))
+    out = steps[0].select(F.col("u").alias("id"), F.col("m").alias("label"))
+    for step in steps[1:]:
+        out = out.join(step, F.col("label") == F.col("u"), "left").select("id", F.coalesce("m", "label").alias("label"))
+    if len(steps) == 1:
+        return out
+    least = out.groupBy("label").agg(F.min("id").alias("least"))
+    return out.join(least, "label").select("id", F.col("least").alias("label"))

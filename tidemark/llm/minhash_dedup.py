@@ -143,19 +143,19 @@ class Sets:
         return out
 
 
-def spanning_links(items: Sketches | Sets, n: int) -> list[tuple[int, int]]:
-    """Links that connect what all links among n items connect; pairs known to be connected aren't compared."""
-    links, left = [], np.arange(n)
+def connected_parts(items: Sketches | Sets, n: int) -> np.ndarray:
+    """A number for each of n items: that of the connected part it is in. Pairs known to be connected aren't compared."""
+    part, left, number = np.zeros(n, np.int64), np.arange(n), 0
     while len(left):
         queue, left = [int(left[0])], left[1:]
+        part[queue[0]] = number
         while queue and len(left):
-            q = queue.pop()
-            near = items.near(q, left)
-            new = left[near].tolist()
-            links += [(q, x) for x in new]
-            queue += new
+            near = items.near(queue.pop(), left)
+            part[left[near]] = number
+            queue += left[near].tolist()
             left = left[~near]
-    return links
+        number += 1
+    return part
 
 
 def cross_links(items: Sketches | Sets, left: np.ndarray, right: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
@@ -173,55 +173,61 @@ def cross_links(items: Sketches | Sets, left: np.ndarray, right: np.ndarray, par
 
 
 LINKS = "a binary, b binary"
-
-
-def _links_of(keys: list[bytes], links: list[tuple[int, int]]) -> pa.Table:
-    return pa.table({"a": pa.array([keys[i] for i, _ in links], pa.binary()), "b": pa.array([keys[j] for _, j in links], pa.binary())})
+HEADS = "grp binary, big boolean, key binary, head binary"
 
 
 def links_within(members: DataFrame, kind: type, limit: int, threshold: float) -> DataFrame:
-    """members: (grp, key, payload), stored. Links that connect, in each group, what all similar pairs there connect."""
-    sizes = members.groupBy("grp").agg(F.count("*").alias("n"))
-    large = stored(sizes.where(F.col("n") > limit))
-    n_large = large.count()
+    """members: (grp, key, payload), stored. Links that connect, in each group, what all similar pairs there connect.
+
+    A group is cut into chunks of about `limit` at most, and each key gets its connected part's smallest
+    key as head; heads of a group that has chunks go through that once more. Keys of such a group that
+    are still apart are compared chunk by chunk.
+    """
+    n = F.col("n")
+    sizes = members.groupBy("grp").agg(F.count("*").alias("n")).where(n > limit)
+    large = stored(sizes)
 
-    def whole(table: pa.Table) -> pa.Table:
+    def heads(table: pa.Table) -> pa.Table:
         keys = table.column("key").to_pylist()
-        return _links_of(keys, spanning_links(kind(table.column("payload").to_pylist(), threshold), len(keys)))
-
-    if not n_large:
-        return members.groupBy("grp").applyInArrow(whole, LINKS)
-    big = members.join(large, "grp")
-    chunk = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / limit)).cast("int").alias("chunk")
-    small = members.join(large, "grp", "left_anti").groupBy("grp").applyInArrow(whole, LINKS)
-    inside = stored(big.withColumn("chunk", chunk).groupBy("grp", "chunk").applyInArrow(whole, LINKS))
-
-    def labelled(links: DataFrame) -> DataFrame:
-        part = connected_components(links).withColumnsRenamed({"id": "key"})
-        return big.join(part, "key", "left").withColumn("label", F.coalesce("label", "key"))
-
-    parts = labelled(inside)
-    heads = parts.groupBy("grp", "label").agg(F.min_by(F.struct("key", "payload"), "key").alias("h"))
-    heads = stored(heads.select("grp", "h.*"))
-    apart = heads.groupBy("grp").agg(F.count("*").alias("n"))
-    between = heads.join(apart, "grp").withColumn("chunk", chunk).groupBy("grp", "chunk").applyInArrow(whole, LINKS)
-    links = stored(inside.union(between))
-
-    parts = stored(labelled(links))
-    count = parts.groupBy("grp", "label").agg(F.count("*").alias("own"))
-    main = count.groupBy("grp").agg(F.max_by("label", F.struct("own", "label")).alias("main"), (F.sum("own") - F.max("own")).alias("rest")).where("rest > 0")
-    open_ = parts.join(main, "grp").withColumn("i", chunk).withColumn("j", F.pmod(F.xxhash64("key", F.lit(1)), F.ceil(F.col("rest") / limit)).cast("int"))
+        part = connected_parts(kind(table.column("payload").to_pylist(), threshold), len(keys))
+        least: dict[int, bytes] = {}
+        for p, k in zip(part.tolist(), keys, strict=True):
+            least[p] = min(least.get(p, k), k)
+        return table.select(["grp", "big", "key"]).append_column("head", pa.array([least[p] for p in part.tolist()], pa.binary()))
+
+    def headed(df: DataFrame) -> DataFrame:
+        """df: (grp, key, payload, n), n null for a group that is one chunk."""
+        chunk = F.coalesce(F.pmod(F.xxhash64("key"), F.ceil(n / limit)), F.lit(0)).cast("int").alias("chunk")
+        return df.select("grp", n.isNotNull().alias("big"), "key", "payload", chunk).groupBy("grp", "chunk").applyInArrow(heads, HEADS.replace("grp binary", f"grp {df.schema['grp'].dataType.simpleString()}"))
+
+    first = stored(headed(members.join(large, "grp", "left")))
+    links = first.where("key != head").select(F.col("key").alias("a"), F.col("head").alias("b"))
+    if large.isEmpty():
+        return links
+    first = first.where("big").select("grp", "key", "head")
+    tops = first.where("key = head").select("grp", "key")
+    count = tops.groupBy("grp").agg(F.count("*").alias("n"))
+    second = stored(headed(members.join(tops, ["grp", "key"]).join(count, "grp")))
+    links = links.union(second.where("key != head").select(F.col("key").alias("a"), F.col("head").alias("b")))
+
+    label = first.join(second.select("grp", F.col("key").alias("head"), F.col("head").alias("label")), ["grp", "head"]).select("grp", "key", "label")
+    count = label.groupBy("grp", "label").agg(F.count("*").alias("own"))
+    main = stored(count.groupBy("grp").agg(F.max_by("label", F.struct("own", "label")).alias("main"), F.sum("own").alias("n"), (F.sum("own") - F.max("own")).alias("rest")).where("rest > 0"))
+    if main.isEmpty():
+        return links
+    i, j = F.pmod(F.xxhash64("key"), F.ceil(n / limit)).cast("int"), F.pmod(F.xxhash64("key", F.lit(1)), F.ceil(F.col("rest") / limit)).cast("int")
+    open_ = stored(members.join(label, ["grp", "key"]).join(main, "grp").withColumn("i", i).withColumn("j", j))
     left = open_.withColumn("j", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("rest") / limit) - 1).cast("int")))).withColumn("side", F.lit(0))
-    right = open_.where("label != main").withColumn("i", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / limit) - 1).cast("int")))).withColumn("side", F.lit(1))
+    right = open_.where("label != main").withColumn("i", F.explode(F.sequence(F.lit(0), (F.ceil(n / limit) - 1).cast("int")))).withColumn("side", F.lit(1))
     tasks = left.select("grp", "i", "j", "key", "payload", "label", "side").union(right.select("grp", "i", "j", "key", "payload", "label", "side"))
 
     def across(table: pa.Table) -> pa.Table:
         keys, side = table.column("key").to_pylist(), table.column("side").to_numpy()
         part = np.unique(np.array([x.hex() for x in table.column("label").to_pylist()]), return_inverse=True)[1]
-        items = kind(table.column("payload").to_pylist(), threshold)
-        return _links_of(keys, cross_links(items, np.flatnonzero(side == 0), np.flatnonzero(side == 1), part))
+        found = cross_links(kind(table.column("payload").to_pylist(), threshold), np.flatnonzero(side == 0), np.flatnonzero(side == 1), part)
+        return pa.table({"a": pa.array([keys[x] for x, _ in found], pa.binary()), "b": pa.array([keys[y] for _, y in found], pa.binary())})
 
-    return small.union(links).union(tasks.groupBy("grp", "i", "j").applyInArrow(across, LINKS))
+    return links.union(tasks.groupBy("grp", "i", "j").applyInArrow(across, LINKS))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, miss: float = 1e-6) -> DataFrame:
