@@ -77,6 +77,6 @@ def masked_fields(x: Column) -> Column:
 
 def short_id(x: Column, prefix: str = "c_", most: int = 96) -> Column:
     """prefix and x, other characters than ASCII letters, digits, '_', ':' and '-' run together as '_'; if too long or empty, 16 digits of its SHA-1."""
-    y = F.trim(F.lit("_"), F.regexp_replace(F.coalesce(x, F.lit("")), "[^A-Za-z0-9_:-]+", "_"))
+    y = F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), "[^A-Za-z0-9_:-]+", "_"), F.lit("_"))
     short = F.concat(F.lit(prefix), y)
     return F.when((F.length(y) > 0) & (F.length(short) <= most), short).otherwise(F.concat(F.lit(prefix), F.substring(F.sha1(F.coalesce(x, F.lit(""))), 1, 16)))

@@ -25,7 +25,7 @@ def with_errors(df: DataFrame, predicted: str, actual: str) -> DataFrame:
 def error_figures(df: DataFrame, keys: Sequence[str], peak: Column, spike: Column) -> DataFrame:
     """n, mae, rmse, mape, peak_rmse and spike_rmse of rows with errors, by keys; a group without peak rows has a null there."""
     return df.where("bias is not null").groupBy(*keys).agg(
-        F.count("*").alias("n"), exact_mean("abs_error").alias("mae"), rmse("bias").alias("rmse"), exact_mean("pct_error", "decimal(28,8)").alias("mape"),
+        F.count("*").alias("n"), exact_mean("abs_error").alias("mae"), rmse("bias").alias("rmse"), exact_mean("pct_error", "decimal(38,12)").alias("mape"),
         rmse(F.when(peak, F.col("bias"))).alias("peak_rmse"), rmse(F.when(spike, F.col("bias"))).alias("spike_rmse"),
     )
 
@@ -39,7 +39,7 @@ def regression_figures(df: DataFrame, keys: Sequence[str], predicted: str, actua
     total = F.sum((a * a).cast("decimal(38,4)")).cast("double") - F.pow(F.sum(a.cast("decimal(18,2)")).cast("double"), 2) / F.count("*")
     return both.groupBy(*keys).agg(
         F.count("*").alias("n"), exact_mean(F.abs(a - p)).alias("mae"), F.sqrt(square / F.count("*")).alias("rmse"),
-        exact_mean(err, "decimal(28,8)").alias("mape"), F.when(total > 0, 1 - square / total).alias("r2"),
+        exact_mean(err, "decimal(38,12)").alias("mape"), F.when(total > 0, 1 - square / total).alias("r2"),
     )
 
 
