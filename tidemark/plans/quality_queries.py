@@ -73,7 +73,7 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "keyword_page",
-    """SELECT c_custkey, c_name, c_mktsegment, (SELECT count(*) FROM customer WHERE c_name ILIKE '%7%' OR c_mktsegment ILIKE '%auto%') AS n_total FROM customer WHERE c_name ILIKE '%7%' OR c_mktsegment ILIKE '%auto%' OR false ORDER BY c_custkey LIMIT 20 OFFSET 40""".replace("c_mktsegment ILIKE '%auto%'", "c_mktsegment ILIKE '%7%'"),
+    """SELECT c_custkey, c_name, c_mktsegment, (SELECT count(*) FROM customer WHERE c_name ILIKE '%7%' OR c_mktsegment ILIKE '%7%') AS n_total FROM customer WHERE c_name ILIKE '%7%' OR c_mktsegment ILIKE '%7%' ORDER BY c_custkey LIMIT 20 OFFSET 40""",
 )
 def keyword_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")

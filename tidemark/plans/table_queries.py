@@ -312,15 +312,15 @@ def hour_floor_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "score_math",
-    """SELECT o_orderkey, round(CASE WHEN l.n <> 0 THEN (o_totalprice - l.total) / l.total * 100 END, 6) AS change, round(greatest(0.05, least(0.95, 1 - o_totalprice / 1000000)), 6) AS confidence, bround(o_totalprice / 1000, 1) AS even
-FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS total FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey""".replace("bround(o_totalprice / 1000, 1)", "round_even(o_totalprice / 1000, 1)"),
+    """SELECT o_orderkey, round(CASE WHEN l.n <> 0 THEN (o_totalprice - l.total) / l.total * 100 END, 6) AS change, round(greatest(0.05, least(0.95, 1 - o_totalprice / 10000 / 100)), 9) AS confidence, round_even(o_totalprice / 1000, 1) AS even
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS total FROM lineitem GROUP BY 1) l ON o_orderkey = l_orderkey""",
 )
 def score_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.risk import confidence
 
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(c.money("l_extendedprice")).cast("double").alias("total"))
     out = table(spark, sf_dir, "orders").join(lines, F.expr("o_orderkey = l_orderkey"), "left")
-    return out.select("o_orderkey", F.round(c.percent_change("o_totalprice", "total"), 6).alias("change"), F.round(confidence(F.col("o_totalprice") / 10000), 6).alias("confidence"), F.bround(F.col("o_totalprice") / 1000, 1).alias("even"))
+    return out.select("o_orderkey", F.round(c.percent_change("o_totalprice", "total"), 6).alias("change"), F.round(confidence(F.col("o_totalprice") / 10000), 9).alias("confidence"), F.bround(F.col("o_totalprice") / 1000, 1).alias("even"))
 
 
 @query("aliased_columns", "SELECT o_orderkey AS id, coalesce(o_totalprice, 0) AS price, o_orderdate AS at FROM orders")

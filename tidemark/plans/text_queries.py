@@ -84,8 +84,8 @@ t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM k GROUP B
 SELECT x.doc_id, sha256(trim(regexp_replace(regexp_replace(coalesce(t.text, ''), '\n{3,}', chr(10) || chr(10), 'g'), '[□■�]{2,}', '', 'g'), ' ' || chr(10))) AS clean_sha256 FROM x LEFT JOIN t USING (doc_id)""",
 )
 def doc_line_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", F.sha2(d.cleaned_lines(F.col("text")), 256).alias("clean_sha256"))
+    cleaned = d.chunked(table(spark, sf_dir, "documents").where("text is not null"), lambda text: [d.cleaned_page(text)])
+    return cleaned.select("doc_id", F.sha2("text", 256).alias("clean_sha256"))
 
 
 @query("line_cleanup_b")
@@ -96,8 +96,8 @@ def line_cleanup_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("doc_chunks")
 def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = table(spark, sf_dir, "documents").select("doc_id", d.cleaned_lines(F.col("text")).alias("text"))
-    return d.chunked(cleaned, d.paragraph_chunks).select("doc_id", "chunk_index", "n_chars", F.sha2("text", 256).alias("sha256"))
+    cut = lambda text: d.paragraph_chunks(d.cleaned_page(text))
+    return d.chunked(table(spark, sf_dir, "documents"), cut).select("doc_id", "chunk_index", "n_chars", F.sha2("text", 256).alias("sha256"))
 
 
 @query("index_build")
