@@ -38,8 +38,10 @@ def intervals(entries: DataFrame) -> DataFrame:
     action is add or remove; others, and rows with a null, are left out. Of several actions on one date
     the removal counts last. Repeated adds don't start a new interval. valid_to is null while active.
     """
+    bare = F.rtrim("entry", F.lit("/"))
+    named = F.concat(F.lower(F.regexp_extract(bare, "^[^/]*", 0)), F.regexp_extract(bare, "/.*$", 0))  # paths keep their case
     known = entries.where(F.col("action").isin("add", "remove"))
-    e = known.select("list", F.lower(F.rtrim("entry", F.lit("/"))).alias("entry"), F.col("date").cast("date").alias("date"), (F.col("action") == "add").alias("on")).dropna()
+    e = known.select("list", named.alias("entry"), F.col("date").cast("date").alias("date"), (F.col("action") == "add").alias("on")).dropna()
     e = e.groupBy("list", "entry", "date").agg(F.min("on").alias("on"))
     w = Window.partitionBy("list", "entry").orderBy("date")
     changes = e.withColumn("was", F.lag("on", 1, False).over(w)).where("on != was")
