@@ -175,3 +175,22 @@ def embedding_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def masked_fields_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = masked_fields(F.create_map(F.lit("api_token"), F.col("event_type"), F.lit("other"), F.col("props")))
     return table(spark, sf_dir, "events").select("event_id", fields.alias("f")).select("event_id", F.col("f")["api_token"].alias("token"), F.col("f")["other"].alias("other"))
+
+
+@query(
+    "post_rerank",
+    f"""WITH {_KEYWORD}, {_VECTOR}, {_HYBRID}, x AS (SELECT h.doc_id, hybrid_score, source = 'src1' AS core, lang = 'es' AS demoted FROM h JOIN documents d ON h.doc_id = d.doc_id)
+SELECT doc_id, round(greatest(0.0, hybrid_score + CASE WHEN core AND NOT demoted THEN 0.08::DOUBLE ELSE 0.0 END - CASE WHEN demoted THEN 0.28::DOUBLE ELSE 0.0 END), 6) AS final_score FROM x""",
+)
+def post_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    found = texts.join(F.broadcast(_hybrid(spark, sf_dir).select("doc_id", F.col("hybrid_score").alias("final_score"))), "doc_id")
+    found = found.withColumn("penalty", F.when(F.col("lang") == "es", 0.28).otherwise(0.0))
+    return r.adjusted(found, F.col("source") == "src1", F.col("lang") == "es").select("doc_id", "final_score")
+
+
+@query("embedding_refresh")
+def embedding_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array(F.lit(0.5)).alias("embedding"), F.when(F.col("doc_id") % 2 == 0, "local_hash").alias("provider"))
+    stale = r.stale(F.col("embedding"), F.col("provider"), F.lit("m"), F.lit("v1"), ("local_hash", "m", "v1"))
+    return r.refreshed(docs, stale, id_col="doc_id", text_col="text", vector_col="embedding", size=64).select("doc_id", "embedding")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import cyclic, is_us_holiday, with_calendar
 from ..functions.columns import clip, exact_mean, percent_change
+from ..functions.predicates import day_or_last
 from ..operators.keys import priority_union, union_keep
 from ..operators.metrics import residual_intervals, time_split
 from ..operators.risk import advice, confidence, data_level, explained, overall, ranked, score, storage_windows, tertile, with_quantiles
@@ -435,3 +438,14 @@ def actuals_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     actuals = events.where("event_id % 2 = 1").groupBy("event_type", hour).agg(F.max_by("value", "event_id").alias("value"))
     out = with_errors(updated(tracking, actuals, ["event_type", "hour_ts"], {"actual": "value"}), "predicted", "actual")
     return out.withColumn("pct_error", F.round("pct_error", 6))
+
+
+@query(
+    "day_or_last",
+    f"""WITH {H}, k AS (SELECT *, bool_or(hour_ts::DATE = DATE '2024-01-29') OVER (PARTITION BY event_type) AS has_day, row_number() OVER (PARTITION BY event_type ORDER BY hour_ts DESC) AS n FROM h WHERE event_type <> 'view' OR hour_ts < TIMESTAMP '2024-01-20')
+SELECT event_type, hour_ts, price FROM k WHERE CASE WHEN has_day THEN hour_ts::DATE = DATE '2024-01-29' ELSE n <= 24 END""",
+)
+def day_or_last_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Views end on the 19th here, so their last rows stand in for the day.
+    hours = _hours(spark, sf_dir).where("event_type <> 'view' or hour_ts < timestamp_ntz'2024-01-20'")
+    return day_or_last(hours, "event_type", "hour_ts", dt.date(2024, 1, 29)).select("event_type", "hour_ts", "price")

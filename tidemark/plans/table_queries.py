@@ -328,3 +328,22 @@ def aliased_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     price, when = c.present(orders, ["price", "da_price"], "totalprice"), c.present(orders, ["datetime"], "date")
     return orders.select(F.col("o_orderkey").alias("id"), F.coalesce(c.first_of(orders, ["missing", price]), F.lit(0.0)).alias("price"), F.col(when).alias("at"))
+
+
+@query("json_safe", """SELECT '{"event_id":' || event_id || ',"value":' || CASE WHEN event_id % 4 = 0 THEN 'null' ELSE (event_id % 4)::DOUBLE::VARCHAR END || ',"day":"' || strftime(ts, '%Y-%m-%d') || '"}' AS json FROM events""")
+def json_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.sinks import json_rows
+
+    value = F.when(F.col("event_id") % 8 == 0, F.lit(float("nan"))).when(F.col("event_id") % 4 == 0, F.lit(float("inf"))).otherwise((F.col("event_id") % 4).cast("double"))
+    return json_rows(table(spark, sf_dir, "events").select("event_id", value.alias("value"), F.to_date("ts").alias("day")))
+
+
+@query("given_filters", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'")
+def given_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import datetime as dt
+
+    from ..functions.predicates import between_days, where_given
+
+    orders = between_days(table(spark, sf_dir, "orders"), "o_orderdate", dt.date(1996, 1, 1), dt.date(1996, 12, 31))
+    wanted = {"status": ("F", F.col("o_orderstatus") == "F"), "customer": (None, F.col("o_custkey") == 1), "priority": ("", F.col("o_orderpriority") == "")}
+    return where_given(orders, wanted).select("o_orderkey", "o_orderstatus")

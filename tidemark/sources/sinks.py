@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import finite
 from ..operators.keys import is_key
 
 
@@ -24,6 +25,12 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def json_rows(df: DataFrame) -> DataFrame:
+    """(json): each row as JSON, NaN and infinities as null, times in ISO form, null fields kept."""
+    safe = [finite(f"`{c}`").alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes]
+    return df.select(F.to_json(F.struct(*safe), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def write_table(df: DataFrame, name: str, mode: str = "append") -> None:
     """Appends to, or replaces ('overwrite'), a catalog table."""
     df.write.mode(mode).format("parquet").saveAsTable(name)
