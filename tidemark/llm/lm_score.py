@@ -17,10 +17,10 @@ from pyspark.sql import types as T
 
 from .rows import packed, unpacked
 from .scratch import n_tasks
-from .words import Words, ranges, windows
+from .words import Words, pieces, ranges, windows
 
 #: Bytes of text in a block, about.
-BLOCK = 8 << 20
+BLOCK = 3 << 20
 
 
 def _ngrams(texts: pa.Array, order: int) -> tuple[Words, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -39,10 +39,19 @@ def _text(table: pa.Table) -> pa.Array:
     return x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks)
 
 
-def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's hashes begin among sorted ones: a bucket is a range of hashes."""
-    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+def _buckets(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that sorted hashes fall into (a bucket is a range of hashes), and where each one's begin, and the end."""
+    found, first = np.unique((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), return_index=True)
+    return found.astype(np.int64), np.r_[first, len(keys)]
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Non-negative integers, their lowest bytes first, then their second ones and so on: the higher ones are mostly zeros, which shuffles compress."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
 def scored(docs: DataFrame, *, text_col: str = "text", order: int = 2, backoff: float = 0.4, least: int = 2, text: bool = True) -> DataFrame:
@@ -59,35 +68,40 @@ def scored(docs: DataFrame, *, text_col: str = "text", order: int = 2, backoff:
     """
     spark = docs.sparkSession
     wide, back = packed(docs, text_col), ["row", *["text"] * text]
-    size = wide.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def sizes(batches):
+        for b in pieces(batches):
+            w = Words(b.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array([len(w.data)]), pa.array([len(w.starts)])], ["bytes", "words"])
+
+    size, every = wide.select("text").mapInArrow(sizes, "bytes long, words long").agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     blocks = max(n_tasks(spark), size // BLOCK)
     wide = wide.withColumn("block", F.pmod(F.xxhash64("text", "row"), F.lit(blocks)).cast("int"))
 
     def explode(key, table):
         out = []
         for n, (keys, which, _) in enumerate(_ngrams(_text(table), order)[1], 1):
-            counts, cut = np.bincount(which, minlength=len(keys)).astype(np.uint32), _edges(keys, blocks)
-            for b in range(blocks):
-                if cut[b] < cut[b + 1] or n == 1:
-                    out.append((n, b, keys[cut[b] : cut[b + 1]].tobytes(), counts[cut[b] : cut[b + 1]].tobytes()))
-        n, b, keys, counts = zip(*out, strict=True)
+            counts, (found, cut) = np.bincount(which, minlength=len(keys)), _buckets(keys, blocks)
+            for i, b in enumerate(found.tolist()):
+                own = slice(cut[i], cut[i + 1])
+                out.append((n, b, _packed(np.diff(keys[own], prepend=np.uint64(0))), _packed(counts[own])))
+        n, b, keys, counts = zip(*out, strict=True) if out else [()] * 4
         return pa.table({"block": pa.array([key[0].as_py()] * len(n), pa.int32()), "n": pa.array(n, pa.int32()), "bucket": pa.array(b, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
+        keys = [np.cumsum(_unpacked(x), dtype=np.uint64) for x in table.column("keys").to_pylist()]
+        counts = np.concatenate([_unpacked(x) for x in table.column("counts").to_pylist()])
         which = np.unique(np.concatenate(keys), return_inverse=True)[1]
-        total = np.bincount(which, counts)[which].astype(np.int64) if len(which) else np.empty(0, np.int64)
+        total = np.bincount(which, counts)[which].astype(np.int64)
         cut = np.cumsum([len(x) for x in keys])[:-1]
-        return pa.table({**{c: table.column(c) for c in ("block", "n", "bucket")}, "totals": pa.array([x.tobytes() for x in np.split(total, cut)], pa.binary()), "all": pa.array([int(counts.sum())] * len(keys), pa.int64())})
+        return pa.table({**{c: table.column(c) for c in ("block", "n", "bucket")}, "totals": pa.array([_packed(x) for x in np.split(total, cut)], pa.binary())})
 
     def score(texts, totals):
         if not len(texts):
             return pa.table({**{c: texts.column(c) for c in back}, "lm": pa.array([], kind)})
         words, grams = _ngrams(_text(texts), order)
-        totals = totals.sort_by([("n", "ascending"), ("bucket", "ascending")]).select(["n", "totals", "all"]).to_pylist()
-        c = [np.frombuffer(b"".join(x["totals"] for x in totals if x["n"] == n), np.int64)[grams[n - 1][1]] for n in range(1, order + 1)]
-        every = sum(x["all"] for x in totals if x["n"] == 1)
+        totals = totals.sort_by([("n", "ascending"), ("bucket", "ascending")]).select(["n", "totals"]).to_pylist()
+        c = [np.concatenate([_unpacked(x["totals"]) for x in totals if x["n"] == n] or [np.empty(0, np.uint64)]).astype(np.int64)[grams[n - 1][1]] for n in range(1, order + 1)]
         value = np.log(c[0] / max(every, 1))
         # A word's longest context, by its place in its document; each shorter one found costs log(backoff).
         place = np.arange(len(value)) - np.repeat(words.offsets[:-1], words.counts)
@@ -105,8 +119,10 @@ def scored(docs: DataFrame, *, text_col: str = "text", order: int = 2, backoff:
         return pa.table({**{c: texts.column(c) for c in back}, "lm": pa.StructArray.from_arrays([pa.array(words.counts.astype(np.int64)), pa.array(each), mean], ["n_words", "log_score", "mean_log_score"])})
 
     kind = pa.struct([("n_words", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64())])
-    sent = wide.select("block", "text").groupBy("block").applyInArrow(explode, "block int, n int, bucket int, keys binary, counts binary")
-    answers = sent.groupBy("n", "bucket").applyInArrow(count, "block int, n int, bucket int, totals binary, all long")
+    # Both groupings have the same columns, so that one shuffle of the texts serves both.
+    dealt = wide.select("block", "row", "text")
+    sent = dealt.groupBy("block").applyInArrow(explode, "block int, n int, bucket int, keys binary, counts binary")
+    answers = sent.groupBy("n", "bucket").applyInArrow(count, "block int, n int, bucket int, totals binary")
     schema = T.StructType([*wide.select(*back).schema.fields, *T.StructType.fromDDL("lm struct<n_words: bigint, log_score: double, mean_log_score: double>").fields])
-    out = wide.select("block", "row", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
+    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
     return unpacked(out, docs, text_col, "lm", text=text)
