@@ -6,7 +6,8 @@ from tidemark.functions.calendar import is_us_holiday, with_calendar
 from tidemark.functions.columns import level
 from tidemark.operators import keys, series
 from tidemark.operators.metrics import residual_intervals
-from tidemark.operators.risk import tertile, with_quantiles
+from tidemark.operators.quantiles import quantiles, with_quantiles
+from tidemark.operators.risk import tertile
 
 
 def at(day, hour=0):
@@ -88,3 +89,21 @@ def test_soft_match_passes_over_empty_conditions(spark):
     rules = spark.createDataFrame([("P", "A", 1), ("P", "B", 2)], "province string, city string, id int")
     city = lambda c: keys.soft_match(rules, ["province"], [F.col("city") == c], F.col("id")).first()["id"]
     assert (city("C"), city("B")) == (1, 2)
+
+
+def test_quantiles_are_numpys(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=301), "b": rng.integers(0, 4, 77).astype(float), None: np.array([5.0]), "skew": np.r_[rng.random(50), 1e12]}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), ("none", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, x double")
+    points = {"p0": 0.0, "p10": 0.1, "p33": 0.33, "p50": 0.5, "p90": 0.9, "p100": 1.0}
+    got = {r["k"]: [r[p] for p in points] for r in quantiles(df, ["k"], "x", points).collect()}
+    assert got.keys() == groups.keys()
+    for k, v in groups.items():
+        assert np.allclose(got[k], np.quantile(v, list(points.values())), rtol=1e-12, atol=0)
+    whole = quantiles(df, [], "x", points).first()
+    assert np.allclose(list(whole), np.quantile(np.concatenate(list(groups.values())), list(points.values())), rtol=1e-12)
+    assert set(quantiles(df.limit(0), [], "x", points).first()) == {None} and quantiles(df.limit(0), ["k"], "x", points).count() == 0
+    assert with_quantiles(df, ["k"], "x", points).where("k = 'none' and p50 is null").count() == 1

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clip, exact_mean, percent_error, rmse
 from .keys import best_per_key
+from .quantiles import quantiles
 
 #: Fixed values of the rules.
 DRIFT = {"least_samples": 24, "times_baseline": 1.2, "most_rmse": 80.0}
@@ -45,10 +46,13 @@ def regression_figures(df: DataFrame, keys: Sequence[str], predicted: str, actua
 
 def error_memory(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Bias of past forecasts by keys (null keys are a group): sample_count, mae, rmse, mean, median, over and under counts."""
-    return df.where("bias is not null").groupBy(*keys).agg(
+    known = df.where("bias is not null")
+    figures = known.groupBy(*keys).agg(
         F.count("*").alias("sample_count"), exact_mean("abs_error").alias("mae"), rmse("bias").alias("rmse"), exact_mean("bias").alias("bias_mean"),
-        F.percentile("bias", 0.5).alias("bias_median"), F.count(F.when(F.col("bias") < 0, 1)).alias("over_count"), F.count(F.when(F.col("bias") > 0, 1)).alias("under_count"),
+        F.count(F.when(F.col("bias") < 0, 1)).alias("over_count"), F.count(F.when(F.col("bias") > 0, 1)).alias("under_count"),
     )
+    medians = quantiles(known, keys, "bias", {"bias_median": 0.5}).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    return figures.join(medians, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).drop(*[f"_k_{k}" for k in keys])
 
 
 def tiered_lookup(rows: DataFrame, memory: DataFrame, tiers: Sequence[Sequence[str]], value: str, least_samples: int = 10, name: str = "found") -> DataFrame:
@@ -77,11 +81,11 @@ def bias_corrected(rows: DataFrame, price: str, bias: str, most: float = 10.0) -
 
 def residual_intervals(forecast: DataFrame, residuals: DataFrame, key: Sequence[str], price: str, residual: str = "residual") -> DataFrame:
     """Adds lower and upper: price plus the P10 and P90 of past residuals of the row's key, of all residuals where the key has none."""
-    own = residuals.groupBy(*key).agg(F.percentile(residual, F.array(F.lit(0.1), F.lit(0.9))).alias("_own"))
-    whole = residuals.agg(F.percentile(residual, F.array(F.lit(0.1), F.lit(0.9))).alias("_all"))
+    own = quantiles(residuals, key, residual, {"_p10": 0.1, "_p90": 0.9})
+    whole = quantiles(residuals, [], residual, {"_all10": 0.1, "_all90": 0.9})
     joined = forecast.join(own, list(key), "left").join(F.broadcast(whole), F.lit(True), "left")
-    q = F.coalesce("_own", "_all")
-    return joined.withColumns({"lower": F.col(price) + q[0], "upper": F.col(price) + q[1]}).drop("_own", "_all")
+    bounds = {"lower": F.col(price) + F.coalesce("_p10", "_all10"), "upper": F.col(price) + F.coalesce("_p90", "_all90")}
+    return joined.withColumns(bounds).drop("_p10", "_p90", "_all10", "_all90")
 
 
 def weighted_bias(memory: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import exact_mean
+from .quantiles import quantiles
 
 
 def _unpivot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -38,9 +39,8 @@ def described(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, n, mean, std, least, p25, p50, p75, most) of numeric columns; exact quantiles. Nulls and NaN don't count."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.nanvl(F.col(c).cast("double"), F.lit(None)).alias("x")) for c in columns])
     long = df.select(F.explode(pairs).alias("p")).select("p.*")
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy("column_name").agg(F.count("x").alias("n"), exact_mean("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), q.alias("q"), F.max("x").alias("most"))
-    return out.select("column_name", "n", "mean", "std", "least", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "most")
+    out = long.groupBy("column_name").agg(F.count("x").alias("n"), exact_mean("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("most"))
+    return out.join(quantiles(long, ["column_name"], "x", {"p25": 0.25, "p50": 0.5, "p75": 0.75}), "column_name", "left")
 
 
 def coverage(df: DataFrame, name: str, ts: str, columns: Sequence[str] | None = None) -> DataFrame:

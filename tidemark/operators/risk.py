@@ -8,20 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import level
-
-
-def with_quantiles(df: DataFrame, keys: Sequence[str], column: str, points: dict[str, float]) -> DataFrame:
-    """Adds exact, linearly interpolated quantiles of column over each key's rows, joined back by key.
-
-    Nulls don't count; the quantiles of a key without values are null. Without keys they are of all rows.
-    """
-    q = F.percentile(F.col(column).cast("double"), F.array(*[F.lit(p) for p in points.values()])).alias("_q")
-    if keys:
-        got = df.groupBy(*keys).agg(q).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_q")
-        joined = df.join(got, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).drop(*[f"_k_{k}" for k in keys])
-    else:
-        joined = df.join(F.broadcast(df.agg(q)), F.lit(True))
-    return joined.withColumns({n: F.col("_q")[i] for i, n in enumerate(points)}).drop("_q")
+from .quantiles import with_quantiles
 
 
 def data_level(price: Column, probability: Column, p90: Column, p75: Column) -> Column:

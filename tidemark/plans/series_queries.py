@@ -12,7 +12,8 @@ from ..functions.columns import clip, exact_mean, percent_change
 from ..functions.predicates import day_or_last
 from ..operators.keys import priority_union, union_keep
 from ..operators.metrics import residual_intervals, time_split
-from ..operators.risk import advice, confidence, data_level, explained, overall, ranked, score, storage_windows, tertile, with_quantiles
+from ..operators.quantiles import with_quantiles
+from ..operators.risk import advice, confidence, data_level, explained, overall, ranked, score, storage_windows, tertile
 from ..operators.series import complete_until, day_ahead_vintage, gap_counts, hourly, resume_from, with_lags, with_rolling, with_same_hour_before, with_step
 from .registry import query, table
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..operators import keys as k
-from ..operators.metrics import preferred_else_best as _preferred
+from ..operators.quantiles import quantiles
 from ..operators.risk import ranked
 from .registry import query, table
 
@@ -68,14 +68,14 @@ def gap_fill_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("quantile_thresholds", "SELECT round(quantile_cont(o_totalprice, 0.1), 6) AS p10, round(quantile_cont(o_totalprice, 0.25), 6) AS p25, round(quantile_cont(o_totalprice, 0.75), 6) AS p75, round(quantile_cont(o_totalprice, 0.9), 6) AS p90 FROM orders")
 def quantile_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "orders").agg(F.percentile("o_totalprice", F.array(*[F.lit(x) for x in (0.1, 0.25, 0.75, 0.9)])).alias("q"))
-    return q.select(*[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p10", "p25", "p75", "p90"))])
+    points = {"p10": 0.1, "p25": 0.25, "p75": 0.75, "p90": 0.9}
+    return quantiles(table(spark, sf_dir, "orders"), [], "o_totalprice", points).select(*[F.round(p, 6).alias(p) for p in points])
 
 
 @query("group_quantiles", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.1), 6) AS lower, round(quantile_cont(o_totalprice, 0.9), 6) AS upper FROM orders GROUP BY 1")
 def group_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.percentile("o_totalprice", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
-    return q.select("o_orderpriority", F.round(F.col("q")[0], 6).alias("lower"), F.round(F.col("q")[1], 6).alias("upper"))
+    q = quantiles(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", {"lower": 0.1, "upper": 0.9})
+    return q.select("o_orderpriority", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"))
 
 
 @query("rank_desc_min", "SELECT p_partkey, CASE WHEN p_retailprice IS NOT NULL THEN rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC NULLS LAST) END::INT AS price_rank FROM part")
