@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm.packing import closest_multiset, pack, plan, token_pieces
@@ -22,15 +24,17 @@ ODD = ["", " ", "  a  b", "a\n b", "a \n b\t c", "don't  I'll 's", "é è  ü",
 
 
 def test_chunks_give_the_same_ids_as_whole_texts(corpus, whole):
-    texts = ODD + [t or "" for _, t in corpus]
+    rng, letters = random.Random(3), "ab Z9 ,.'\n\t \u00a0\u3000 é…ß'sdn't(-)\r\x1c\x00日本 re ll"
+    mixed = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts = ODD + mixed + [t or "" for _, t in corpus]
     e = Encoder(tokenizer())
     assert e.cuts
     for _ in range(2):
-        ids, counts = e.encode(texts)
+        ids, counts = e.encode(pa.array(texts))
         parts = np.split(ids, np.cumsum(counts)[:-1])
         assert all((p == whole(t)).all() and len(p) == len(whole(t)) for p, t in zip(parts, texts, strict=True))
     e.cuts = False
-    other, n = e.encode(texts)
+    other, n = e.encode(pa.array(texts))
     assert (other == ids).all() and (n == counts).all()
 
 

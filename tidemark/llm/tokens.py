@@ -1,8 +1,9 @@
 """Token ids of whole texts, many documents at a time.
 
-A byte-level BPE with its usual split pattern never merges across a space that a non-space follows: the
-piece before ends there, the next begins with the space. So texts are cut at such spaces, each
-distinct chunk is encoded once by the tokenizers library, and a text's ids are its chunks' ids in turn.
+A byte-level BPE with its usual split pattern parts a text before it merges anything: a letter and a
+digit, a word and a comma, or a word and the space after it never share a token. Texts are cut where
+ASCII bytes alone show such a parting, each distinct chunk is encoded once by the tokenizers library,
+and a text's ids are its chunks' ids in turn. Chunks are known by 64-bit hashes, as words are.
 Tokenizers of any other make encode whole texts.
 """
 
@@ -10,17 +11,46 @@ from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+from .words import _M, _M_INV, _T, mix, powers, ranges
+
+#: Distinct chunks that a worker remembers (about 150 bytes each, at times) before it starts anew.
+_MOST = 2_000_000
+_SPACE, _BLANK, _LETTER, _DIGIT, _MARK, _QUOTE, _OTHER = range(7)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[0x21:0x7F] = _MARK
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x27] = _QUOTE
+_KIND[9:14] = _BLANK
+_KIND[0x20] = _SPACE
+#: Follows a space that belongs to what comes after it: any printable ASCII, or the first byte of U+00C0 to U+07FF.
+_AFTER_SPACE = np.isin(_KIND, [_LETTER, _DIGIT, _MARK, _QUOTE])
+_AFTER_SPACE[0xC3:0xE0] = True
+_kept: dict[str, Encoder] = {}
 
-from .words import ranges
 
-# What follows the space: ASCII but for white space, or Latin letters; other characters are left uncut.
-_CUT = re.compile(" (?=[!-~À-ɏ])")
-_MOST = 400_000
-_kept: dict[str, Encoder] = {}
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes where the split pattern surely parts what is before from what is after."""
+    k = _KIND[data]
+    cut = np.zeros(len(data), bool)
+    before, at = k[:-1], k[1:]
+    word, plain = before <= _DIGIT, before <= _QUOTE
+    black = plain & (before >= _LETTER)  # printable ASCII
+    # A space goes with what follows it, whatever is before.
+    cut[1:-1] = (at[:-1] == _SPACE) & _AFTER_SPACE[data[2:]]
+    # White space after printable ASCII.
+    cut[1:] |= black & (at <= _BLANK)
+    # Letters, digits and marks end each other, but a quote may begin what letters after it belong to.
+    cut[1:] |= black & (before != _QUOTE) & (at >= _LETTER) & (at <= _MARK) & (before != at)
+    cut[1:] |= black & word & (at == _QUOTE)
+    # After a single line break or tab: of several, the last alone is a token, so the run must stay with what follows.
+    cut[2:] |= black[:-1] & (before[1:] == _BLANK) & (at[1:] >= _LETTER) & (at[1:] <= _QUOTE)
+    return np.flatnonzero(cut)
 
 
 class Encoder:
@@ -40,61 +70,89 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        """Chunk 0 is the end of a document. first: chunks that begin a text; rest: chunks after a space."""
-        self.first: dict[str, int] = {}
-        self.rest: dict[str, int] = {}
+        """Chunk 0 is the end of a document; hashes are sorted, with the chunk of each."""
+        self.hashes, self.chunk = np.empty(0, np.uint64), np.empty(0, np.int32)
         self.pool, self.starts, self.lengths = np.array([self.end_id], np.uint32), np.array([0]), np.array([1])
 
-    def _keep(self, ids: np.ndarray, lengths: np.ndarray) -> int:
-        n = len(self.starts)
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.pool = np.concatenate([self.pool, ids.astype(np.uint32)])
-        return n
-
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array([y for x in ids for y in x], np.uint32), np.array([len(x) for x in ids], np.int64)
 
-    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and their numbers for chunks that each follow a space: encoded as one text, parted by bytes."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.cumsum([len(x.encode()) + 1 for x in chunks])
+    def _joined(self, chunks: list[str], gap: str) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks that a gap between them keeps apart, encoded as one text and parted by bytes."""
+        ids = np.array(self.tokenizer.encode_batch_fast([gap.join(chunks)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum([len(x.encode()) + len(gap) for x in chunks]) - len(gap)
         token_ends = np.cumsum(self.bytes_of[ids])
-        at = np.searchsorted(token_ends, ends)
-        if at[-1] >= len(token_ends) or (token_ends[at] != ends).any():
-            return self._each([" " + x for x in chunks])
-        return ids, np.diff(np.r_[0, at + 1])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        last = np.searchsorted(token_ends, ends)
+        if last[-1] != len(ids) - 1 or (token_ends[last] != ends).any():
+            return self._each(chunks)
+        n = np.diff(np.r_[-1, last])
+        if gap:  # one token each, before each chunk but the first
+            ids, n[1:] = np.delete(ids, last[:-1] + 1), n[1:] - 1
+        return ids, n
+
+    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+        led, bare, odd = [], [], []
+        for i, x in enumerate(chunks):
+            if x[0] == " " and len(x) > 1 and not x[1].isspace():
+                led.append(i)
+            elif not x[0].isspace() and not x[-1].isspace():
+                bare.append(i)
+            else:
+                odd.append(i)
+        for some, encode in ((led, lambda c: self._joined(c, "")), (bare, lambda c: self._joined(c, "\n")), (odd, self._each)):
+            for at in range(0, len(some), 20_000):
+                part = some[at : at + 20_000]
+                ids, n = encode([chunks[i] for i in part])
+                new = hashes[part]
+                order = np.argsort(new)
+                place = np.searchsorted(self.hashes, new[order])
+                self.chunk = np.insert(self.chunk, place, (len(self.starts) + order).astype(np.int32))
+                self.hashes = np.insert(self.hashes, place, new[order])
+                self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(n) - n])
+                self.lengths = np.concatenate([self.lengths, n])
+                self.pool = np.concatenate([self.pool, ids])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, end ids included, as uint32, and each text's number of them."""
         if not self.cuts:
-            ids, n = self._each(texts)
+            ids, n = self._each([x or "" for x in texts.to_pylist()])
             out = np.full(len(ids) + len(n), self.end_id, np.uint32)
             out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
             return out, n + 1
-        if len(self.rest) + len(self.first) > _MOST:
+        texts = pc.fill_null(texts, "").cast(pa.large_binary())
+        raw = texts.buffers()
+        ends = np.frombuffer(raw[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        body = np.frombuffer(raw[2], np.uint8)[ends[0] : ends[-1]] if raw[2] is not None else np.empty(0, np.uint8)
+        sizes = np.diff(ends)
+        # Each text is followed by a zero byte, a chunk of its own that stands for the end id.
+        stops = np.cumsum(sizes + 1) - 1
+        data = np.zeros(len(body) + len(sizes), np.uint8)
+        data[np.arange(len(body)) + np.repeat(np.arange(len(sizes)), sizes)] = body
+        marks = np.zeros(len(data) + 1, bool)
+        marks[_cuts(data)] = True
+        marks[stops] = marks[stops + 1] = marks[0] = True
+        edges = np.flatnonzero(marks)
+        total = np.empty(len(data) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_T[data] * powers(_M, len(data))[: len(data)], out=total[1:])
+        hashes = mix((total[edges[1:]] - total[edges[:-1]]) * powers(_M_INV, len(data))[edges[:-1]])
+        last = np.searchsorted(edges, stops)
+        distinct, first, which = np.unique(np.delete(hashes, last), return_index=True, return_inverse=True)
+        if len(self.hashes) + len(distinct) > _MOST:
             self._clear()
-        cut = [_CUT.split(x) for x in texts]
-        heads = [x[0] for x in cut]
-        if new := list({x for x in heads if x not in self.first}):
-            n = self._keep(*self._each(new))
-            self.first.update(zip(new, range(n, n + len(new)), strict=True))
-        rest = self.rest
-        if new := list(set().union(*(x[1:] for x in cut)).difference(rest)):
-            for i in range(0, len(new), 50_000):
-                part = new[i : i + 50_000]
-                n = self._keep(*self._chunks(part))
-                rest.update(zip(part, range(n, n + len(part)), strict=True))
-        index = []
-        for x in cut:
-            index.append(self.first[x[0]])
-            index += [rest[y] for y in x[1:]]
-            index.append(0)
-        index = np.array(index)
-        lengths = self.lengths[index]
-        ids = self.pool[ranges(self.starts[index], lengths)]
-        last = np.cumsum([len(x) + 1 for x in cut]) - 1
+        place = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+        new = np.flatnonzero(self.hashes[place] != distinct) if len(self.hashes) else np.arange(len(distinct))
+        if len(new):
+            at = np.delete(np.arange(len(hashes)), last)[first[new]]
+            flat = data.tobytes()
+            self._learn(distinct[new], [flat[a:b].decode() for a, b in zip(edges[at].tolist(), edges[at + 1].tolist(), strict=True)])
+        chunk = np.zeros(len(hashes), np.int32)
+        inside = np.ones(len(hashes), bool)
+        inside[last] = False
+        chunk[inside] = self.chunk[np.searchsorted(self.hashes, distinct)][which] if len(distinct) else 0
+        lengths = self.lengths[chunk]
+        ids = self.pool[ranges(self.starts[chunk], lengths)]
         return ids, np.diff(np.r_[0, np.cumsum(lengths)[last]])
 
 
@@ -106,4 +164,4 @@ def encoder(path: str, end_id: int = 0) -> Encoder:
 
 
 def encoded(texts: pa.Array, path: str, end_id: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    return encoder(path, end_id).encode([x or "" for x in texts.to_pylist()])
+    return encoder(path, end_id).encode(texts)
