@@ -105,3 +105,13 @@ def check_packed(pieces, ids):
         assert x in found.values() or at <= 1024
     total = sum(map(len, ids.values()))
     assert sorted(fill) == list(range(len(fill))) and len(fill) <= -(-total // 1024) + 1
+
+
+def test_empty_tables_and_clashing_names(spark, tables, tmp_path):
+    path, docs, _, _ = tables
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    some = spark.createDataFrame([(i, t, n, "x", 1, 2, "leak") for i, t, _, _, n in docs[:30]], "doc_id long, text string, n_chars long, rules string, removal int, row int, leak string")
+    for _, stage in corpus_pipeline.STAGES[1:4:2]:
+        assert set(some.columns) - {"leak"} <= set(stage(spark, some, path).columns)

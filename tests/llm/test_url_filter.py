@@ -29,6 +29,13 @@ def test_captures_see_the_entries_of_their_time(spark):
     assert filtered(captures.limit(0), entries, id_col="page_id").count() == 0
 
 
+def test_hosts_lose_their_case_and_paths_keep_it(spark):
+    entries = spark.createDataFrame([("a", "B.org/Up/", dt.date(2024, 1, 1), "add"), ("h", "C.ORG", dt.date(2024, 1, 1), "add")], "list string, entry string, date date, action string")
+    urls = ["http://b.ORG/Up/x", "http://b.org/up/x", "http://c.org/Any"]
+    captures = spark.createDataFrame([(i, u, dt.date(2024, 2, 1)) for i, u in enumerate(urls)], "id long, url string, fetched date")
+    assert {r.id: r.blocked for r in filtered(captures, entries, id_col="id").collect()} == {0: True, 1: False, 2: True}
+
+
 def test_no_python_in_the_plan(spark):
     entries = spark.createDataFrame([("a", "b.org", dt.date(2024, 1, 1), "add")], "list string, entry string, date date, action string")
     captures = spark.range(3).selectExpr("id", "concat('http://b.org/', id) url", "date'2024-02-01' fetched")
