@@ -1,13 +1,15 @@
 """WARC records in ZIP archives: written in parallel, then read by ranges without extraction.
 
 An archive stores (uncompressed) one WARC member and one index member that gives each record's range.
-A reader parses the end record, its ZIP64 form and the central directory, finds both members, and then
-reads just the byte ranges of the records it wants.
+In the WARC member each record is a gzip member of its own, as is usual for WARC files. A reader parses
+the end record, its ZIP64 form and the central directory, finds both members, and then reads just the
+byte ranges of the records it wants.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .scratch import stored
 from .words import pieces
 
-DATA, INDEX = "archive/data.warc", "indexes/index.jsonl"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -144,7 +146,7 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
                     while b is not None:
                         for page, url, html, first_ in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "first")), strict=True):
                             payload = html.encode()
-                            raw = record("" if page is None else str(page), url or "", payload, digest(payload), None if first_ is None or first_ == page else str(first_))
+                            raw = gzip.compress(record("" if page is None else str(page), url or "", payload, digest(payload), None if first_ is None or first_ == page else str(first_)), 6, mtime=0)
                             data.write(raw)
                             index.append(json.dumps({"page": page, "offset": at, "length": len(raw)}))
                             at += len(raw)
@@ -201,7 +203,7 @@ def read_records(ranges: DataFrame, payload: bool = True) -> DataFrame:
                     raw = f.read_at(sum(r["lengths"]), r["offset"])
                 out, at = [], 0
                 for n in r["lengths"]:
-                    warc, http, body = parse_record(raw[at : at + n])
+                    warc, http, body = parse_record(gzip.decompress(raw[at : at + n]))
                     at += n
                     want, size = warc["warc-payload-digest"].removeprefix("sha1:"), int(http["content-length"])
                     revisit = warc["warc-type"] == "revisit"
