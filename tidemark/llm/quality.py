@@ -9,6 +9,7 @@ weight, so a long text's many common features don't add up to a verdict.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -97,45 +98,77 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch Adam; deterministic."""
-    w, m, v = (np.zeros(x.shape[1] + 1, np.float64) for _ in range(3))
+def _logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, size: int, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights of `size` features and bias by full-batch Adam; deterministic. The features' values are given by row and column."""
+    w, m, v = (np.zeros(size + 1, np.float64) for _ in range(3))
+    if not len(y):
+        return w[:-1], 0.0
     for t in range(1, steps + 1):
-        e = _sigmoid(x @ w[:-1] + w[-1]) - y
-        g = np.r_[x.T @ e / len(y) + l2 * w[:-1], e.mean()]
+        e = _sigmoid(np.bincount(row, w[column] * value, len(y)) + w[-1]) - y
+        g = np.r_[np.bincount(column, e[row] * value, size) / len(y) + l2 * w[:-1], e.mean()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def _head(unique: list[np.ndarray], y: np.ndarray, held: np.ndarray) -> Head:
-    """unique: the distinct features of each text. held: rows for calibration only."""
-    fit = np.flatnonzero(~held)
-    n1, n0 = max(int(y[fit].sum()), 1), max(int((1 - y[fit]).sum()), 1)
+def _clear(k1: np.ndarray, k0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How clearly (in standard errors) the shares k1 / n1 and k0 / n0 differ; 0 for what fewer than four texts have."""
+    p = (k1 + k0) / (n1 + n0)
+    return np.where(k1 + k0 >= 4, np.abs(k1 / n1 - k0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12), 0)
+
 
-    def clear(k1: np.ndarray, k0: np.ndarray) -> np.ndarray:
-        p = (k1 + k0) / (n1 + n0)
-        return np.where(k1 + k0 >= 4, np.abs(k1 / n1 - k0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12), 0)
+def _bucket(x: np.ndarray) -> np.ndarray:
+    return (x & np.uint64(_BUCKETS - 1)).astype(np.int64)
 
-    tally = np.zeros((2, _BUCKETS), np.int32)
-    for i in fit.tolist():
-        tally[y[i]][np.unique((unique[i] & np.uint64(_BUCKETS - 1)).astype(np.int64))] += 1
-    open_ = clear(tally[1], tally[0]) > 4
-    found = [x[open_[(x & np.uint64(_BUCKETS - 1)).astype(np.int64)]] for x in unique]
+
+def _distinct(batches: list[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The distinct features of each text, one text after another."""
+    for b in batches:
+        h, doc = features(b.column("text"))
+        order = np.argsort(doc, kind="stable")
+        for x in np.split(h[order], np.searchsorted(doc[order], np.arange(1, len(b)))):
+            yield np.unique(x)
+
+
+def _open(batches: list[pa.RecordBatch], y: np.ndarray, fit: np.ndarray) -> np.ndarray:
+    """For each row of y (labels), the buckets of hashes, 4 * FEATURES at most, whose shares differ most clearly between its classes."""
+    tally = np.zeros((len(y), 2, _BUCKETS), np.int32)
+    for i, x in enumerate(_distinct(batches)):
+        if fit[i]:
+            k = np.unique(_bucket(x))
+            for row, label in zip(tally, y[:, i], strict=True):
+                row[label][k] += 1
+    out = np.zeros((len(y), _BUCKETS), bool)
+    for row, label, may in zip(tally, y, out, strict=True):
+        n1 = max(int(label[fit].sum()), 1)
+        z = np.zeros(_BUCKETS, np.float32)
+        for at in range(0, _BUCKETS, 1 << 18):
+            part = slice(at, at + (1 << 18))
+            z[part] = _clear(row[1][part], row[0][part], n1, max(int(fit.sum()) - int(label[fit].sum()), 1))
+        best = np.argpartition(-z, 4 * FEATURES)[: 4 * FEATURES]
+        may[best[z[best] > 4]] = True
+    return out
+
+
+def _head(found: list[np.ndarray], y: np.ndarray, held: np.ndarray) -> Head:
+    """found: the features of each text that may differ. held: rows for calibration only."""
+    fit = np.flatnonzero(~held)
+    n1, n0 = max(int(y[fit].sum()), 1), max(int((1 - y[fit]).sum()), 1)
     hashes, k = np.unique(np.concatenate([found[i] for i in fit]), return_inverse=True) if len(fit) else (np.empty(0, np.uint64), np.empty(0, int))
     of = np.repeat(y[fit], [len(found[i]) for i in fit]) if len(fit) else np.empty(0)
-    z = clear(np.bincount(k, of, len(hashes)), np.bincount(k, 1 - of, len(hashes)))
+    z = _clear(np.bincount(k, of, len(hashes)), np.bincount(k, 1 - of, len(hashes)), n1, n0)
     hashes = np.sort(hashes[np.argsort(-z, kind="stable")[:FEATURES]][: int((z > 4).sum())])
-    x = np.zeros((len(y), len(hashes)), np.float32)
-    for i, f in enumerate(found):
-        if len(hashes):
-            at = np.minimum(np.searchsorted(hashes, f), len(hashes) - 1)
-            x[i, at[hashes[at] == f]] = 1
-    weights, bias = _logistic(x[fit], y[fit], 1e-3)
-    score = x[held] @ weights + bias
+    column = [np.empty(0, np.int64)]
+    for f in found:
+        at = np.minimum(np.searchsorted(hashes, f), max(len(hashes) - 1, 0))
+        column.append(at[hashes[at] == f] if len(hashes) else at[:0])
+    row, column = np.repeat(np.arange(len(y)), [len(x) for x in column[1:]]), np.concatenate(column)
+    of_fit = ~held[row]
+    weights, bias = _logistic((np.cumsum(~held) - 1)[row[of_fit]], column[of_fit], np.ones(int(of_fit.sum())), y[fit], len(hashes))
+    score = (np.bincount(row, weights[column], len(y)) + bias)[held]
     a, b = 1.0, 0.0
     if held.any() and 0 < y[held].mean() < 1:
-        (a,), b = _logistic(score[:, None], y[held], 1e-3)
+        (a,), b = _logistic(np.arange(len(score)), np.zeros(len(score), np.int64), score, y[held], 1)
     return Head(hashes, weights, bias, float(a), float(b))
 
 
@@ -154,14 +187,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     some = some.withColumn("h", F.xxhash64("id")).orderBy("h", "quality", "toxic").limit(rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     got = texts.join(F.broadcast(some), "id").select("h", "text", "quality", "toxic").toArrow().sort_by([("h", "ascending"), ("text", "ascending")])
-    unique = []
-    for b in pieces(got.to_batches(), most=1 << 18):
-        h, doc = features(b.column("text"))
-        order = np.argsort(doc, kind="stable")
-        unique += [np.unique(x) for x in np.split(h[order], np.searchsorted(doc[order], np.arange(1, len(b))))]
-    held = np.arange(len(unique)) % 5 == 4
-    good, toxic = (got.column(c).to_numpy().astype(np.int64) for c in ("quality", "toxic"))
-    return Model(_head(unique, good, held), _head(unique, toxic, held))
+    batches = list(pieces(got.to_batches(), most=1 << 18))
+    held = np.arange(len(got)) % 5 == 4
+    y = np.array([got.column(c).to_numpy() for c in ("quality", "toxic")], np.int64).reshape(2, len(got))
+    # The texts are gone through twice, so that all features of all of them are never in memory at once.
+    may, found = _open(batches, y, ~held), ([], [])
+    for x in _distinct(batches):
+        for some, own in zip(may, found, strict=True):
+            own.append(x[some[_bucket(x)]])
+    return Model(*(_head(own, label, held) for own, label in zip(found, y, strict=True)))
 
 
 def _scores(head: Head, bits: np.ndarray, h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
