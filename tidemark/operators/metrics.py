@@ -55,18 +55,20 @@ def error_memory(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return figures.join(medians, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).drop(*[f"_k_{k}" for k in keys])
 
 
-def tiered_lookup(rows: DataFrame, memory: DataFrame, tiers: Sequence[Sequence[str]], value: str, least_samples: int = 10, name: str = "found") -> DataFrame:
+def tiered_lookup(rows: DataFrame, memory: DataFrame, tiers: Sequence[Sequence[str]], value: str, least_samples: int = 10, name: str = "found", most_entries: int | None = None) -> DataFrame:
     """rows with, from memory, the value of the first tier of keys that has an entry of enough samples, and that tier.
 
     Within a tier the entry of most samples counts, then the smallest value. Adds <name>, <name>_tier
     and <name>_samples, null where no tier has any. Each tier is one equality join with memory's best
-    entry for those keys, so rows never multiply.
+    entry for those keys, so rows never multiply. most_entries: how many different keys memory can have,
+    if their domain says so; up to 100,000 of them are broadcast, so that rows are not shuffled by a few hours.
     """
     enough = memory.where(F.col("sample_count") >= least_samples)
     out = rows
     for i, keys in enumerate(tiers):
         best = best_per_key(enough, keys, F.col("sample_count").desc(), F.col(value))
         best = best.select(*[F.col(k).alias(f"_k{i}_{k}") for k in keys], F.struct(F.col(value).alias("v"), F.lit(i + 1).alias("t"), F.col("sample_count").alias("n")).alias(f"_e{i}"))
+        best = F.broadcast(best) if most_entries is not None and most_entries <= 100_000 else best
         out = out.join(best, [F.col(k) == F.col(f"_k{i}_{k}") for k in keys], "left").drop(*[f"_k{i}_{k}" for k in keys])
     hit = F.coalesce(*[F.col(f"_e{i}") for i in range(len(tiers))])
     out = out.withColumns({name: hit.getField("v"), f"{name}_tier": hit.getField("t"), f"{name}_samples": hit.getField("n")})
