@@ -33,7 +33,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     """
 
     def run(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, most=1 << 20):
             all_ids, counts = encoded(b.column("text"), tokenizer, end_id)
             n = -(-counts // capacity)
             doc = np.repeat(np.arange(len(counts)), n)

@@ -228,7 +228,7 @@ def judged(docs: DataFrame, model: Model, *, text_col: str = "text", good: float
             bits = np.zeros(1 << 20, bool)
             bits[(head.hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = True
             heads.append((head, bits))
-        for b in pieces(batches, most=1 << 19):
+        for b in pieces(batches, most=1 << 18):
             x = base_columns(b.column("text"))
             failed = base_failed(x)
             h, doc = features(b.column("text"))

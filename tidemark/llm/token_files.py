@@ -35,7 +35,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
 
     def run(batches):
         part, at = TaskContext.get().partitionId(), 0
-        for b in pieces(batches):
+        for b in pieces(batches, most=1 << 20):
             ids, counts = encoded(b.column("text"), tokenizer, end_id)
             start = at + np.cumsum(counts) - counts
             at += int(counts.sum())

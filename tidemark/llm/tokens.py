@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .words import _M, _M_INV, _T, mix, powers, ranges
+from .words import byte_hashes, ranges
 
 #: Distinct chunks that a worker remembers (about 150 bytes each, at times) before it starts anew.
-_MOST = 2_000_000
+_MOST = 500_000
 _SPACE, _BLANK, _LETTER, _DIGIT, _MARK, _QUOTE, _OTHER = range(7)
 _KIND = np.full(256, _OTHER, np.uint8)
 _KIND[0x21:0x7F] = _MARK
@@ -101,8 +101,8 @@ class Encoder:
             else:
                 odd.append(i)
         for some, encode in ((led, lambda c: self._joined(c, "")), (bare, lambda c: self._joined(c, "\n")), (odd, self._each)):
-            for at in range(0, len(some), 20_000):
-                part = some[at : at + 20_000]
+            for at in range(0, len(some), 8_000):
+                part = some[at : at + 8_000]
                 ids, n = encode([chunks[i] for i in part])
                 new = hashes[part]
                 order = np.argsort(new)
@@ -133,10 +133,7 @@ class Encoder:
         marks[_cuts(data)] = True
         marks[stops] = marks[stops + 1] = marks[0] = True
         edges = np.flatnonzero(marks)
-        total = np.empty(len(data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_T[data] * powers(_M, len(data))[: len(data)], out=total[1:])
-        hashes = mix((total[edges[1:]] - total[edges[:-1]]) * powers(_M_INV, len(data))[edges[:-1]])
+        hashes = byte_hashes(data, edges[:-1], edges[1:])
         last = np.searchsorted(edges, stops)
         distinct, first, which = np.unique(np.delete(hashes, last), return_index=True, return_inverse=True)
         if len(self.hashes) + len(distinct) > _MOST:

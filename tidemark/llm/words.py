@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 _M = 0x9E3779B97F4A7C15
 _M_INV = pow(_M, -1, 1 << 64)
 _R = 0xD1342543DE82EF95
@@ -45,6 +45,15 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes data[starts[i]:ends[i]], for spans of any lengths."""
+    n = len(data)
+    total = np.empty(n + 1, np.uint64)
+    total[0] = 0
+    np.cumsum(_T[data] * powers(_M, n)[:n], out=total[1:])
+    return mix((total[ends] - total[starts]) * powers(_M_INV, n)[starts])
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in runs of about `most` text bytes at most; a longer text is a run of its own."""
     for batch in batches:
@@ -82,11 +91,7 @@ class Words:
         self.counts = np.diff(self.offsets)
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_T[self.data] * powers(_M, n)[:n], out=total[1:])
-        return mix((total[self.ends] - total[self.starts]) * powers(_M_INV, n)[self.starts])
+        return byte_hashes(self.data, self.starts, self.ends)
 
     def text(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
