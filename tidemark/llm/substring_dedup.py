@@ -198,7 +198,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     columns come back unchanged, whatever their names, but for one named removal, which is replaced.
     """
     rows = keyed(docs, id_col, text_col)
-    spans = repeated_spans(rows.select("id", "sub", "text"), min_words)
+    texts = rows.select("id", "sub", "text")
+    # Rows that repeat id and text (only repeated ids have a sub) are one document.
+    texts = texts.where("sub = 0").union(texts.where("sub != 0").dropDuplicates(["id", "sub"]))
+    spans = repeated_spans(texts, min_words)
     spans = spans.groupBy("id", "sub").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
     ready = rows.join(spans, ["id", "sub"], "left").select("row", "text", "spans")
     kept = "text string, removal struct<n_words: bigint, n_removed: bigint, spans: array<struct<s: int, n: int>>>"
