@@ -27,7 +27,7 @@ from .words import Words, pieces, ranges, sliding_least, span_hashes, windows
 
 GRAM = 6
 #: Segments in a reference shard, about; different segments of one anchor beyond which it is split by window.
-SHARD, HOT = 3000, 200
+SHARD, HOT = 1000, 200
 _SEGMENT = "a long, c long, id long, sub long, p int, s int, n int"
 
 

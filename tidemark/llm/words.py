@@ -64,6 +64,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PI
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
             yield batch.slice(i, j - i)
             i = j
+    pa.default_memory_pool().release_unused()  # workers live on, for other tasks
 
 
 class Words:
