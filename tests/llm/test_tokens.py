@@ -106,3 +106,33 @@ def test_closest_multiset_against_all_choices():
         assert sum(k * v for k, v in got.items()) == best and all(v <= counts[k] for k, v in got.items())
         whole = plan(dict(counts), 30)
         assert {k: sum(p.get(k, 0) * t for p, t in whole) for k in counts} == counts
+
+
+def test_added_tokens_as_the_unmodified_library_has_them(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tidemark.llm.tokens import encoded
+
+    t, end = Tokenizer.from_file(tokenizer()), "<|endoftext|>"
+    texts = [*ODD, None, f"a {end} b", end, end * 3, f"x{end}\n y", f"\n{end}", "<|endof text|>", f"<|{end}|> don't", f"a  {end}  b" * 50]
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
+    assert want[texts.index(f"a {end} b")] == [64, 220, 50256, 275, 0]
+    for some in (pa.array(texts), pa.array(texts)[3:]):
+        ids, n = encoded(some, tokenizer())
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want[-len(some) :]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    write_tokens(docs, str(tmp_path / "added"), tokenizer())
+    assert {r.doc_id: list(r.ids) for r in read_tokens(spark, str(tmp_path / "added")).collect()} == dict(enumerate(want))
+
+
+def test_joined_chunks_never_make_an_added_token(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    path = str(tmp_path / "more.json")
+    t = Tokenizer.from_file(tokenizer())
+    t.add_tokens([AddedToken("one two", normalized=False), AddedToken("left\nright", normalized=False)])
+    t.save(path)
+    texts = ["x one", "y two", "x one two", "left", "right", "left\nright"]
+    e = Encoder(path, special=True)
+    ids, n = e.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]

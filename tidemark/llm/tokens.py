@@ -4,7 +4,8 @@ A byte-level BPE with its usual split pattern parts a text before it merges anyt
 digit, a word and a comma, or a word and the space after it never share a token. Texts are cut where
 ASCII bytes alone show such a parting, each distinct chunk is encoded once by the tokenizers library,
 and a text's ids are its chunks' ids in turn. Chunks are known by 64-bit hashes, as words are.
-Tokenizers of any other make encode whole texts.
+Tokenizers of any other make encode whole texts, and so do all for texts that hold an added token,
+such as <|endoftext|>: the library takes it out of a text before the split pattern sees it.
 """
 
 from __future__ import annotations
@@ -54,15 +55,18 @@ def _cuts(data: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, path: str, end_id: int = 0):
+    """special: a special token in a text gets its own id, as the library does by default; else its characters are text like any."""
+
+    def __init__(self, path: str, end_id: int = 0, special: bool = False):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.end_id = end_id
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
+        self.added = [x["content"] for x in made.get("added_tokens") or [] if x["content"] and (special or not x["special"])]
         pre = made.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not any(made.get(x) for x in ("normalizer", "truncation", "padding", "post_processor"))
         # A byte-level token has a character for each of its bytes.
@@ -80,7 +84,10 @@ class Encoder:
 
     def _joined(self, chunks: list[str], gap: str) -> tuple[np.ndarray, np.ndarray]:
         """Chunks that a gap between them keeps apart, encoded as one text and parted by bytes."""
-        ids = np.array(self.tokenizer.encode_batch_fast([gap.join(chunks)], add_special_tokens=False)[0].ids, np.uint32)
+        text = gap.join(chunks)
+        if any(x in text for x in self.added):  # made by the joining: no chunk has one
+            return self._each(chunks)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.cumsum([len(x.encode()) + len(gap) for x in chunks]) - len(gap)
         token_ends = np.cumsum(self.bytes_of[ids])
         last = np.searchsorted(token_ends, ends)
@@ -116,10 +123,30 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, end ids included, as uint32, and each text's number of them."""
         if not self.cuts:
-            ids, n = self._each([x or "" for x in texts.to_pylist()])
-            out = np.full(len(ids) + len(n), self.end_id, np.uint32)
-            out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
-            return out, n + 1
+            return self._whole(texts)
+        held = np.zeros(len(texts), bool)
+        for x in self.added:
+            held |= pc.fill_null(pc.match_substring(texts, x), False).to_numpy(zero_copy_only=False)
+        if not held.any():
+            return self._chunked(texts)
+        parts, counts = [], np.zeros(len(texts), np.int64)
+        for some, encode in ((np.flatnonzero(~held), self._chunked), (np.flatnonzero(held), self._whole)):
+            if len(some):
+                ids, counts[some] = encode(texts.take(pa.array(some)))
+                parts.append((some, ids))
+        out, starts = np.empty(counts.sum(), np.uint32), np.cumsum(counts) - counts
+        for some, ids in parts:
+            out[ranges(starts[some], counts[some])] = ids
+        return out, counts
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, n = self._each([x or "" for x in texts.to_pylist()])
+        out = np.full(len(ids) + len(n), self.end_id, np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+        return out, n + 1
+
+    def _chunked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """For texts without added tokens."""
         texts = pc.fill_null(texts, "").cast(pa.large_binary())
         raw = texts.buffers()
         ends = np.frombuffer(raw[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -154,9 +181,9 @@ class Encoder:
 
 
 def encoder(path: str, end_id: int = 0) -> Encoder:
-    """A worker's encoder for this file, kept between batches and tasks."""
+    """A worker's encoder for this file, kept between batches and tasks; its ids are those of the library as it comes."""
     if (path, end_id) not in _kept:
-        _kept[path, end_id] = Encoder(path, end_id)
+        _kept[path, end_id] = Encoder(path, end_id, special=True)
     return _kept[path, end_id]
 
 
