@@ -36,9 +36,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their texts without passages of 20 words or more that start earlier in docs.
 
-    A document of which nothing is left stays, with an empty text. n_chars follows the text.
+    What stays of a text keeps its line breaks and spaces. A document of which nothing is left stays,
+    with an empty text. n_chars follows the text.
     """
-    out = remove_repeats(docs, min_words=20).drop("removal")
+    out = remove_repeats(docs, min_words=20, layout=True).drop("removal")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

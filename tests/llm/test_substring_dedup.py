@@ -63,3 +63,19 @@ def test_automaton_gives_matching_statistics():
             assert a.match(x) == want
             a.add(x)
             known.append(x)
+
+
+def test_layout_stays(spark):
+    long = "\n".join(f"w{i}" for i in range(30))
+    rows = [(1, f"# head\n\n* a\n\t* b  c\r\n\n{long}\n"), (2, f"  x\ty \n\n{long.replace(chr(10), '  ')}\n\n z  é\n"), (3, f"\n{long}\n"), (4, "\t\n "), (5, None), (6, f"{long}\n\nmid  dle\n{long} ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in s.remove_repeats(docs, layout=True).collect()}
+    assert got == {1: rows[0][1], 2: "  x\ty \n\n\n\n z  é\n", 3: "", 4: "\t\n ", 5: "", 6: "\n\nmid  dle\n "}
+
+
+def test_the_pipeline_keeps_layout(spark, tmp_path):
+    import corpus_pipeline
+
+    text = "# head\n\n* a\n\t* b  c\n"
+    docs = spark.createDataFrame([(1, text, 0)], "doc_id long, text string, n_chars long")
+    assert [tuple(r) for r in corpus_pipeline.substring_dedup(spark, docs, str(tmp_path)).collect()] == [(1, text, len(text))]

@@ -15,6 +15,8 @@ split further, by the whole window, with the earliest found by a pre-aggregated
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +28,7 @@ from .scratch import n_tasks, stored
 from .words import Words, pieces, ranges, sliding_least, span_hashes, windows
 
 GRAM = 6
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 #: Segments in a reference shard, about; different segments of one anchor beyond which it is split by window.
 SHARD, HOT = 1000, 200
 _SEGMENT = "a long, c long, id long, sub long, p int, s int, n int"
@@ -186,9 +189,21 @@ def _schema(more: str, *fields: T.StructField) -> T.StructType:
     return T.StructType([*fields, *T.StructType.fromDDL(more).fields])
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20) -> DataFrame:
+def _without(text: bytes, spans: list[dict[str, int]]) -> bytes:
+    """text without the bytes of each span, from its first word to its last; spans are in order and apart."""
+    words, kept, at = [m.span() for m in _WORD.finditer(text)], [], 0
+    for x in spans:
+        kept.append(text[at : words[x["s"]][0]])
+        at = words[x["s"] + x["n"] - 1][1]
+    return b"".join([*kept, text[at:]])
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, layout: bool = False) -> DataFrame:
     """docs with each text cut to the words that no earlier-starting equal window covers, joined by one space.
 
+    With layout, the original bytes stay instead, but for those from the first to the last word of each
+    removed span: a text without spans comes back as it is, and one of which no word is left becomes "".
+
     Words are runs of bytes other than ASCII white space. A window (min_words consecutive words of one
     document) counts as earlier in a document of smaller id or at an earlier start in the same one.
     Adds struct `removal`: n_words, n_removed, spans (word ranges taken out, merged, in order).
@@ -210,7 +225,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for b in pieces(batches):
             texts, report = [], []
             for text, spans in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), strict=True):
-                words = (text or b"").split()
+                text = text or b""
+                words = text.split()
                 if spans:
                     drop = np.zeros(len(words) + 1, np.int64)
                     np.add.at(drop, [x["s"] for x in spans], 1)
@@ -219,9 +235,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     edge = np.flatnonzero(np.diff(np.r_[False, out, False]))
                     spans = [{"s": int(x), "n": int(y - x)} for x, y in zip(edge[::2], edge[1::2], strict=True)]
                     words, gone = [words[i] for i in np.flatnonzero(~out).tolist()], int(out.sum())
+                    if layout:
+                        text = _without(text, spans) if words else b""
                 else:
                     spans, gone = [], 0
-                texts.append(b" ".join(words))
+                texts.append(text if layout else b" ".join(words))
                 report.append({"n_words": len(words) + gone, "n_removed": gone, "spans": spans})
             kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32())])))])
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(report, kind)], ["row", "text", "removal"])
