@@ -61,6 +61,24 @@ def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir).withColumns({c: F.round(c, 8) for c in ("keyword_score", "vector_score")})
 
 
+@query(
+    "hybrid_topk",
+    f"""WITH kw AS (SELECT * FROM (SELECT doc_id, (len(list_intersect(list_distinct({_OWN}), {_WORDS})) + {" + ".join(_times(w) for w in _WORDS)})::DOUBLE AS keyword_score FROM documents) WHERE keyword_score > 0),
+vec AS (SELECT *, max(vector_score) OVER (PARTITION BY query_id) AS top FROM (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round({_COS}, 6) AS vector_score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) WHERE vector_score > 0),
+kq AS (SELECT vec_id AS query_id, doc_id, keyword_score / (SELECT max(keyword_score) FROM kw) AS keyword_score FROM embeddings, kw WHERE vec_id % 50 = 0),
+hy AS (SELECT coalesce(kq.query_id, vec.query_id) AS query_id, coalesce(kq.doc_id, vec.doc_id) AS doc_id, coalesce(keyword_score, 0) AS keyword_score, coalesce(vector_score / top, 0) AS vector_score,
+  concat_ws(',', CASE WHEN kq.doc_id IS NOT NULL THEN 'keyword' END, CASE WHEN vec.doc_id IS NOT NULL THEN 'vector' END) AS kinds FROM kq FULL JOIN vec ON kq.query_id = vec.query_id AND kq.doc_id = vec.doc_id),
+h AS (SELECT *, round(keyword_score * 0.45::DOUBLE + vector_score * 0.55::DOUBLE, 6) AS hybrid_score FROM hy)
+SELECT query_id, doc_id, round(keyword_score, 8) AS keyword_score, round(vector_score, 8) AS vector_score, kinds, hybrid_score, place
+FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, doc_id))::INT AS place FROM h) WHERE place <= 10""",
+)
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    words = r.keyword_search(table(spark, sf_dir, "documents").select("doc_id", "text"), _ASK, id_col="doc_id", text_col="text", most=None)
+    found = r.hybrid_search(words, rows, rows.where("doc_id % 50 = 0"), id_col="doc_id", vector_col="embedding")
+    return found.withColumnRenamed("id", "doc_id").withColumns({c: F.round(c, 8) for c in ("keyword_score", "vector_score")})
+
+
 _TEXT = "coalesce(text, '')"
 _RERANK = f"""rr AS (SELECT h.doc_id, hybrid_score, round(least(1.0::DOUBLE, len(list_intersect(list_distinct(regexp_extract_all(lower(source || ' ' || {_TEXT}), '[一-龥A-Za-z0-9]{{2,}}')), {_WORDS})) / 4.0::DOUBLE * 0.7::DOUBLE
   + CASE WHEN contains({_TEXT}, '{_ASK}') THEN 0.18::DOUBLE ELSE 0.0 END + CASE WHEN {" OR ".join(f"contains(lower(source), '{w}')" for w in _WORDS)} THEN 0.12::DOUBLE ELSE 0.0 END), 6) AS rerank_score
