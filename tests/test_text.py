@@ -90,3 +90,15 @@ def test_queries_without_sql_against_plain_python(spark):
     assert {r["doc_id"]: r["n_chars"] for r in QUERIES["line_cleanup_b"](spark, SF).collect()} == {k: len(d.cleaned_runs(v)) for k, v in docs.items()}
     index = QUERIES["index_build"](spark, SF).collect()
     assert len({r["chunk_id"] for r in index}) == len(index) == sum(len(d.index_chunks(v)) for v in docs.values())
+
+
+def test_index_keeps_every_token_of_a_chunk(spark, tmp_path):
+    from tidemark.operators.retrieval import hash_vector
+    from tidemark.plans.registry import QUERIES, load
+
+    load()
+    words = [f"w{i:03d}" for i in range(150)]
+    spark.createDataFrame([(1, " ".join(words)), (2, "..."), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in QUERIES["index_build"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2] and got[1].keywords.split() == words and got[2].keywords == ""
+    assert list(got[1].embedding) == hash_vector(words, 256) and list(got[2].embedding) == []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import documents as d
+from ..operators.retrieval import with_hash_embedding
 from ..sources.html import html_text
 from .registry import query, table
 
@@ -102,9 +103,9 @@ def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("index_build")
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = d.chunked(table(spark, sf_dir, "documents"), d.index_chunks)
+    chunks = with_hash_embedding(d.chunked(table(spark, sf_dir, "documents"), d.index_chunks), "text")
     key = F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))
-    return chunks.select(t.short_id(key, "kp_").alias("chunk_id"), "doc_id", "chunk_index", "n_chars", F.sha2("text", 256).alias("checksum"), F.array_join(t.tokens(F.col("text"), 80), " ").alias("keywords"))
+    return chunks.select(t.short_id(key, "kp_").alias("chunk_id"), "doc_id", "chunk_index", "n_chars", F.sha2("text", 256).alias("checksum"), F.array_join(t.tokens(F.col("text")), " ").alias("keywords"), "embedding")
 
 
 @query("table_aware_chunks")
