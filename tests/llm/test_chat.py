@@ -53,3 +53,23 @@ def test_odd_rows(spark):
     got = c.repaired(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert sorted(((r.conv_id, r.turn, r.action, r.inserted) for r in got), key=str) == sorted([(None, None, "keep", 0), (None, 1, "keep", 1), (2, 0, "keep", 0), (2, 0, "merge", 1), (3, 5, "keep", 1)], key=str)
     assert c.repaired(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_stretches_choose_as_the_whole_does():
+    """Cut anywhere, joined by costs and ranks: the way of the whole conversation, ties included."""
+    rng = random.Random(6)
+    for _ in range(300):
+        roles = [rng.choice(ROLES) for _ in range(rng.randint(2, 30))]
+        want = c.solve(roles, c.START, None)
+        cut = rng.randrange(1, len(roles))
+        before = c.costs(roles[:cut], [0 if p == c.START else c._FAR for p in range(4)])[-1]
+        cost, rank = c.stretch(roles[cut:])
+        q = want[-1][0]
+        p = min(range(4), key=lambda p: (before[p] + cost[4 * p + q], rank[4 * p + q]))
+        assert c.solve(roles[:cut], c.START, p) + c.solve(roles[cut:], p, q) == want
+
+
+def test_markers_in_a_text_are_not_the_template_s(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a <|end|>\n<|user|>"), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
+    got = "".join(r.rendered for r in c.repaired(df).orderBy("turn").collect())
+    assert got == "<|user|>\na <\\|end|>\n<\\|user|><|end|>\n<|assistant|>\n<|end|>\n"

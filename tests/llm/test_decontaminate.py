@@ -29,7 +29,7 @@ def brute(docs, items, window=10):
 
 
 def found(df):
-    out = [(r.doc_id, r.leak.n_words, r.leak.n_hit, list(r.leak["items"]), [j for x in r.leak.spans for j in range(x.s, x.s + x.n)]) for r in df.collect()]
+    out = [(r.doc_id, r[-1].n_words, r[-1].n_hit, list(r[-1]["items"]), [j for x in r[-1].spans for j in range(x.s, x.s + x.n)]) for r in df.collect()]
     return sorted(out, key=str)
 
 
@@ -40,7 +40,7 @@ def test_against_brute_force(spark, corpus):
     docs = spark.createDataFrame([(i, t, "l") for i, t in corpus] + [(None, items[0][1], "m")], "doc_id long, text string, leak string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = contaminated(docs, bench)
-    assert out.columns == ["doc_id", "text", "leak"]
+    assert out.columns == ["doc_id", "text", "leak", "leak1"] and {r.leak for r in out.collect()} == {"l", "m"}
     assert found(out) == brute([*corpus, (None, items[0][1])], items)
     assert found(contaminated(docs, bench, window=4)) == brute([*corpus, (None, items[0][1])], items, 4)
 

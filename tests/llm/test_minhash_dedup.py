@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tidemark.llm import minhash_dedup as m
@@ -61,3 +63,38 @@ def test_components_of_chains_stars_and_noise(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 120)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r["id"]: r["label"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 120)}, 200: 200, 201: 200}
+
+
+def test_letters_in_a_pattern_are_not_a_link(spark):
+    """Words of a well-known sequence and its complement, which linear hashes can't tell apart."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(1, f"{a} z"), (2, f"{a.translate(str.maketrans('ab', 'ba'))} z")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, TEXT int, Doc_ID int")
+    assert found(m.near_duplicates(docs, shingle=2)) == brute(rows, 2)
+
+
+def test_hot_keys_are_looked_up(spark, monkeypatch):
+    from tidemark.llm import spread
+
+    left = spark.createDataFrame([(i, 1 if i < 60 else i) for i in range(100)] + [(200, 7777)] * 30, "i long, k long")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(90)], "k long, v string")
+    want = sorted((r.i, r.k, f"v{r.k}" if r.k < 90 else None) for r in left.collect())
+    for parts in (1, 3, 1000):
+        monkeypatch.setattr(spread, "PARTS", parts)
+        got = spread.looked_up(left, right, ["k"]).collect()
+        assert sorted((r.i, r.k, r.found and r.found.v) for r in got) == want
+
+
+def test_recall_of_links_at_the_threshold(spark):
+    """Pairs at a similarity of just 0.8 and a little over, each a component of its own."""
+    rng, rows = random.Random(8), []
+    for i in range(400):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(91)]
+        changed = words.copy()
+        for j in range(10 if i % 2 else 8):  # a change in the middle of 5-word shingles costs one at the end
+            changed[-1 - j] = f"x{rng.randrange(10**9)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+    got = m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2)
+    ratio = [len(shingles(a[1], 2) & shingles(b[1], 2)) / len(shingles(a[1], 2) | shingles(b[1], 2)) for a, b in zip(rows[::2], rows[1::2], strict=True)]
+    assert min(ratio) >= 0.8 and max(ratio) < 0.84
+    assert got.where("kept").count() == 400

@@ -112,6 +112,21 @@ def test_empty_tables_and_clashing_names(spark, tables, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
-    some = spark.createDataFrame([(i, t, n, "x", 1, 2, "leak") for i, t, _, _, n in docs[:30]], "doc_id long, text string, n_chars long, rules string, removal int, row int, leak string")
-    for _, stage in corpus_pipeline.STAGES[1:4:2]:
-        assert set(some.columns) - {"leak"} <= set(stage(spark, some, path).columns)
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_no_column_is_lost_whatever_its_name(spark, tables, stage):
+    path, docs, _, _ = tables
+    names = ["rules", "Removal", "LEAK", "leak1", "kept_id", "row", "id", "sub", "Text", "h", "key"]
+    rows = [(i, t, n, *[f"{c}{i}" for c in names]) for i, t, _, _, n in docs if i < 2000]
+    some = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    out = corpus_pipeline.STAGES[stage][1](spark, some, path)
+    assert out.columns == some.columns
+    got = out.collect()
+    assert got and all(list(r[3:]) == [f"{c}{r[0]}" for c in names] for r in got)
+
+
+def test_packing_with_any_names(spark, tables):
+    path, docs, _, _ = tables
+    some = spark.createDataFrame([(i, t, 1, 2, 3) for i, t, *_ in docs[:20]], "doc_id long, text string, length int, Offset int, TEXT int")
+    assert corpus_pipeline.packing(spark, some, path).agg({"doc_id": "count"}).first()[0] >= 20

@@ -34,15 +34,15 @@ def labelled(spark, seed, n):
 
 def test_base_columns_against_plain_python(spark, corpus):
     rows = [*corpus, (1, "a\nb\na\n\n\na \na"), (2, "x | y <b> 100% #1 &"), (3, "a b c d e f a b c d e"), (4, "é　ü\nß"), (5, "a a a a a a a a a a")]
-    docs = spark.createDataFrame([(i, t, "r") for i, t in rows], "doc_id long, text string, rules string")
+    docs = spark.createDataFrame([(i, t, "r") for i, t in rows], "doc_id long, text string, Rules string")
     docs_, labels = labelled(spark, 1, 40)
     out = judged(docs, train(docs_, labels))
-    assert out.columns == ["doc_id", "text", "rules"]
+    assert out.columns == ["doc_id", "text", "Rules", "rules1"]
     for r in out.collect():
         x = base(r.text)
-        assert [r.rules[c] for c in COLUMNS] == x
-        assert r.rules.base_failed == (x[0] < 10 or 100 * x[4] > 20 * x[0])
-        assert not (r.rules.base_failed and r.rules.kept)
+        assert r.Rules == "r" and [r.rules1[c] for c in COLUMNS] == x
+        assert r.rules1.base_failed == (x[0] < 10 or 100 * x[4] > 20 * x[0])
+        assert not (r.rules1.base_failed and r.rules1.kept)
     assert out.count() == len(rows)
 
 

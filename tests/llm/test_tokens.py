@@ -16,7 +16,6 @@ def whole():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer())
-    t.encode_special_tokens = True
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], np.uint32)
 
 
@@ -133,6 +132,23 @@ def test_joined_chunks_never_make_an_added_token(tmp_path):
     t.add_tokens([AddedToken("one two", normalized=False), AddedToken("left\nright", normalized=False)])
     t.save(path)
     texts = ["x one", "y two", "x one two", "left", "right", "left\nright"]
-    e = Encoder(path, special=True)
+    e = Encoder(path)
     ids, n = e.encode(pa.array(texts))
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+
+
+def test_chunks_whose_hashes_meet_get_their_own_ids(monkeypatch, whole):
+    from tidemark.llm import tokens
+
+    monkeypatch.setattr(tokens, "byte_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    texts = ["one two three", "two one", "", "six ten", None, "eleven"]
+    ids, n = Encoder(tokenizer()).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole(x).tolist() for x in texts]
+
+
+def test_letters_in_a_pattern(whole):
+    """Two words of a well-known sequence that linear hashes can't tell apart."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    texts = [a, a.translate(str.maketrans("ab", "ba"))]
+    ids, n = Encoder(tokenizer()).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole(x).tolist() for x in texts]

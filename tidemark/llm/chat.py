@@ -11,12 +11,15 @@ repaired from its known first to its known last state. So no conversation is gat
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import n_tasks, stored
+from .rows import picked
+from .scratch import n_tasks, small_batches, stored
 from .words import pieces
 
 #: Costs of merging a turn into the one before, inserting an empty turn, giving a turn another role.
@@ -78,20 +81,34 @@ def solve(roles: list, first: int, last: int | None) -> list[tuple[int, str, tup
     """
     have = costs(roles, [0 if p == first else _FAR for p in range(4)])
     q = last if last is not None else min(range(4), key=lambda p: (have[-1][p] + INSERT * len(LAST[p]), p))
-    out = []
+    return list(_back(roles, have, q))[::-1]
+
+
+def _back(roles: list, have: list[list[int]], q: int) -> Iterator[tuple[int, str, tuple[int, ...]]]:
+    """The steps that lead to state q, the last one first."""
     for i in range(len(roles) - 1, -1, -1):
         s = _steps(roles[i])
         p = min(range(4), key=lambda p: (have[i][p] + s[p][q][0], p))
-        out.append((q, *s[p][q][1:]))
+        yield (q, *s[p][q][1:])
         q = p
-    return out[::-1]
+
+
+def stretch(roles: list) -> tuple[list[int], list[int]]:
+    """Of a stretch of turns, for each first and last state: the cost, and how its way ranks among those of the other first states.
+
+    The rank is that of equally cheap ways, by their states from the last one back.
+    """
+    have = [costs(roles, [0 if q == p else _FAR for q in range(4)]) for p in range(4)]
+    ways = [[[x[0] for x in _back(roles, have[p], q)] for q in range(4)] for p in range(4)]
+    rank = [sorted(range(4), key=lambda p: (ways[p][q], p)) for q in range(4)]
+    return [x for p in range(4) for x in have[p][-1]], [rank[q].index(p) for p in range(4) for q in range(4)]
 
 
 def _render(turns: list[dict], ways: list, fresh: bool, ends: bool, opened: int) -> list[dict]:
     """Rows of a stretch. fresh: it begins its conversation; ends: it ends it; opened: turns opened before it."""
     out = []
     for i, (turn, (state, action, between)) in enumerate(zip(turns, ways, strict=True)):
-        text, said = turn["text"] or "", ""
+        text, said = (turn["text"] or "").replace("<|", "<\\|"), ""
         for x in between:
             said += ("<|end|>\n" if opened else "") + f"<|{ROLES[x - 1]}|>\n"
             opened += 1
@@ -124,12 +141,16 @@ def repaired(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "tu
     conversation's turns after repair. rendered: the row's part of the conversation's rendering; the
     parts of a conversation in order of turn make it whole, so even an endless one never is one value.
 
+    A "<|" in a text is rendered as "<\\|", so that all markers are the template's own.
+
     Order is turn (null first), role, the text's hash. Unknown and null roles are relabelled; null texts are empty.
     Rows that repeat conv_id and turn are turns one after another. Rows with a null conv_id are one
     conversation. No rows give no rows; other columns play no part.
     """
     spark = turns.sparkSession
-    t = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    small_batches(spark)
+    t = picked(turns, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
+    t = t.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     order = ["conv_id", "turn", "role", F.xxhash64("text")]
     ranged = t.repartitionByRange(n_tasks(spark), *order).sortWithinPartitions(*order)
 
@@ -166,36 +187,35 @@ def repaired(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "tu
 
     def matrix(key, table):
         roles = table.sort_by("seq").column("role").to_pylist()
-        m = [x for p in range(4) for x in costs(roles, [0 if q == p else _FAR for q in range(4)])[-1]]
-        return pa.table({"conv_id": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int32()), "costs": pa.array([m], pa.list_(pa.int64())), "n": pa.array([len(roles)])})
+        cost, rank = stretch(roles)
+        return pa.table({"conv_id": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int32()), "costs": pa.array([cost], pa.list_(pa.int64())), "ranks": pa.array([rank], pa.list_(pa.int64()))})
 
     def join(table):
         table = table.sort_by("part")
-        steps = [[[x[4 * p + q] for q in range(4)] for p in range(4)] for x in table.column("costs").to_pylist()]
+        steps, ranks = ([[[x[4 * p + q] for q in range(4)] for p in range(4)] for x in table.column(c).to_pylist()] for c in ("costs", "ranks"))
         have = [[0 if p == START else _FAR for p in range(4)]]
         for m in steps:
             have.append([min(have[-1][p] + m[p][q] for p in range(4)) for q in range(4)])
         q = min(range(4), key=lambda p: (have[-1][p] + INSERT * len(LAST[p]), p))
         states = [q]
-        for m, before in zip(steps[::-1], have[-2::-1], strict=True):
-            q = min(range(4), key=lambda p: (before[p] + m[p][q], p))
+        for m, rank, before in zip(steps[::-1], ranks[::-1], have[-2::-1], strict=True):
+            q = min(range(4), key=lambda p: (before[p] + m[p][q], rank[p][q]))
             states.append(q)
         states = states[::-1]
         k = len(steps)
         return pa.table({"conv_id": table.column("conv_id"), "part": table.column("part"), "first": pa.array(states[:-1], pa.int32()), "last": pa.array(states[1:], pa.int32()), "at": pa.array(range(k), pa.int32()), "of": pa.array([k] * k, pa.int32())})
 
-    stretches = open_.select("conv_id", "part", "seq", "role").groupBy("conv_id", "part").applyInArrow(matrix, "conv_id long, part int, costs array<long>, n long")
+    stretches = open_.select("conv_id", "part", "seq", "role").groupBy("conv_id", "part").applyInArrow(matrix, "conv_id long, part int, costs array<long>, ranks array<long>")
     ends = stored(stretches.groupBy("conv_id").applyInArrow(join, "conv_id long, part int, first int, last int, at int, of int"))
 
     def opened(key, rows, end):
-        end = end.to_pylist()[0]
-        ways = solve(rows.sort_by("seq").column("role").to_pylist(), end["first"], end["last"])
-        return pa.table({"conv_id": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([key[1].as_py()], pa.int32()), "at": pa.array([end["at"]], pa.int32()), "opens": pa.array([sum(len(b) + (a != "merge") for _, a, b in ways)], pa.int64())})
+        ways = solve(rows.sort_by("seq").column("role").to_pylist(), end["first"][0].as_py(), end["last"][0].as_py())
+        return end.append_column("opens", pa.array([sum(len(b) + (a != "merge") for _, a, b in ways)], pa.int64()))
 
     both = open_.select("conv_id", "part", "seq", "role").groupBy("conv_id", "part").cogroup(ends.groupBy("conv_id", "part"))
-    counts = both.applyInArrow(opened, "conv_id long, part int, at int, opens long")
-    later = ends.select("conv_id", "part", "first", "last", "at", "of").alias("e").join(counts.alias("c"), F.expr("e.conv_id <=> c.conv_id and c.at < e.at"), "left")
-    ends = later.groupBy("e.conv_id", "e.part", "e.first", "e.last", "e.at", "e.of").agg(F.coalesce(F.sum("c.opens"), F.lit(0)).alias("before"))
+    counts = both.applyInArrow(opened, "conv_id long, part int, first int, last int, at int, of int, opens long")
+    earlier = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as tasks, at most
+    ends = counts.withColumn("before", F.coalesce(F.sum("opens").over(earlier), F.lit(0)))
 
     def finish(key, rows, end):
         end = end.to_pylist()[0]

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import keyed, unpacked
-from .scratch import n_tasks, stored
+from .rows import keyed, picked, unpacked
+from .scratch import n_tasks, small_batches, stored
 from .words import ALNUM_WORDS, Words, mix, pieces, ranges, windows
 
 _SLOTS, _CHUNK = 1 << 24, 1 << 13
@@ -76,10 +76,11 @@ def _runs(window: int):
                 order = list(zip(counts, tokens, strict=True))
                 many = max(size - 1, 1)
                 rarest = [min(range(i, i + many), key=lambda j: (order[j], j)) for i in range(len(words) - size + 1)]
-                for at in dict.fromkeys(rarest):
+                low_high: dict[int, list[int]] = {}
+                for i, at in enumerate(rarest):
+                    low_high.setdefault(at, [i, i])[1] = i
+                for at, (low, high) in low_high.items():
                     if counts[at]:
-                        low = rarest.index(at)
-                        high = len(rarest) - 1 - rarest[::-1].index(at)
                         out.append({"h": tokens[at], "item": r["item"], "run": words[low : high + size], "back": at - low, "size": size})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("h", pa.int64()), ("item", pa.int64()), ("run", pa.list_(pa.string())), ("back", pa.int32()), ("size", pa.int32())]))
 
@@ -142,6 +143,24 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([*(b.column(x).take(at) for x in ("id", "sub", "item")), pa.array(start, pa.int32()), pa.array(size, pa.int32())], ["id", "sub", "item", "s", "n"])
 
 
+def _merged(batches):
+    """Spans, in order of start, with those that overlap or touch made one."""
+    for b in batches:
+        lists = b.column("spans")
+        flat, ends = lists.flatten(), lists.offsets.to_numpy()
+        s, n = (flat.field(x).to_numpy().astype(np.int64) for x in ("s", "n"))
+        row = np.repeat(np.arange(len(b)), np.diff(ends))
+        # How far the spans up to here reach; rows are kept apart by more than any text's words.
+        gap = int((s + n).max(initial=0)) + 2
+        reach = np.maximum.accumulate(s + n + row * gap)
+        first = np.flatnonzero(np.r_[True, s[1:] + row[1:] * gap > reach[:-1]][: len(s)])
+        last = np.r_[first[1:] - 1, len(s) - 1][: len(first)]
+        size = reach[last] - row[first] * gap - s[first]
+        found = pa.StructArray.from_arrays([pa.array(s[first].astype(np.int32)), pa.array(size.astype(np.int32))], ["s", "n"])
+        at = np.r_[0, np.cumsum(np.bincount(row[first], minlength=len(b)))].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("sub"), pa.ListArray.from_arrays(pa.array(at), found)], ["id", "sub", "spans"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, text: bool = True) -> DataFrame:
     """docs with struct `leak`: n_words, n_hit, spans (hit word ranges, merged), items (ids, sorted as strings).
 
@@ -150,13 +169,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
     Null texts and items without words have no words and no windows. An item without id hits words but
     is not listed; items that repeat an id are one item with both texts' windows. Rows of docs that
-    repeat an id are judged each by its own text. Other columns come back unchanged, whatever their
-    names, but for one named leak, which is replaced; text=False leaves the text out. No items or no documents: nothing is hit.
+    repeat an id are judged each by its own text. All columns of docs come back unchanged, whatever their
+    names, and the struct after them; if one is named leak, in upper or lower case, the struct's name has a
+    number after it. text=False leaves the text out. No items or no documents: nothing is hit.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
     texts = rows.select("id", "sub", "text")
-    named = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text")).withColumn("item", F.xxhash64("text"))
+    named = picked(benchmark, item_id=item_col, text=item_text_col)
+    named = named.select(F.col("item_id").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("item", F.xxhash64("text"))
     items = stored(named.dropDuplicates(["item"]).select("item", "text").mapInArrow(_item_words, "item long, words array<string>, tokens array<long>").where("size(words) > 0"))
     tokens = items.select("item", F.posexplode("tokens").alias("at", "h"))
     bits = spark.sparkContext.broadcast(bitmap(tokens))
@@ -173,14 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
     spans = hits.groupBy("id", "sub").agg(F.array_sort(F.collect_set(F.struct("s", "n"))).alias("spans"))
     listed = hits.select("id", "sub", "item").distinct().join(named.select("item", "item_id"), "item").groupBy("id", "sub").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    # Merged in order of start: a span that begins in the last one (or right after it) makes that longer.
-    merged = F.expr(
-        "aggregate(spans, cast(array() as array<struct<s: int, n: int>>), (out, x) -> case "
-        "when size(out) > 0 and x.s <= out[size(out) - 1].s + out[size(out) - 1].n then concat(slice(out, 1, size(out) - 1), "
-        "array(named_struct('s', out[size(out) - 1].s, 'n', greatest(out[size(out) - 1].n, x.s + x.n - out[size(out) - 1].s)))) "
-        "else concat(out, array(x)) end)"
-    )
-    spans = spans.withColumn("spans", merged)
+    spans = spans.mapInArrow(_merged, "id long, sub long, spans array<struct<s: int, n: int>>")
     found = places.where("h is null").select("id", "sub", "n_words").distinct().join(spans, ["id", "sub"], "left").join(listed, ["id", "sub"], "left")
     leak = F.struct(
         "n_words",

@@ -4,7 +4,12 @@ Documents are dealt to blocks by hash. A block explodes its texts into n-grams a
 one, with its count, to the n-gram's hash bucket, packed into one row for each block and bucket. A
 bucket adds up the count table of its hashes, joins it to the blocks' n-grams and sends each block the
 corpus counts in the order asked. A block joins those to its n-grams again and sums each document's
-score. A frequent n-gram is one entry for each block, so no bucket runs hot; no table is broadcast.
+score. No table is broadcast. A frequent n-gram is one entry for each block: where a bucket has more
+than FAN blocks, they are added up in groups of FAN first, so a task meets FAN entries of an n-gram, or
+one for each group.
+
+N-grams travel packed, not as rows of their own: a third as many rows of n-grams as there are words, at
+the 14 bytes or so of a shuffled row, would be several times the input in each of three shuffles.
 """
 
 from __future__ import annotations
@@ -16,11 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .rows import packed, unpacked
-from .scratch import n_tasks
+from .scratch import n_tasks, small_batches, stored
 from .words import Words, pieces, ranges, windows
 
 #: Bytes of text in a block, about.
 BLOCK = 3 << 20
+#: Blocks of which one task adds up the counts.
+FAN = 4096
 
 
 def _ngrams(texts: pa.Array, order: int) -> tuple[Words, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -63,10 +70,11 @@ def scored(docs: DataFrame, *, text_col: str = "text", order: int = 2, backoff:
     given up; with no context it is c(word) / words of all documents.
 
     Null, empty or wordless texts have n_words 0, log_score 0 and mean_log_score null. All rows and
-    other columns come back as they are, whatever their names, but for one named lm, which is replaced;
-    text=False leaves the text out.
+    columns come back as they are, whatever their names, and the struct after them; if a column is named
+    lm, in upper or lower case, the struct's name has a number after it. text=False leaves the text out.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     wide, back = packed(docs, text_col), ["row", *["text"] * text]
 
     def sizes(batches):
@@ -88,13 +96,29 @@ def scored(docs: DataFrame, *, text_col: str = "text", order: int = 2, backoff:
         n, b, keys, counts = zip(*out, strict=True) if out else [()] * 4
         return pa.table({"block": pa.array([key[0].as_py()] * len(n), pa.int32()), "n": pa.array(n, pa.int32()), "bucket": pa.array(b, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
-    def count(table: pa.Table) -> pa.Table:
+    def added(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Each row's keys, the distinct keys with their sums, and which of them each key is."""
         keys = [np.cumsum(_unpacked(x), dtype=np.uint64) for x in table.column("keys").to_pylist()]
         counts = np.concatenate([_unpacked(x) for x in table.column("counts").to_pylist()])
-        which = np.unique(np.concatenate(keys), return_inverse=True)[1]
-        total = np.bincount(which, counts)[which].astype(np.int64)
+        distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+        return keys, distinct, np.bincount(which, counts).astype(np.int64), which
+
+    def count(table: pa.Table) -> pa.Table:
+        keys, _, sums, which = added(table)
         cut = np.cumsum([len(x) for x in keys])[:-1]
-        return pa.table({**{c: table.column(c) for c in ("block", "n", "bucket")}, "totals": pa.array([_packed(x) for x in np.split(total, cut)], pa.binary())})
+        return pa.table({**{c: table.column(c) for c in ("block", "n", "bucket")}, "totals": pa.array([_packed(x) for x in np.split(sums[which], cut)], pa.binary())})
+
+    def merge(table: pa.Table) -> pa.Table:
+        """The sums of a group of blocks, as if it were one block named by the group."""
+        _, distinct, sums, _ = added(table)
+        own = {c: table.column(c)[:1] for c in ("group", "n", "bucket")}
+        return pa.table({"block": own.pop("group"), **own, "keys": pa.array([_packed(np.diff(distinct, prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([_packed(sums)], pa.binary())})
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        keys, totals = (_unpacked(known.column(c)[0].as_py()) for c in ("keys", "totals"))
+        keys = np.cumsum(keys, dtype=np.uint64)
+        found = [_packed(totals[np.searchsorted(keys, np.cumsum(_unpacked(x), dtype=np.uint64))]) for x in asked.column("keys").to_pylist()]
+        return pa.table({**{c: asked.column(c) for c in ("block", "n", "bucket")}, "totals": pa.array(found, pa.binary())})
 
     def score(texts, totals):
         if not len(texts):
@@ -122,7 +146,15 @@ def scored(docs: DataFrame, *, text_col: str = "text", order: int = 2, backoff:
     # Both groupings have the same columns, so that one shuffle of the texts serves both.
     dealt = wide.select("block", "row", "text")
     sent = dealt.groupBy("block").applyInArrow(explode, "block int, n int, bucket int, keys binary, counts binary")
-    answers = sent.groupBy("n", "bucket").applyInArrow(count, "block int, n int, bucket int, totals binary")
+    counted, answered = "block int, n int, bucket int, keys binary, counts binary", "block int, n int, bucket int, totals binary"
+    if blocks <= FAN:
+        answers = sent.groupBy("n", "bucket").applyInArrow(count, answered)
+    else:
+        grouped = stored(sent.withColumn("group", F.pmod("block", F.lit(-(-blocks // FAN)))))
+        merged = stored(grouped.groupBy("group", "n", "bucket").applyInArrow(merge, counted))
+        known = merged.join(merged.groupBy("n", "bucket").applyInArrow(count, answered), ["block", "n", "bucket"]).withColumnRenamed("block", "group")
+        each = ["group", "n", "bucket"]
+        answers = grouped.groupBy(*each).cogroup(known.groupBy(*each)).applyInArrow(answer, answered)
     schema = T.StructType([*wide.select(*back).schema.fields, *T.StructType.fromDDL("lm struct<n_words: bigint, log_score: double, mean_log_score: double>").fields])
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
     return unpacked(out, docs, text_col, "lm", text=text)

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import stored
+from .rows import free, picked, place
+from .scratch import small_batches, stored
 from .tokens import encoded
 from .words import pieces, ranges
 
@@ -47,7 +48,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
                 cols.append(pa.ListArray.from_arrays(pa.array(np.r_[at, at[-1] + length[-1]].astype(np.int32)), pa.array(all_ids.view(np.int32))))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * ids])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
+    slim = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return slim.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * ids)
 
 
@@ -90,10 +92,11 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], in
 
 
 def pack(parts: DataFrame, *, length_col: str = "length", capacity: int = CAPACITY) -> DataFrame:
-    """parts, any table with a length from 1 to capacity in each row, with sequence_id and offset.
+    """parts, any table with a length from 1 to capacity in each row, with sequence_id and offset as its last columns.
 
-    Every row comes back once, with its other columns as they are; sequence_id counts from 0, offsets in
-    a sequence are gapless from 0. Which of the pieces of equal length goes where is not defined. A
+    Every row comes back once, with its columns as they are (the new ones' names have a number after them
+    where parts has one like it, in upper or lower case); sequence_id counts from 0, offsets in a
+    sequence are gapless from 0. Which of the pieces of equal length goes where is not defined. A
     null or other length raises an error; no rows give no rows.
     """
 
@@ -108,7 +111,8 @@ def pack(parts: DataFrame, *, length_col: str = "length", capacity: int = CAPACI
             seen[values] += many
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("length"), pa.array(np.full(len(n), task, np.int32)), pa.array(rank)], ["row", "length", "task", "rank"])
 
-    wide = parts.select(F.struct(*[F.col(f"`{c}`") for c in parts.columns]).alias("row"), F.col(length_col).cast("long").alias("length"))
+    names = [f"_{i}" for i in range(len(parts.columns))]
+    wide = parts.toDF(*names).select(F.struct(*names).alias("row"), F.col(f"_{place(parts, length_col)}").cast("long").alias("length"))
     wide = wide.withColumn("length", F.when(F.col("length").between(1, capacity), F.col("length")).otherwise(F.raise_error(F.lit(f"a length is not from 1 to {capacity}"))))
     kept = stored(wide.mapInArrow(ranked, T.StructType([*wide.schema.fields, *T.StructType.fromDDL("task int, rank long").fields])))
     tallies = kept.groupBy("task", "length").agg(F.count("*").alias("n"))
@@ -140,4 +144,5 @@ def pack(parts: DataFrame, *, length_col: str = "length", capacity: int = CAPACI
 
     joined = kept.join(tallies.select("task", "length", "before"), ["task", "length"]).select("row", "length", "rank", "before")
     out = joined.mapInArrow(placed, T.StructType([wide.schema["row"], *T.StructType.fromDDL("sequence_id long, offset long").fields]))
-    return out.select(*[F.col("row").getField(c).alias(c) for c in parts.columns if c not in ("sequence_id", "offset")], "sequence_id", "offset")
+    own = [F.col("row").getField(x).alias(c) for x, c in zip(names, parts.columns, strict=True)]
+    return out.select(*own, *[F.col(x).alias(free(parts, x)) for x in ("sequence_id", "offset")])

@@ -5,6 +5,10 @@ rows, probability-calibrated on rows held out, and scored in Arrow batches again
 A feature is the presence of a lower-case word, of five lower-case bytes in a row, or of three bytes
 in a row, named by a 64-bit hash. Only features whose share differs clearly between the classes get a
 weight, so a long text's many common features don't add up to a verdict.
+
+The labelled texts stay in the executors. They are gone through three times: for tallies of hash buckets,
+which say where clear features can be; for the counts of the features in those buckets; and for the
+chosen features of each text. The driver gets the chosen features' numbers only, and fits the weights.
 """
 
 from __future__ import annotations
@@ -18,14 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import packed, unpacked
+from .rows import packed, picked, unpacked
+from .scratch import small_batches, stored
 from .words import ALNUM_WORDS, LOWER, SPACE_WORDS, Words, mix, pieces, windows
 
 #: Labelled rows that training reads at most (those whose ids hash lowest), features with a weight in a head.
 TRAIN_ROWS, FEATURES = 8000, 1500
+#: Features are looked for in this many times FEATURES buckets of a head; standard errors that make a difference clear.
+_OPEN, _SURE = 4, 4.0
 #: A document is kept with P(good) of at least the first and P(toxic) under the second.
 GOOD, TOXIC = 0.5, 0.5
-_BUCKETS = 1 << 22
+_BUCKETS, _SLICE = 1 << 21, 1 << 15
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 
 
@@ -121,50 +128,85 @@ def _bucket(x: np.ndarray) -> np.ndarray:
     return (x & np.uint64(_BUCKETS - 1)).astype(np.int64)
 
 
-def _distinct(batches: list[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The distinct features of each text, one text after another."""
-    for b in batches:
-        h, doc = features(b.column("text"))
-        order = np.argsort(doc, kind="stable")
-        for x in np.split(h[order], np.searchsorted(doc[order], np.arange(1, len(b)))):
-            yield np.unique(x)
-
-
-def _open(batches: list[pa.RecordBatch], y: np.ndarray, fit: np.ndarray) -> np.ndarray:
-    """For each row of y (labels), the buckets of hashes, 4 * FEATURES at most, whose shares differ most clearly between its classes."""
-    tally = np.zeros((len(y), 2, _BUCKETS), np.int32)
-    for i, x in enumerate(_distinct(batches)):
-        if fit[i]:
-            k = np.unique(_bucket(x))
-            for row, label in zip(tally, y[:, i], strict=True):
-                row[label][k] += 1
-    out = np.zeros((len(y), _BUCKETS), bool)
-    for row, label, may in zip(tally, y, out, strict=True):
-        n1 = max(int(label[fit].sum()), 1)
-        z = np.zeros(_BUCKETS, np.float32)
-        for at in range(0, _BUCKETS, 1 << 18):
-            part = slice(at, at + (1 << 18))
-            z[part] = _clear(row[1][part], row[0][part], n1, max(int(fit.sum()) - int(label[fit].sum()), 1))
-        best = np.argpartition(-z, 4 * FEATURES)[: 4 * FEATURES]
-        may[best[z[best] > 4]] = True
+def _distinct(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The distinct features of each text."""
+    h, doc = features(b.column("text"))
+    order = np.argsort(doc, kind="stable")
+    for x in np.split(h[order], np.searchsorted(doc[order], np.arange(1, len(b)))):
+        yield np.unique(x)
+
+
+_HEADS = ("quality", "toxic")
+
+
+def _labels(b: pa.RecordBatch) -> np.ndarray:
+    return np.array([b.column(c).to_numpy() for c in _HEADS], np.int64)
+
+
+def _open_buckets(fit: DataFrame, n: np.ndarray, most: int) -> list[np.ndarray]:
+    """For each head, the buckets, `most` at most, whose shares differ most clearly between its classes. n: texts by head and class."""
+
+    def tally(batches):
+        total = np.zeros((2, 2, _BUCKETS), np.int32)
+        for b in batches:
+            for p in pieces(iter([b]), most=1 << 18):
+                for x, y in zip(_distinct(p), _labels(p).T.tolist(), strict=True):
+                    k = np.unique(_bucket(x))
+                    for head, label in enumerate(y):
+                        total[head, label][k] += 1
+        for at in range(0, _BUCKETS, _SLICE):
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total[:, :, at : at + _SLICE].tobytes()], pa.binary())], ["at", "counts"])
+
+    def clear(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, np.int32).reshape(2, 2, _SLICE) for x in table.column("counts").to_pylist()], axis=0)
+        z = np.array([_clear(k[1], k[0], *n[head, ::-1]) for head, k in enumerate(total)])
+        head, bucket = np.nonzero(z > _SURE)
+        return pa.table({"head": pa.array(head.astype(np.int32)), "bucket": pa.array(bucket + table.column("at")[0].as_py()), "z": pa.array(z[head, bucket])})
+
+    found = stored(fit.mapInArrow(tally, "at long, counts binary").groupBy("at").applyInArrow(clear, "head int, bucket long, z double"))
+    return [np.array([r.bucket for r in found.where(F.col("head") == i).orderBy(F.desc("z"), "bucket").limit(most).collect()], np.int64) for i in range(2)]
+
+
+def _chosen(fit: DataFrame, n: np.ndarray, most: int) -> list[np.ndarray]:
+    """For each head, the sorted hashes of the features, `most` at most, whose shares differ most clearly between its classes."""
+    may = np.zeros((2, _BUCKETS), bool)
+    for row, own in zip(may, _open_buckets(fit, n, _OPEN * most), strict=True):
+        row[own] = True
+    sent = fit.sparkSession.sparkContext.broadcast(np.packbits(may, axis=1))
+
+    def count(batches):
+        may = np.unpackbits(sent.value, axis=1).astype(bool)
+        for b in pieces(batches, most=1 << 18):
+            texts, y = list(_distinct(b)), _labels(b)
+            for head in range(2):
+                own = [x[may[head][_bucket(x)]] for x in texts]
+                f, which = np.unique(np.concatenate(own), return_inverse=True)
+                of = np.repeat(y[head], [len(x) for x in own])
+                k1, k = (np.bincount(which, w, len(f)).astype(np.int64) for w in (of, None))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), head, np.int32)), pa.array(f.view(np.int64)), pa.array(k1), pa.array(k - k1)], ["head", "f", "k1", "k0"])
+
+    found = stored(fit.mapInArrow(count, "head int, f long, k1 long, k0 long").groupBy("head", "f").agg(F.sum("k1").alias("k1"), F.sum("k0").alias("k0")))
+    out = []
+    for i in range(2):
+        n0, n1 = (float(x) for x in n[i])
+        share = (F.col("k1") + F.col("k0")) / F.lit(n0 + n1)
+        z = F.abs(F.col("k1") / F.lit(n1) - F.col("k0") / F.lit(n0)) / F.sqrt(share * (1 - share) * F.lit(1 / n1 + 1 / n0) + F.lit(1e-12))
+        best = found.where((F.col("head") == i) & (F.col("k1") + F.col("k0") >= 4)).select("f", z.alias("z")).where(F.col("z") > _SURE).orderBy(F.desc("z"), "f").limit(most)
+        out.append(np.sort(np.array([r.f for r in best.collect()], np.int64).view(np.uint64)))
     return out
 
 
-def _head(found: list[np.ndarray], y: np.ndarray, held: np.ndarray) -> Head:
-    """found: the features of each text that may differ. held: rows for calibration only."""
-    fit = np.flatnonzero(~held)
-    n1, n0 = max(int(y[fit].sum()), 1), max(int((1 - y[fit]).sum()), 1)
-    hashes, k = np.unique(np.concatenate([found[i] for i in fit]), return_inverse=True) if len(fit) else (np.empty(0, np.uint64), np.empty(0, int))
-    of = np.repeat(y[fit], [len(found[i]) for i in fit]) if len(fit) else np.empty(0)
-    z = _clear(np.bincount(k, of, len(hashes)), np.bincount(k, 1 - of, len(hashes)), n1, n0)
-    hashes = np.sort(hashes[np.argsort(-z, kind="stable")[:FEATURES]][: int((z > 4).sum())])
-    column = [np.empty(0, np.int64)]
-    for f in found:
-        at = np.minimum(np.searchsorted(hashes, f), max(len(hashes) - 1, 0))
-        column.append(at[hashes[at] == f] if len(hashes) else at[:0])
-    row, column = np.repeat(np.arange(len(y)), [len(x) for x in column[1:]]), np.concatenate(column)
+def _found(hashes: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of the sorted hashes are among the features x."""
+    at = np.minimum(np.searchsorted(hashes, x), max(len(hashes) - 1, 0))
+    return at[hashes[at] == x] if len(hashes) else at[:0]
+
+
+def _head(hashes: np.ndarray, found: list[np.ndarray], y: np.ndarray, held: np.ndarray) -> Head:
+    """found: which of the hashes each text has. held: rows for calibration only."""
+    row, column = np.repeat(np.arange(len(y)), [len(x) for x in found]), np.concatenate([np.empty(0, np.int64), *found])
     of_fit = ~held[row]
-    weights, bias = _logistic((np.cumsum(~held) - 1)[row[of_fit]], column[of_fit], np.ones(int(of_fit.sum())), y[fit], len(hashes))
+    weights, bias = _logistic((np.cumsum(~held) - 1)[row[of_fit]], column[of_fit], np.ones(int(of_fit.sum())), y[~held], len(hashes))
     score = (np.bincount(row, weights[column], len(y)) + bias)[held]
     a, b = 1.0, 0.0
     if held.any() and 0 < y[held].mean() < 1:
@@ -177,25 +219,42 @@ class Model(NamedTuple):
     toxic: Head
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, most: int = FEATURES) -> Model:
     """Both heads, from at most `rows` labelled rows (those whose ids hash lowest); a fifth is held out for calibration.
 
-    Rows with a null id, text or label are not used, nor labels that name no document. Without labels
-    both heads are without weights and say 1/2, or what the only class there is says.
+    most: features with a weight in a head. Rows with a null id, text or label are not used, nor labels
+    that name no document. Label rows that say the same of an id count once, others each; of documents
+    that repeat an id the text that hashes lowest counts. Without labels both heads are without weights
+    and say 1/2, or what the only class there is says.
     """
-    some = labels.where("doc_id is not null and quality is not null and toxic is not null").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    small_batches(docs.sparkSession)
+    some = picked(labels, id="doc_id", quality="quality", toxic="toxic").dropna().distinct()
     some = some.withColumn("h", F.xxhash64("id")).orderBy("h", "quality", "toxic").limit(rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    got = texts.join(F.broadcast(some), "id").select("h", "text", "quality", "toxic").toArrow().sort_by([("h", "ascending"), ("text", "ascending")])
-    batches = list(pieces(got.to_batches(), most=1 << 18))
-    held = np.arange(len(got)) % 5 == 4
-    y = np.array([got.column(c).to_numpy() for c in ("quality", "toxic")], np.int64).reshape(2, len(got))
-    # The texts are gone through twice, so that all features of all of them are never in memory at once.
-    may, found = _open(batches, y, ~held), ([], [])
-    for x in _distinct(batches):
-        for some, own in zip(may, found, strict=True):
-            own.append(x[some[_bucket(x)]])
-    return Model(*(_head(own, label, held) for own, label in zip(found, y, strict=True)))
+    texts = picked(docs, id=id_col, text=text_col).where("text is not null and id is not null")
+    got = texts.join(F.broadcast(some), "id").groupBy("h", "quality", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    got = got.select("h", F.col("quality").cast("int"), F.col("toxic").cast("int"), "text", (F.pmod(F.xxhash64("h", F.lit(5)), F.lit(5)) == 0).alias("held"))
+    got = stored(got.repartition(8, "h"))
+    fit = got.where("not held").select(*_HEADS, "text")
+    n = np.zeros((2, 2), np.int64)
+    for r in fit.groupBy(*_HEADS).count().collect():
+        n[0, r.quality] += r["count"]
+        n[1, r.toxic] += r["count"]
+    hashes = _chosen(fit, np.maximum(n, 1), most)
+    sent = docs.sparkSession.sparkContext.broadcast(hashes)
+
+    def found(batches):
+        for b in pieces(batches, most=1 << 18):
+            own = [[_found(x, f).astype("<u2").tobytes() for x in sent.value] for f in _distinct(b)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("h", *_HEADS, "held")), *(pa.array([x[i] for x in own], pa.binary()) for i in range(2))], ["h", *_HEADS, "held", "good", "bad"])
+
+    rows_ = got.mapInArrow(found, "h long, quality int, toxic int, held boolean, good binary, bad binary").toArrow()
+    rows_ = rows_.sort_by([(c, "ascending") for c in ("h", *_HEADS)])
+    held = rows_.column("held").to_numpy().astype(bool)
+    heads = []
+    for i, (label, column) in enumerate(zip(_HEADS, ("good", "bad"), strict=True)):
+        which = [np.frombuffer(x, "<u2").astype(np.int64) for x in rows_.column(column).to_pylist()]
+        heads.append(_head(hashes[i], which, rows_.column(label).to_numpy().astype(np.int64), held))
+    return Model(*heads)
 
 
 def _scores(head: Head, bits: np.ndarray, h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -215,10 +274,11 @@ def judged(docs: DataFrame, model: Model, *, text_col: str = "text", good: float
 
     Words are runs of bytes other than ASCII white space. base_failed: under 10 words, or over 20 % of
     words in 5-word windows that the text has more than once. kept: not base_failed, p_good >= good and
-    p_toxic < toxic. Null and empty texts have no words, so they fail. All rows and other columns come
-    back as they are, whatever their names, but for one named rules, which is replaced; text=False
-    leaves the text out.
+    p_toxic < toxic. Null and empty texts have no words, so they fail. All rows and columns come back as
+    they are, whatever their names, and the struct after them; if a column is named rules, in upper or
+    lower case, the struct's name has a number after it. text=False leaves the text out.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 

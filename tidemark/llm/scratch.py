@@ -46,3 +46,9 @@ def stored(df: DataFrame) -> DataFrame:
 
 def n_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Sets the session's limit on the bytes of an Arrow batch, unless it has one other than Spark's 64 MB, so that batches of long texts stay small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864", "67108864b", "64m", "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)

@@ -14,7 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import n_tasks
+from .rows import picked
+from .scratch import n_tasks, small_batches
 from .tokens import encoded
 from .words import pieces
 
@@ -30,8 +31,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
 
     part numbers the files' ranges of ids, part_start the ids before a document in its part. Each
     document ends with end_id, which n_tokens counts. Null texts are empty. Null ids come last; rows
-    that repeat an id follow each other in the order of their texts' hashes. No documents: no rows.
+    that repeat an id follow each other in the order of their texts' hashes, and may lie in several
+    parts. Other columns are not written, whatever their names. No documents: no rows.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches):
         part, at = TaskContext.get().partitionId(), 0
@@ -41,9 +44,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "d
             at += int(counts.sum())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(b), part, np.int32)), pa.array(start), pa.array(counts), _list_array(ids, counts)], ["doc_id", "part", "part_start", "n_tokens", "ids"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    slim = picked(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
-    ranged = slim.repartitionByRange(n_tasks(docs.sparkSession), order[0]).sortWithinPartitions(*order)
+    ranged = slim.repartitionByRange(n_tasks(docs.sparkSession), *order).sortWithinPartitions(*order)
     options = {"parquet.writer.version": "PARQUET_2_0", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#part_start": "false", "parquet.enable.dictionary#n_tokens": "false", "compression": "zstd"}
     ranged.mapInArrow(run, _SCHEMA).write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
 

@@ -3,7 +3,8 @@
 A byte-level BPE with its usual split pattern parts a text before it merges anything: a letter and a
 digit, a word and a comma, or a word and the space after it never share a token. Texts are cut where
 ASCII bytes alone show such a parting, each distinct chunk is encoded once by the tokenizers library,
-and a text's ids are its chunks' ids in turn. Chunks are known by 64-bit hashes, as words are.
+and a text's ids are its chunks' ids in turn. Chunks are found by 64-bit hashes and then compared byte
+for byte; should two ever share a hash, the library encodes the text that shows it whole.
 Tokenizers of any other make encode whole texts, and so do all for texts that hold an added token,
 such as <|endoftext|>: the library takes it out of a text before the split pattern sees it.
 """
@@ -17,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .words import byte_hashes, ranges
+from .words import byte_hashes, ranges, same_bytes
 
-#: Distinct chunks that a worker remembers (about 150 bytes each, at times) before it starts anew.
-_MOST = 500_000
+#: Distinct chunks that a worker remembers (about 100 bytes each, at times) before it starts anew.
+_MOST = 250_000
 _SPACE, _BLANK, _LETTER, _DIGIT, _MARK, _QUOTE, _OTHER = range(7)
 _KIND = np.full(256, _OTHER, np.uint8)
 _KIND[0x21:0x7F] = _MARK
@@ -55,18 +56,17 @@ def _cuts(data: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """special: a special token in a text gets its own id, as the library does by default; else its characters are text like any."""
+    """ids are the library's, with the file as it is: an added token in a text gets its own id."""
 
-    def __init__(self, path: str, end_id: int = 0, special: bool = False):
+    def __init__(self, path: str, end_id: int = 0):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not special
         self.end_id = end_id
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
-        self.added = [x["content"] for x in made.get("added_tokens") or [] if x["content"] and (special or not x["special"])]
+        self.added = [x["content"] for x in made.get("added_tokens") or [] if x["content"]]
         pre = made.get("pre_tokenizer") or {}
         self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not any(made.get(x) for x in ("normalizer", "truncation", "padding", "post_processor"))
         # A byte-level token has a character for each of its bytes.
@@ -77,6 +77,8 @@ class Encoder:
         """Chunk 0 is the end of a document; hashes are sorted, with the chunk of each."""
         self.hashes, self.chunk = np.empty(0, np.uint64), np.empty(0, np.int32)
         self.pool, self.starts, self.lengths = np.array([self.end_id], np.uint32), np.array([0]), np.array([1])
+        # The bytes of each chunk, the end's zero byte first.
+        self.bytes, self.at, self.size = np.zeros(1, np.uint8), np.array([0]), np.array([1])
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -119,6 +121,11 @@ class Encoder:
                 self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(n) - n])
                 self.lengths = np.concatenate([self.lengths, n])
                 self.pool = np.concatenate([self.pool, ids])
+                raw = [chunks[i].encode() for i in part]
+                size = np.array([len(x) for x in raw])
+                self.at = np.concatenate([self.at, len(self.bytes) + np.cumsum(size) - size])
+                self.size = np.concatenate([self.size, size])
+                self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(raw), np.uint8)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, end ids included, as uint32, and each text's number of them."""
@@ -127,13 +134,21 @@ class Encoder:
         held = np.zeros(len(texts), bool)
         for x in self.added:
             held |= pc.fill_null(pc.match_substring(texts, x), False).to_numpy(zero_copy_only=False)
-        if not held.any():
-            return self._chunked(texts)
         parts, counts = [], np.zeros(len(texts), np.int64)
-        for some, encode in ((np.flatnonzero(~held), self._chunked), (np.flatnonzero(held), self._whole)):
-            if len(some):
-                ids, counts[some] = encode(texts.take(pa.array(some)))
+        while not held.all():
+            some = np.flatnonzero(~held)
+            ids, n, sure = self._chunked(texts.take(pa.array(some)) if held.any() else texts)
+            if sure.all():
+                counts[some] = n
                 parts.append((some, ids))
+                break
+            held[some[~sure]] = True
+        if held.any():
+            some = np.flatnonzero(held)
+            ids, counts[some] = self._whole(texts.take(pa.array(some)))
+            parts.append((some, ids))
+        if len(parts) == 1:
+            return parts[0][1], counts
         out, starts = np.empty(counts.sum(), np.uint32), np.cumsum(counts) - counts
         for some, ids in parts:
             out[ranges(starts[some], counts[some])] = ids
@@ -145,8 +160,8 @@ class Encoder:
         out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
         return out, n + 1
 
-    def _chunked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """For texts without added tokens."""
+    def _chunked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For texts without added tokens; with which of them have no chunk that another one's hash hides."""
         texts = pc.fill_null(texts, "").cast(pa.large_binary())
         raw = texts.buffers()
         ends = np.frombuffer(raw[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -175,15 +190,19 @@ class Encoder:
         inside = np.ones(len(hashes), bool)
         inside[last] = False
         chunk[inside] = self.chunk[np.searchsorted(self.hashes, distinct)][which] if len(distinct) else 0
+        size = np.diff(edges)
+        same = self.size[chunk] == size
+        same[same] = same_bytes(data, edges[:-1][same], self.bytes, self.at[chunk[same]], size[same])
+        sure = np.diff(np.r_[0, np.cumsum(~same)[last]]) == 0
         lengths = self.lengths[chunk]
         ids = self.pool[ranges(self.starts[chunk], lengths)]
-        return ids, np.diff(np.r_[0, np.cumsum(lengths)[last]])
+        return ids, np.diff(np.r_[0, np.cumsum(lengths)[last]]), sure
 
 
 def encoder(path: str, end_id: int = 0) -> Encoder:
     """A worker's encoder for this file, kept between batches and tasks; its ids are those of the library as it comes."""
     if (path, end_id) not in _kept:
-        _kept[path, end_id] = Encoder(path, end_id, special=True)
+        _kept[path, end_id] = Encoder(path, end_id)
     return _kept[path, end_id]
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import picked
+
 
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port or trailing dot; null where the URL has none."""
@@ -57,7 +59,7 @@ def filtered(captures: DataFrame, entries: DataFrame, *, id_col: str, url_col: s
     blocked. Rows that repeat an id count as one capture each and come back as often; no entries block
     nothing. Other columns of captures play no part.
     """
-    c = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).cast("date").alias("t"))
+    c = picked(captures, id=id_col, url=url_col, t=time_col).withColumn("t", F.col("t").cast("date"))
     keys = c.select("id", "url", "t", F.explode(keys_of(F.col("url"))).alias("entry"))
     active = keys.join(intervals(entries), "entry").where("t >= valid_from and (valid_to is null or t < valid_to)")
     hits = active.groupBy("id", "url", "t").agg(F.array_sort(F.collect_set("list")).alias("lists"), F.array_sort(F.collect_set("entry")).alias("entries"))

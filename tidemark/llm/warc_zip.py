@@ -23,7 +23,8 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .rows import picked
+from .scratch import n_tasks, small_batches, stored
 from .words import pieces
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
@@ -126,10 +127,13 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     Of rows with equal payloads of least_bytes or more, those with the smallest id are responses and the
     others revisit it; other rows are responses. Null html is an empty payload. A row with a null id is
     a response unless its payload has an id's; it is written with an empty page id. Repeats of a row
-    are records of their own. Rows that can't be told apart by id keep their url. No rows: no archives.
+    are records of their own. Rows that can't be told apart by id keep their url. Other columns are not
+    written, whatever their names. No rows: no archives.
     A task writes under names of its own and reports them at its end, so what a lost task left is not read.
     """
-    p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    small_batches(pages.sparkSession)
+    p = picked(pages, page_id=id_col, url=url_col, html=html_col)
+    p = p.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("hash", F.sha1(F.col("html").cast("binary")))
     first = stored(p.where(F.octet_length("html") >= least_bytes).groupBy("hash").agg(F.min("page_id").alias("first")))
     marked = p.join(first, "hash", "left").select("page_id", "url", "html", "first")
@@ -215,4 +219,5 @@ def read_records(ranges: DataFrame, payload: bool = True) -> DataFrame:
                 names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return ranges.repartition(F.xxhash64("path", "offset")).mapInArrow(run, _RECORDS)
+    # A number of tasks is given, as ranges' own rows are small and would be brought together.
+    return ranges.repartition(n_tasks(ranges.sparkSession), F.xxhash64("path", "offset")).mapInArrow(run, _RECORDS)

@@ -1,8 +1,10 @@
 """Words of whole texts as 64-bit hashes, many documents at a time in numpy.
 
 A batch's texts are joined by a space into one byte buffer (a space is in no word), so one pass finds
-all words. A word's hash comes from a prefix sum of random byte values times powers of an odd number:
-the difference of two prefix values, divided by the power at its start, depends on its bytes alone.
+all words. A word is hashed eight bytes at a time, each step mixing all that came before with the next
+eight, and a long word by xxhash; a window of words is hashed from the hashes of its halves. No step is
+linear, so no pattern of repeated letters or words makes two of them meet. Where a result hangs on
+two texts being equal, callers compare the bytes, or two hashes with seeds of their own (128 bits).
 """
 
 from __future__ import annotations
@@ -12,13 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 PIECE_BYTES = 1 << 19
-_M = 0x9E3779B97F4A7C15
-_M_INV = pow(_M, -1, 1 << 64)
-_R = 0xD1342543DE82EF95
-_R_INV = pow(_R, -1, 1 << 64)
-_T = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words of more bytes are hashed by xxhash, one by one.
+_LONG = 128
+_C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+_FIRST_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 _b = np.arange(256)
 #: Words `[^\x20\x09-\x0D]+`.
@@ -27,31 +29,50 @@ SPACE_WORDS = ~((_b == 0x20) | ((_b >= 9) & (_b <= 13)))
 ALNUM_WORDS = ((_b >= 0x30) & (_b <= 0x39)) | ((_b >= 0x61) & (_b <= 0x7A)) | (_b >= 0x80)
 LOWER = np.where((_b >= 65) & (_b <= 90), _b + 32, _b).astype(np.uint8)
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64; kept between calls."""
-    if base not in _powers or len(_powers[base]) <= n:
-        a = np.full(max(n + 1, 1 << 16), base, np.uint64)
-        a[0] = 1
-        _powers[base] = np.multiply.accumulate(a)
-    return _powers[base]
-
-
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     x = (x ^ np.uint64(salt)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(32))
 
 
-def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a, then b."""
+    x = a * _C1
+    return mix((x ^ (x >> np.uint64(32))) + b)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on as one number; zeros follow its end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hash of the bytes data[starts[i]:ends[i]], for spans of any lengths."""
-    n = len(data)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_T[data] * powers(_M, n)[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(_M_INV, n)[starts])
+    at, n = eights(data), ends - starts
+    h = mix(at[starts] & _FIRST_BYTES[np.minimum(n, 8)], 0x5851F42D4C957F2D * (2 * seed + 1) & 0xFFFFFFFFFFFFFFFF)
+    more, step = np.flatnonzero((n > 8) & (n <= _LONG)), 8
+    while len(more):
+        h[more] = pair(h[more], at[starts[more] + step] & _FIRST_BYTES[np.minimum(n[more] - step, 8)])
+        step += 8
+        more = more[n[more] > step]
+    for i in np.flatnonzero(n > _LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
+    return mix(h + n.astype(np.uint64) * _C2)
+
+
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which spans of n[i] bytes from a_at[i] in a and b_at[i] in b are equal."""
+    x, y = eights(a), eights(b)
+    same = ((x[a_at] ^ y[b_at]) & _FIRST_BYTES[np.minimum(n, 8)]) == 0
+    more, step = np.flatnonzero(same & (n > 8)), 8
+    while len(more) and step < _LONG:
+        same[more] = ((x[a_at[more] + step] ^ y[b_at[more] + step]) & _FIRST_BYTES[np.minimum(n[more] - step, 8)]) == 0
+        step += 8
+        more = more[same[more] & (n[more] > step)]
+    for i in more.tolist():
+        same[i] = np.array_equal(a[a_at[i] : a_at[i] + n[i]], b[b_at[i] : b_at[i] + n[i]])
+    return same
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -91,8 +112,15 @@ class Words:
         self.offsets = np.searchsorted(self.starts, self.doc_starts)
         self.counts = np.diff(self.offsets)
 
-    def hashes(self) -> np.ndarray:
-        return byte_hashes(self.data, self.starts, self.ends)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        return byte_hashes(self.data, self.starts, self.ends, seed)
+
+    def numbers(self) -> np.ndarray:
+        """A number for each word, the same for equal words of these texts alone: by their bytes, not by hashes."""
+        n = self.ends - self.starts
+        flat = self.data[ranges(self.starts, n)]
+        words = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.r_[0, np.cumsum(n)]), pa.py_buffer(flat)])
+        return words.dictionary_encode().indices.to_numpy().astype(np.int64)
 
     def text(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
@@ -100,15 +128,17 @@ class Words:
 
 def windows(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive words; len(words) - k + 1 of them."""
-    n = len(words)
-    if n < k:
+    if len(words) < k:
         return np.empty(0, np.uint64)
-    if k == 1:
-        return mix(words, 1)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(words * powers(_R, n)[:n], out=total[1:])
-    return mix((total[k:] - total[:-k]) * powers(_R_INV, n)[: n - k + 1], k)
+    # Of the powers of two that make k, each one's windows follow those before.
+    power, width, out, have = words, 1, None, 0
+    while True:
+        if k & width:
+            out = power if out is None else pair(out[: len(words) - have - width + 1], power[have:])
+            have += width
+        if have == k:
+            return mix(out, k)
+        power, width = pair(power[:-width], power[width:]), 2 * width
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -118,12 +148,16 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of words[starts[i]:ends[i]], for spans of any lengths."""
-    n = len(words)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(words * powers(_R, n)[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(_R_INV, n)[starts] + (ends - starts).astype(np.uint64), 5)
+    """Hash of words[starts[i]:ends[i]], for spans of any lengths from 1: of the two longest windows, a power of two, at its ends."""
+    n = ends - starts
+    out, power, width = np.empty(len(n), np.uint64), words, 1
+    while len(n):
+        own = np.flatnonzero((n >= width) & (n < 2 * width))
+        out[own] = pair(power[starts[own]], power[ends[own] - width])
+        if n.max() < 2 * width:
+            break
+        power, width = pair(power[:-width], power[width:]), 2 * width
+    return mix(out + n.astype(np.uint64), 5)
 
 
 def sliding_least(x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
