@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics as m
+from tidemark.operators.quantiles import quantiles
 
 
 def test_point_and_window_errors(spark):
@@ -43,3 +44,14 @@ def test_retrain_reads_the_oldest_days(spark, newest_first, fires):
     daily = spark.createDataFrame(rows, "model string, day date, n long, rmse double, peak_rmse double, spike_rmse double")
     row = m.retrain_reasons(daily, "model", F.lit(as_of), F.lit(None).cast("double"), F.lit(as_of)).first()
     assert ("peak" in row["reasons"]) == fires and row["should_retrain"] == fires and row["n_7d"] == 60
+
+
+def test_quantiles_with_an_outlier_and_a_hot_key(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = [*rng.normal(size=3000), 1e30, -1e30, *[0.5] * 500]
+    rows = [("hot", float(v)) for v in values] + [("one", 2.0), (None, 1.0), (None, 4.0), ("none", None)]
+    got = {r["k"]: (r["a"], r["b"]) for r in quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"a": 0.1, "b": 0.5}).collect()}
+    assert got.keys() == {"hot", "one", None} and got["one"] == (2.0, 2.0) and got[None] == (1.3, 2.5)
+    assert np.allclose(got["hot"], np.quantile(values, [0.1, 0.5]), rtol=1e-12)

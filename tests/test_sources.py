@@ -156,3 +156,19 @@ def test_baseline_artifacts(spark, tmp_path):
     baselines.save(model, str(tmp_path / "m"), spark, "v1", ["x", "y"], {"rmse": 0.0})
     again, manifest = baselines.load(str(tmp_path / "m"), spark)
     assert manifest["version"] == "v1" and abs(baselines.predicted(again, df.limit(1), ["x", "y"]).first()["predicted"] - 1) < 1e-6
+
+
+def test_models_are_tried_in_turn(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i), 2.0 * i) for i in range(30)], "x double, price double")
+    assert baselines.fit_chain(df, ["x"], "price")[1:] == ("boosted", {})
+    real = baselines.fit
+
+    def fit(train, features, label, kind):
+        if kind == "boosted":
+            raise ValueError("no such library\nmore")
+        return real(train, features, label, kind)
+
+    monkeypatch.setattr(baselines, "fit", fit)
+    assert baselines.fit_chain(df, ["x"], "price")[1:] == ("forest", {"boosted": "no such library"})
+    with pytest.raises(ValueError, match="no model"):
+        baselines.fit_chain(df.limit(0), ["x"], "price", ("boosted", "forest"))

@@ -1,6 +1,8 @@
+import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as t
@@ -37,12 +39,59 @@ def test_short_ids(spark):
     assert len(one(spark, t.short_id(F.col("x"), "kp_"), x="???")) == 19
 
 
+def one_text(clean, text):
+    return clean(pa.array([text])).to_pylist()[0]
+
+
+def greedy_chunks(text, size=1000, overlap=180):
+    """The rule of paragraph_chunks, a part at a time."""
+    parts = [s.strip() for p in re.split(r"\n\s*\n", text) for s in (re.split(r"(?<=[。！？；;])", p.strip()) if len(p.strip()) > 1.5 * size else [p])]
+    chunks, now = [], ""
+    for p in filter(None, parts):
+        if now and len(now) + 2 + len(p) + 2 > size:
+            chunks.append(now)
+            end = now[-overlap:]
+            at = max((i for i, c in enumerate(end) if c in "。\n；;"), default=0)
+            end = (end[at + 1 :] if at > 20 else end).strip()
+            now = f"{end}\n\n{p}" if end else p
+        else:
+            now = f"{now}\n\n{p}" if now else p
+    chunks += [now] if now else []
+    out = []
+    for c in chunks:
+        if out and len(c) < 300 and len(out[-1]) + len(c) <= size + overlap:
+            out[-1] = f"{out[-1]}\n\n{c}"
+        else:
+            out.append(c)
+    return [c for c in out if len(c) >= 80]
+
+
+def test_chunks_follow_their_rule():
+    rng = random.Random(2)
+    for _ in range(200):
+        text = "\n\n".join("".join(rng.choice("ab ；。;\n") * rng.randint(1, 60) for _ in range(rng.randint(1, 90))) for _ in range(rng.randint(1, 12)))
+        assert d.paragraph_chunks(text) == greedy_chunks(text)
+
+
+def test_sections_are_cut_at_the_best_places():
+    long = "intro words " * 20 + "\n## head\n" + "alpha beta, gamma: delta. " * 120
+    chunks = d.section_chunks(long)
+    assert chunks[1].startswith("## head") and all(len(c) <= 1500 for c in chunks) and all(c.endswith(".") for c in chunks[1:])
+    assert all(b[:60] in a[-180:] or b[:60].strip() in a for a, b in zip(chunks[1:], chunks[2:], strict=False))
+    table = "| a | b |\n|---|---|\n" + "\n".join(f"| {i} | {'x' * 40} |" for i in range(60))
+    mixed = d.section_chunks("before it " * 10 + "\n" + table + "\nafter it")
+    assert mixed[0].startswith("before") and mixed[-1] == "after it" and all(x.startswith("| a | b |\n|---|---|\n") for x in mixed[1:-1]) and len(mixed) > 3
+    assert "".join(d.section_chunks("y" * 4000, overlap=0)) == "y" * 4000
+
+
 def test_cleaning():
     head = "\n".join(f"Header\nline {'x' * 50} {i}\n- {i} -" for i in range(6))
-    got = d.cleaned_page(head + "\n\n\n\nend  of\ttext\x01")
+    got = one_text(d.cleaned_pages, head + "\n\n\n\nend  of\ttext\x01")
     assert "Header" not in got and "- 3 -" not in got and got.endswith("\n\nend of text") and got.count("line") == 6
-    assert d.cleaned_page("") == ""
-    assert d.cleaned_runs("a\na\nb\nsame\nx\nsame\ny\nsame\nz\nsame") == "a\nb\nx\ny\nz"
+    assert one_text(d.cleaned_pages, "") == "" and d.cleaned_pages(pa.array([None, "a"])).to_pylist() == [None, "a"]
+    assert one_text(d.cleaned_runs, "\n\na\na\nb\nsame\nx\nsame\ny\nsame\r\nz\nsame\n\n\n9\n\n9\n\n9\n\n9") == "a\nb\nx\ny\nz\n\n9\n\n9\n\n9\n\n9"
+    assert d.cleaned_runs(pa.array([None, "", "x \n x"])).to_pylist() == [None, "", "x"]
+    assert d.cleaned_pages(pa.array([], pa.string())).to_pylist() == d.cleaned_runs(pa.array([], pa.string())).to_pylist() == []
 
 
 def test_chunks_hold_all_text():
@@ -86,8 +135,7 @@ def test_html():
 def test_queries_without_sql_against_plain_python(spark):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = Counter(r["doc_id"] for r in QUERIES["doc_chunks"](spark, SF).collect())
-    assert got == Counter({k: n for k, v in docs.items() if (n := len(d.paragraph_chunks(d.cleaned_page(v))))})
-    assert {r["doc_id"]: r["n_chars"] for r in QUERIES["line_cleanup_b"](spark, SF).collect()} == {k: len(d.cleaned_runs(v)) for k, v in docs.items()}
+    assert got == Counter({k: n for k, v in docs.items() if (n := len(greedy_chunks(one_text(d.cleaned_pages, v))))})
     index = QUERIES["index_build"](spark, SF).collect()
     assert len({r["chunk_id"] for r in index}) == len(index) == sum(len(d.index_chunks(v)) for v in docs.values())
 
@@ -102,3 +150,9 @@ def test_index_keeps_every_token_of_a_chunk(spark, tmp_path):
     got = {x.doc_id: x for x in QUERIES["index_build"](spark, str(tmp_path)).collect()}
     assert sorted(got) == [1, 2] and got[1].keywords.split() == words and got[2].keywords == ""
     assert list(got[1].embedding) == hash_vector(words, 256) and list(got[2].embedding) == []
+
+
+def test_an_index_gets_a_document_s_new_chunks(spark):
+    old = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c"), (None, 0, "n")], "doc_id long, chunk_index int, text string")
+    new = spark.createDataFrame([(1, 0, "A"), (3, 0, "d")], old.schema)
+    assert sorted(map(str, map(tuple, d.replaced_chunks(old, new).collect()))) == sorted(map(str, [(None, 0, "n"), (1, 0, "A"), (2, 0, "c"), (3, 0, "d")]))

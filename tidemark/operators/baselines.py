@@ -6,6 +6,8 @@ import hashlib
 import json
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -27,6 +29,17 @@ def leak_report(df: DataFrame, banned: Sequence[str] = BANNED) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, int(c in banned)) for c in df.columns], "column_name string, is_banned int")
 
 
+def fit_chain(train: DataFrame, features: Sequence[str], label: str, kinds: Sequence[str] = ("boosted", "forest", "linear")) -> tuple[PipelineModel, str, dict[str, str]]:
+    """The first kind of model that can be fitted, its name, and why those before it could not."""
+    failed: dict[str, str] = {}
+    for kind in kinds:
+        try:
+            return fit(train, features, label, kind), kind, failed
+        except (PySparkException, Py4JJavaError, ValueError) as e:
+            failed[kind] = str(e).splitlines()[0]
+    raise ValueError(f"no model could be fitted: {failed}")
+
+
 def fit(train: DataFrame, features: Sequence[str], label: str, kind: str = "linear", seed: int = 1) -> PipelineModel:
     """A model of this kind ('linear', 'boosted' or 'forest') on rows without nulls in features and label."""
     makers = {"linear": LinearRegression, "boosted": GBTRegressor, "forest": RandomForestRegressor}

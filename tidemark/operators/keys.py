@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 
 def best_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
-    """The first row of each key in this order, which should be total; null keys form one key."""
+    """The first row of each key in this order, which should be total; null keys form one key.
+
+    As the row number is only compared with 1, Spark keeps each task's first row of a key before the
+    shuffle (WindowGroupLimit), so a hot key sends one row from each task.
+    """
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 from ..functions.columns import clip, exact_mean, percent_error, rmse
 from .keys import best_per_key
 from .quantiles import quantiles
@@ -64,6 +66,8 @@ def tiered_lookup(rows: DataFrame, memory: DataFrame, tiers: Sequence[Sequence[s
     if their domain says so; up to 100,000 of them are broadcast, so that rows are not shuffled by a few hours.
     """
     enough = memory.where(F.col("sample_count") >= least_samples)
+    if len(tiers) > 1:  # read by each tier, computed once
+        enough = stored(enough)
     out = rows
     for i, keys in enumerate(tiers):
         best = best_per_key(enough, keys, F.col("sample_count").desc(), F.col(value))
@@ -161,6 +165,7 @@ def fold_summary(folds: DataFrame, keys: Sequence[str], fold: str, error: str) -
 
 
 def time_split(df: DataFrame, key: str, ts: str, days: int = 30) -> DataFrame:
-    """Adds part: 'test' for the last days of each series, else 'train'."""
-    last = F.max(ts).over(Window.partitionBy(key))
-    return df.withColumn("part", F.when(F.col(ts) >= last - F.expr(f"INTERVAL {days} DAYS"), "test").otherwise("train"))
+    """Adds part: 'test' for the last days of each series, else 'train'. Rows are not shuffled where the series' ends are few enough to be broadcast."""
+    last = df.groupBy(F.col(key).alias("_key")).agg(F.max(ts).alias("_last"))
+    test = F.col(ts) >= F.col("_last") - F.expr(f"INTERVAL {days} DAYS")
+    return df.join(last, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("part", F.when(test, "test").otherwise("train")).drop("_key", "_last")

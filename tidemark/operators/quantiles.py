@@ -1,8 +1,10 @@
 """Exact, linearly interpolated quantiles of groups of any size.
 
 The percentile aggregate gathers all distinct values of a group in one task. Here values are counted
-first, by group and value, so that a large group is spread over all tasks; a histogram of equal steps
-then tells in which step each wanted rank lies, and only those steps' values are put in order.
+first, by group and value, so that a large group is spread over all tasks. Each group's different values
+are cut into STEPS steps of about as many of them each, whatever their distribution (the cuts are
+approximate quantiles, which hold bounded memory and combine before the shuffle). Exact counts of the
+steps tell in which of them each wanted rank lies, and only those steps' values are put in order.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS = 4096
+STEPS = 128
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], column: str, points: Mapping[str, float]) -> DataFrame:
@@ -24,7 +26,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], column: str, points: Mapping[s
     ks = [f"_k{i}" for i in range(len(keys))]
     values = df.select(*[F.col(k).alias(a) for k, a in zip(keys, ks, strict=True)], F.nanvl(F.col(column).cast("double"), F.lit(None)).alias("_v")).where("_v is not null")
     counts = values.groupBy(*ks, "_v").agg(F.count("*").alias("_n"))
-    ends = counts.groupBy(*ks).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_all"))
+    ends = counts.groupBy(*ks).agg(F.percentile_approx("_v", [i / STEPS for i in range(1, STEPS)], 16 * STEPS).alias("_cuts"), F.sum("_n").alias("_all"))
 
     def joined(left: DataFrame, right: DataFrame, *more: str) -> DataFrame:
         """left with right's columns, of the same keys; null matches null."""
@@ -34,8 +36,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], column: str, points: Mapping[s
             return left.join(F.broadcast(r), F.lit(True))
         return left.join(r, [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in on]).drop(*[f"{k}_r" for k in on])
 
-    step = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * STEPS), F.lit(STEPS - 1))).otherwise(0)
-    stepped = joined(counts, ends).withColumn("_step", step.cast("int"))
+    step = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    stepped = joined(counts, ends).withColumn("_step", step).drop("_cuts")
 
     def before(*by: str, order: str) -> Column:
         return F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -23,8 +23,8 @@ def hourly(events: DataFrame, key: str, ts: str, value: str) -> DataFrame:
 
 
 def standardized(df: DataFrame, ts: str, *rest: str, keep: str = "first") -> DataFrame:
-    """Rows with a readable time, one for each time: of repeated ones the first (or last) by the rest columns."""
-    order = [F.col(c).asc_nulls_last() if keep == "first" else F.col(c).desc_nulls_last() for c in rest] or [F.lit(0)]
+    """Rows with a readable time, one for each time: of repeated ones the first (or last) by the rest columns, or by all columns."""
+    order = [F.col(c).asc_nulls_last() if keep == "first" else F.col(c).desc_nulls_last() for c in rest or df.columns]
     ranked = df.where(F.col(ts).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(ts).orderBy(*order)))
     return ranked.where("_n = 1").drop("_n")
 

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("series_queries", "error_queries", "table_queries", "quality_queries", "text_queries", "retrieval_queries", "model_queries")
+MODULES = ("series_queries", "error_queries", "table_queries", "quality_queries", "text_queries", "retrieval_queries", "model_queries", "source_queries")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -212,3 +212,44 @@ def embedding_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array(F.lit(0.5)).alias("embedding"), F.when(F.col("doc_id") % 2 == 0, "local_hash").alias("provider"))
     stale = r.stale(F.col("embedding"), F.col("provider"), F.lit("m"), F.lit("v1"), ("local_hash", "m", "v1"))
     return r.refreshed(docs, stale, id_col="doc_id", text_col="text", vector_col="embedding", size=64).select("doc_id", "embedding")
+
+
+_BOOSTS = [("src1", ["the", "onth"]), ("reation", ["eau", "tion"])]
+
+
+def _tier(name: str, more: list[str]) -> str:
+    hit = " OR ".join(f"contains(body, '{w}')" for w in (name, *more))
+    return f"(CASE WHEN contains(title, '{name}') THEN 0.14::DOUBLE WHEN core AND ({hit}) THEN 0.10::DOUBLE WHEN {hit} THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END)"
+
+
+@query(
+    "domain_boost_tiers",
+    f"""WITH x AS (SELECT doc_id, (doc_id % 101)::DOUBLE / 101 AS s, lower(source) AS title, lower(coalesce(text, '') || ' ' || lang) AS body, lang = 'en' AS core, lang = 'fr' AS imported, lang = 'es' AS demoted, lang = 'de' AS allowed FROM documents),
+b AS (SELECT *, {" + ".join(_tier(*x) for x in _BOOSTS)} AS raw FROM x),
+c AS (SELECT doc_id, s, round(least(CASE WHEN demoted THEN least(raw, 0.02::DOUBLE) ELSE raw + CASE WHEN allowed THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END END, 0.18::DOUBLE), 6) AS boost,
+  round(least(CASE WHEN imported THEN 0.06::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN demoted THEN 0.28::DOUBLE ELSE 0.0::DOUBLE END, CASE WHEN demoted THEN 0.45::DOUBLE ELSE 0.15::DOUBLE END), 6) AS penalty FROM b)
+SELECT doc_id, boost, penalty, round(greatest(0.0::DOUBLE, s + boost - penalty), 6) AS boosted_score FROM c""",
+)
+def domain_boost_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").withColumn("hybrid_score", (F.col("doc_id") % 101).cast("double") / 101)
+    body, lang = F.concat_ws(" ", F.coalesce("text", F.lit("")), "lang"), F.col("lang")
+    out = r.boosted(found, F.lit(_ASK + " reation src1"), F.col("source"), body, dict(_BOOSTS), [], lang == "es", core=lang == "en", imported=lang == "fr", allowed=lang == "de")
+    return out.select("doc_id", "boost", "penalty", "boosted_score")
+
+
+_QUESTION = "Hethe reation?"
+
+
+def _count_sql(parts: list[str], whole: str) -> str:
+    counted = " + ".join(f"(length(t) - length(replace(t, '{p}', ''))) / {len(p)}" for p in parts)
+    return f"WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (SELECT doc_id, ({counted} + CASE WHEN contains(t, '{whole}') THEN 1 ELSE 0 END)::BIGINT AS score FROM x) SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20"
+
+
+@query("file_fallback_search", _count_sql(r.question_parts(_QUESTION), _QUESTION))
+def file_fallback_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.count_search(table(spark, sf_dir, "documents"), r.question_parts(_QUESTION), _QUESTION, id_col="doc_id", text_col="text")
+
+
+@query("business_file_search", _count_sql(["hethe", "reation"], "hethe reation").replace("THEN 1 ELSE 0", "THEN 0 ELSE 0"))
+def business_file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r.count_search(table(spark, sf_dir, "documents"), ["hethe", "reation"], "hethe reation", id_col="doc_id", text_col="text", bonus=0)

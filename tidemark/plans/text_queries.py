@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -85,20 +85,33 @@ t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM k GROUP B
 SELECT x.doc_id, sha256(trim(regexp_replace(regexp_replace(coalesce(t.text, ''), '\n{3,}', chr(10) || chr(10), 'g'), '[□■�]{2,}', '', 'g'), ' ' || chr(10))) AS clean_sha256 FROM x LEFT JOIN t USING (doc_id)""",
 )
 def doc_line_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = d.chunked(table(spark, sf_dir, "documents").where("text is not null"), lambda text: [d.cleaned_page(text)])
+    cleaned = d.cleaned(table(spark, sf_dir, "documents").where("text is not null"), d.cleaned_pages)
     return cleaned.select("doc_id", F.sha2("text", 256).alias("clean_sha256"))
 
 
-@query("line_cleanup_b")
+_RUNS = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[\x{FEFF}\x{200B}\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '\r\n|[\r\x{85}\x{2028}\x{2029}]', chr(10), 'g'), '[ \t]+', ' ', 'g')"
+_BARE = r"regexp_replace(regexp_replace(raw[i], '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', '')"
+
+
+@query(
+    "line_cleanup_b",
+    rf"""WITH x AS (SELECT doc_id, string_split(regexp_replace({_RUNS}, '\n[ \t]+', chr(10), 'g'), chr(10)) AS raw FROM documents),
+l AS (SELECT doc_id, i, regexp_replace(raw[i], '[\s\p{{Z}}]+$', '') AS line, {_BARE} AS bare FROM x, unnest(range(1, len(raw) + 1)) AS r(i)),
+c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, bare) AS n FROM l),
+k AS (SELECT *, lag(bare, 1, '') OVER (PARTITION BY doc_id ORDER BY i) AS before FROM c WHERE NOT (length(bare) BETWEEN 1 AND 40 AND n >= 4 AND NOT regexp_matches(bare, '\d'))),
+t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM k WHERE bare <> before GROUP BY 1),
+z AS (SELECT x.doc_id, regexp_replace(regexp_replace(coalesce(t.text, ''), '^[\s\p{{Z}}]+', ''), '[\s\p{{Z}}]+$', '') AS text FROM x LEFT JOIN t USING (doc_id))
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(text) AS clean_sha256 FROM z""",
+)
 def line_cleanup_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = d.chunked(table(spark, sf_dir, "documents"), lambda text: [d.cleaned_runs(text)])
-    return cleaned.select("doc_id", "n_chars", F.sha2("text", 256).alias("clean_sha256"))
+    cleaned, text = d.cleaned(table(spark, sf_dir, "documents"), d.cleaned_runs), F.coalesce("text", F.lit(""))
+    return cleaned.select("doc_id", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("clean_sha256"))
 
 
 @query("doc_chunks")
 def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = lambda text: d.paragraph_chunks(d.cleaned_page(text))
-    return d.chunked(table(spark, sf_dir, "documents"), cut).select("doc_id", "chunk_index", "n_chars", F.sha2("text", 256).alias("sha256"))
+    pages = d.cleaned(table(spark, sf_dir, "documents"), d.cleaned_pages)
+    return d.chunked(pages, d.paragraph_chunks).select("doc_id", "chunk_index", "n_chars", F.sha2("text", 256).alias("sha256"))
 
 
 @query("index_build")
@@ -108,6 +121,17 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select(t.short_id(key, "kp_").alias("chunk_id"), "doc_id", "chunk_index", "n_chars", F.sha2("text", 256).alias("checksum"), F.array_join(t.tokens(F.col("text")), " ").alias("keywords"), "embedding")
 
 
+@query(
+    "policy_rows_text",
+    r"""SELECT o_orderkey, o_orderdate AS published, concat_ws(chr(10), nullif(o_orderstatus, ''), nullif(o_orderpriority, ''), o_custkey::VARCHAR) AS content, sha256(concat_ws(chr(10), nullif(o_orderstatus, ''), nullif(o_orderpriority, ''), o_custkey::VARCHAR)) AS checksum,
+  rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC NULLS LAST, o_orderkey)::INT AS newest FROM orders""",
+)
+def policy_rows_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = d.row_text(["o_orderstatus", "o_orderpriority", "o_custkey"])
+    newest = F.rank().over(Window.partitionBy("o_orderstatus").orderBy(F.desc_nulls_last("o_orderdate"), "o_orderkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("published"), content.alias("content"), F.sha2(content, 256).alias("checksum"), newest.alias("newest"))
+
+
 @query("table_aware_chunks")
 def table_aware_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.chunked(table(spark, sf_dir, "documents"), d.section_chunks).select("doc_id", "chunk_index", "n_chars", F.sha2("text", 256).alias("sha256"))
@@ -138,6 +162,20 @@ def keyword_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", d.classified(F.col("text"), _CLASSES).alias("class"), F.array_join(d.keywords(F.col("text"), ["than", "tion", "eau", "der", "ung"], 3), ",").alias("keywords"))
 
 
+def _counts(words: list[str]) -> str:
+    times = lambda x, w: f"(length({x}) - length(replace({x}, '{w}', ''))) / {len(w)}"
+    return "(" + " + ".join(f"{times('t', w)} + 3 * {times('s', w)}" for w in words) + ")::BIGINT"
+
+
+@query(
+    "frequency_classify",
+    f"""WITH x AS (SELECT doc_id, lower(coalesce(text, '')) AS t, lower(coalesce(source, '')) AS s FROM documents), c AS (SELECT doc_id, {", ".join(f"{_counts(w)} AS {n}" for n, w in _CLASSES.items())} FROM x)
+SELECT doc_id, CASE WHEN greatest(en, de, fr, es) = 0 THEN 'other' WHEN en = greatest(en, de, fr, es) THEN 'en' WHEN de = greatest(en, de, fr, es) THEN 'de' WHEN fr = greatest(en, de, fr, es) THEN 'fr' ELSE 'es' END AS class FROM c""",
+)
+def frequency_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", d.classified_by_count(F.col("text"), F.col("source"), _CLASSES).alias("class"))
+
+
 @query(
     "title_guess",
     r"""WITH x AS (SELECT doc_id, [z FOR z IN [trim(y, '# ') FOR y IN string_split(coalesce(text, ''), chr(10))] IF length(z) BETWEEN 5 AND 80][1] AS first FROM documents)

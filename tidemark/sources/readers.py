@@ -109,12 +109,20 @@ def read_column_arrays(df: DataFrame, column: str, fields: Mapping[str, str], ti
 
 
 def read_excel(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A small spreadsheet, by pandas on the driver; an empty table if the file is missing, empty or broken. Keep data in Parquet."""
+    """A small spreadsheet, by pandas on the driver; an empty table if the file is missing, empty or broken. Keep data in Parquet.
+
+    An existing file raises an ImportError where pandas has no library for spreadsheets.
+    """
+    import os
+    import zipfile
+
     import pandas as pd
 
+    if not os.path.exists(path) or not os.path.getsize(path):
+        return spark.createDataFrame([], schema)
     try:
         pdf = pd.read_excel(path)
-    except (FileNotFoundError, ValueError, ImportError, OSError):
+    except (ValueError, zipfile.BadZipFile):
         return spark.createDataFrame([], schema)
     return spark.createDataFrame(pdf, schema) if len(pdf) else spark.createDataFrame([], schema)
 
