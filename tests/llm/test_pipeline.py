@@ -88,7 +88,7 @@ def test_stages(spark, tables):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
-def check_packed(pieces, ids):
+def check_packed(pieces, ids, more=1):
     found, fill = {}, {}
     for p in pieces:
         x = ids[p.doc_id]
@@ -104,7 +104,7 @@ def check_packed(pieces, ids):
             at += n
         assert x in found.values() or at <= 1024
     total = sum(map(len, ids.values()))
-    assert sorted(fill) == list(range(len(fill))) and len(fill) <= -(-total // 1024) + 1
+    assert sorted(fill) == list(range(len(fill))) and len(fill) <= -(-total // 1024) + more
 
 
 def test_empty_tables_and_clashing_names(spark, tables, tmp_path):
