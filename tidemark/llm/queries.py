@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import repaired
+from .collocations import collocations
 from .decontaminate import contaminated
 from .lm_score import scored
 from .minhash_dedup import near_duplicates
@@ -195,3 +196,27 @@ def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_chat_roles")
 def op8_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    "op11_collocations",
+    rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+o AS (SELECT lang, p, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w),
+s AS (SELECT lang, x, lead(x) OVER v AS y, lead(x, 2) OVER v AS z FROM o WINDOW v AS (PARTITION BY p ORDER BY i)),
+g AS (SELECT lang, 1 AS k, x AS phrase FROM s UNION ALL SELECT lang, 2, x || ' ' || y FROM s WHERE y IS NOT NULL
+      UNION ALL SELECT lang, 3, x || ' ' || y || ' ' || z FROM s WHERE z IS NOT NULL),
+t AS (SELECT lang, count(*) AS n FROM s GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS n FROM g GROUP BY lang, k, phrase HAVING count(*) >= 10),
+c AS (SELECT lang, k, phrase, n, cut, array_to_string(ws[1:cut], ' ') AS first, array_to_string(ws[cut + 1:k], ' ') AS rest FROM f, range(1, 3) AS q(cut) WHERE cut < k),
+best AS (SELECT c.lang, c.k, c.phrase, c.n AS a, x.n AS l, y.n AS r, (1000000::HUGEINT * c.n * c.n // (x.n::HUGEINT * y.n::HUGEINT))::BIGINT AS score
+         FROM c JOIN f x ON x.lang = c.lang AND x.phrase = c.first JOIN f y ON y.lang = c.lang AND y.phrase = c.rest
+         QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut) = 1),
+held AS (SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, max(n) AS longer FROM f, range(1, 3) AS q(i) WHERE k = 3 GROUP BY 1, 2),
+kept AS (SELECT b.* FROM best b LEFT JOIN held h ON h.lang = b.lang AND h.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, t.n, score
+FROM kept JOIN t USING (lang) QUALIFY rank <= 2000""",
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, covered=50, most=2000)

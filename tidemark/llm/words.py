@@ -115,12 +115,16 @@ class Words:
     def hashes(self, seed: int = 0) -> np.ndarray:
         return byte_hashes(self.data, self.starts, self.ends, seed)
 
-    def numbers(self) -> np.ndarray:
-        """A number for each word, the same for equal words of these texts alone: by their bytes, not by hashes."""
+    def coded(self) -> pa.DictionaryArray:
+        """Each word as a number in a dictionary of these texts' different words: by their bytes, not by hashes."""
         n = self.ends - self.starts
         flat = self.data[ranges(self.starts, n)]
         words = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.r_[0, np.cumsum(n)]), pa.py_buffer(flat)])
-        return words.dictionary_encode().indices.to_numpy().astype(np.int64)
+        return words.dictionary_encode()
+
+    def numbers(self) -> np.ndarray:
+        """A number for each word, the same for equal words of these texts alone."""
+        return self.coded().indices.to_numpy().astype(np.int64)
 
     def text(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
