@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .chat import repaired
 from .collocations import collocations
 from .decontaminate import contaminated
 from .lm_score import scored
 from .minhash_dedup import near_duplicates
 from .packing import pack, token_pieces
+from .prefix_trie import numbered, prefix_trie, spliced
 from .quality import judged, train
 from .scratch import shared_dir
 from .substring_dedup import remove_repeats
@@ -220,3 +222,36 @@ FROM kept JOIN t USING (lang) QUALIFY rank <= 2000""",
 )
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, covered=50, most=2000)
+
+
+#: CRC-32 of a string of ASCII characters: each is mixed in, then eight shifts (-1 in the list) follow.
+_CRC32 = """xor(4294967295, list_reduce(flatten(list_transform(string_split({0}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda x, e: CASE WHEN e >= 0 THEN xor(x, e) ELSE xor(x >> 1, (x & 1) * 3988292384) END, 4294967295::BIGINT))"""
+
+
+@query(
+    "op12_prefix_trie",
+    rf"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+             {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id AS c, list(x ORDER BY i) AS xs FROM t GROUP BY conv_id),
+h AS (SELECT c, xs, {_CRC32.format("c::VARCHAR")} % 9 AS h FROM l),
+b AS (SELECT h.c, list_concat(coalesce(p.xs[1:h.h], []), h.xs[h.h + 1:]) AS xs FROM h LEFT JOIN l p ON p.c = h.c - h.c % 5),
+n AS (SELECT c, d, sha256(to_json(xs[1:d])::VARCHAR) AS id, CASE WHEN d > 0 THEN sha256(to_json(xs[1:d - 1])::VARCHAR) END AS up, len(xs) AS total,
+             CASE WHEN d > 0 THEN strlen(xs[d].t) ELSE 0 END AS size FROM b, unnest(range(0, len(xs) + 1)) AS r(d)),
+g AS (SELECT d, id, any_value(up) AS up, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(size) AS saved,
+             sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (total = d), '')) AS ends FROM n GROUP BY d, id),
+k AS (SELECT up AS id, d - 1 AS d, count(*) AS kids FROM g WHERE d > 0 GROUP BY 1, 2),
+e AS (SELECT g.*, coalesce(kids, 0) AS kids FROM g LEFT JOIN k USING (id, d)),
+a AS (SELECT DISTINCT y.id AS low, y.d AS low_d, x.id, x.d FROM n y JOIN n x ON x.c = y.c AND x.d <= y.d),
+s AS (SELECT a.id, a.d, sum(e.saved) AS saved, count(*) FILTER (e.kids = 0) AS leaves FROM a JOIN e ON e.id = a.low AND e.d = a.low_d GROUP BY 1, 2)
+SELECT e.c AS conv_id, e.d AS depth, p.c AS parent_conv_id, e.n AS n_convs, e.kids AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, e.ends AS ends_sha256
+FROM e JOIN s ON s.id = e.id AND s.d = e.d LEFT JOIN e p ON p.id = e.up AND p.d = e.d - 1""",
+)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spliced(numbered(table(spark, sf_dir, "conversations")), every=5, most=9))
+
+
+@query("op13_nearest")
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), "id % 100 = 0", k=10)
