@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.url_filter import filtered, intervals, keys_of
+from tidemark.llm.url_filter import MOST_PARTS, filtered, host_of, intervals, keys_of
 
 
 def test_intervals(spark):
@@ -41,3 +41,23 @@ def test_no_python_in_the_plan(spark):
     captures = spark.range(3).selectExpr("id", "concat('http://b.org/', id) url", "date'2024-02-01' fetched")
     plan = filtered(captures, entries, id_col="id")._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_hosts_with_brackets_and_several_at_signs(spark):
+    urls = ["http://[2001:DB8::1]/a", "http://u:p@[::1]:80/x", "http://a@b@evil.com/x", "http://h.org/p@q", "http://h.org?x@y", "http://@/", "http://[::1"]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(host_of(F.col("u"))).collect()]
+    assert got[:6] == ["[2001:db8::1]", "[::1]", "evil.com", "h.org", "h.org", None]
+    entries = spark.createDataFrame([("l", e, dt.date(2024, 1, 1), "add") for e in ("evil.com", "[2001:db8::1]", "[::1]/x")], "list string, entry string, date date, action string")
+    captures = spark.createDataFrame([(i, u, dt.date(2024, 2, 1)) for i, u in enumerate(urls)], "id long, url string, fetched date")
+    assert {r.id for r in filtered(captures, entries, id_col="id").collect() if r.blocked} == {0, 1, 2}
+
+
+def test_very_long_urls_and_entries(spark):
+    """A megabyte of path or host has no more keys than any other; entries longer than a key are compared whole."""
+    deep, wide = "http://h.org/" + "a/" * 500_000, "http://" + "b." * 500_000 + "org/x"
+    sizes = spark.createDataFrame([(deep,), (wide,)], "u string").select(F.size(keys_of(F.col("u"))), F.length(F.array_join(keys_of(F.col("u")), ""))).collect()
+    assert all(n <= 2 * MOST_PARTS and size <= 2 * MOST_PARTS * len(wide) for n, size in sizes)
+    entries = ["h.org/" + "a/" * 40 + "a", "h.org/" + "a/" * 40 + "b", "b." * 40 + "org", "c." * 40 + "org", "h.org/" + "a/" * 31 + "a"]
+    entries = spark.createDataFrame([(str(i), e, dt.date(2024, 1, 1), "add") for i, e in enumerate(entries)], "list string, entry string, date date, action string")
+    captures = spark.createDataFrame([(i, u, dt.date(2024, 2, 1)) for i, u in enumerate([deep, wide, "http://h.org/" + "a/" * 40])], "id long, url string, fetched date")
+    assert {r.id: list(r.lists) for r in filtered(captures, entries, id_col="id").collect()} == {0: ["0", "4"], 1: ["2"], 2: ["4"]}
