@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as t
@@ -76,7 +77,7 @@ def test_chunks_follow_their_rule():
 def test_sections_are_cut_at_the_best_places():
     long = "intro words " * 20 + "\n## head\n" + "alpha beta, gamma: delta. " * 120
     chunks = d.section_chunks(long)
-    assert chunks[1].startswith("## head") and all(len(c) <= 1500 for c in chunks) and all(c.endswith(".") for c in chunks[1:])
+    assert chunks[1].startswith("## head") and all(len(c) <= 1500 for c in chunks) and all(c.endswith(":") for c in chunks[1:-1])
     assert all(b[:60] in a[-180:] or b[:60].strip() in a for a, b in zip(chunks[1:], chunks[2:], strict=False))
     table = "| a | b |\n|---|---|\n" + "\n".join(f"| {i} | {'x' * 40} |" for i in range(60))
     mixed = d.section_chunks("before it " * 10 + "\n" + table + "\nafter it")
@@ -84,6 +85,30 @@ def test_sections_are_cut_at_the_best_places():
     assert "".join(d.section_chunks("y" * 4000, overlap=0)) == "y" * 4000
 
 
+@pytest.mark.parametrize("mark", ["\n# ", "\n###### ", "\n第十二条", "\n第千万项", "\n第3款", "。", "！", "？", "!", "?", "；", ";", "：", ":", "\n", "，", ",", " "])
+def test_each_mark_is_a_place_to_cut(mark):
+    """A mark in the chunk's last half is where it ends; marks of a worse kind after it don't count."""
+    kinds = [["\n#", "\n第"], list("。！？!?；;"), list("：:"), ["\n"], list("，,"), [" "]]
+    kind = next(i for i, k in enumerate(kinds) if mark.startswith(tuple(k)))
+    worse = [k[0] for k in kinds[kind + 1 :]]
+    text = "x" * 80 + mark + "x" * 10 + "".join(w + "x" for w in worse)
+    text += "x" * 200
+    places = d._cut_places(text)
+    ends = [int(min(last[-1], 100)) for first, last in places if len(first) and first[-1] <= 100]
+    assert ends[0] == 80 + len(mark)
+    if kind:
+        assert d.section_chunks(text, hard=100, overlap=0)[0] == text[: 80 + len(mark)].strip()
+
+
+def test_marks_that_are_no_places():
+    text = "x" * 80 + ".、-" + "x" * 300
+    assert d.section_chunks(text, hard=100, overlap=0)[0] == text[:100]
+    early = "x" * 40 + "。" + "x" * 300
+    assert len(d.section_chunks(early, hard=100, overlap=0)[0]) == 100
+    spread = "x" * 95 + "。" + " " * 30 + "y" * 200
+    assert d.section_chunks(spread, hard=100, overlap=0)[0] == "x" * 95 + "。"
+
+
 def test_cleaning():
     head = "\n".join(f"Header\nline {'x' * 50} {i}\n- {i} -" for i in range(6))
     got = one_text(d.cleaned_pages, head + "\n\n\n\nend  of\ttext\x01")

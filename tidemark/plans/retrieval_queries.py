@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import masked_fields
+from ..functions.text import masked_fields, tokens
 from ..functions.vectors import cosine, normalized
 from ..operators import retrieval as r
 from ..operators.documents import paragraphs
+from ..sources.scratch import stored
 from .registry import query, table
 
 _ASK = "the reation and hethe"
@@ -20,29 +21,28 @@ def _times(word: str) -> str:
     return f"((length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), '{word}', ''))) / {len(word)})"
 
 
-_KEYWORD = f"""k AS (SELECT doc_id, (len(list_intersect(list_distinct({_OWN}), {_WORDS})) + {" + ".join(_times(w) for w in _WORDS)})::DOUBLE AS keyword_score FROM documents ORDER BY keyword_score DESC, doc_id LIMIT 50),
-kw AS (SELECT * FROM k WHERE keyword_score > 0)"""
+_SCORE = f"""(len(list_intersect(list_distinct({_OWN}), {_WORDS})) + {" + ".join(_times(w) for w in _WORDS)})::DOUBLE"""
+_KEYWORD = f"""kw AS (SELECT * FROM (SELECT doc_id, {_SCORE} AS keyword_score FROM documents ORDER BY keyword_score DESC, doc_id LIMIT 50) WHERE keyword_score > 0)"""
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
-_VECTOR = f"vec AS (SELECT b.vec_id AS doc_id, round({_COS}, 6) AS vector_score FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND {_COS} > 0 ORDER BY vector_score DESC, doc_id LIMIT 50)"
-_HYBRID = """hy AS (SELECT coalesce(kw.doc_id, vec.doc_id) AS doc_id, coalesce(keyword_score / (SELECT max(keyword_score) FROM kw), 0) AS keyword_score, coalesce(vector_score / (SELECT max(vector_score) FROM vec), 0) AS vector_score,
-  concat_ws(',', CASE WHEN kw.doc_id IS NOT NULL THEN 'keyword' END, CASE WHEN vec.doc_id IS NOT NULL THEN 'vector' END) AS kinds FROM kw FULL JOIN vec ON kw.doc_id = vec.doc_id),
-h AS (SELECT *, round(keyword_score * 0.45::DOUBLE + vector_score * 0.55::DOUBLE, 6) AS hybrid_score FROM hy)"""
+#: All rows of both sides merged for each query vector, and each query's first rows.
+_HYBRID = f"""kw AS (SELECT * FROM (SELECT doc_id, {_SCORE} AS keyword_score FROM documents) WHERE keyword_score > 0),
+vec AS (SELECT *, max(vector_score) OVER (PARTITION BY query_id) AS top FROM (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round({_COS}, 6) AS vector_score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) WHERE vector_score > 0),
+kq AS (SELECT vec_id AS query_id, doc_id, keyword_score / (SELECT max(keyword_score) FROM kw) AS keyword_score FROM embeddings, kw WHERE vec_id % 50 = 0),
+hy AS (SELECT coalesce(kq.query_id, vec.query_id) AS query_id, coalesce(kq.doc_id, vec.doc_id) AS doc_id, coalesce(keyword_score, 0) AS keyword_score, coalesce(vector_score / top, 0) AS vector_score,
+  concat_ws(',', CASE WHEN kq.doc_id IS NOT NULL THEN 'keyword' END, CASE WHEN vec.doc_id IS NOT NULL THEN 'vector' END) AS kinds FROM kq FULL JOIN vec ON kq.query_id = vec.query_id AND kq.doc_id = vec.doc_id),
+h AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, doc_id))::INT AS place FROM (SELECT *, round(keyword_score * 0.45::DOUBLE + vector_score * 0.55::DOUBLE, 6) AS hybrid_score FROM hy)) WHERE place <= {{most}})"""
 
 
 def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.keyword_search(table(spark, sf_dir, "documents").select("doc_id", "text"), _ASK, id_col="doc_id", text_col="text", most=50)
 
 
-def _vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    asked = rows.where("vec_id = 0").select(F.col("embedding").alias("asked"))
-    score = F.round(cosine(F.col("embedding"), F.col("asked")), 6).alias("vector_score")
-    scored = rows.join(F.broadcast(asked), F.lit(True)).select(F.col("vec_id").alias("doc_id"), score).where("vector_score > 0")
-    return scored.orderBy(F.desc("vector_score"), "doc_id").limit(50)
-
-
-def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.hybrid(_keyword(spark, sf_dir), _vector(spark, sf_dir), "doc_id")
+def _hybrid(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    """(query_id, doc_id, keyword_score, vector_score, kinds, hybrid_score, place): the first `most` of all rows, for each query vector."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    words = r.keyword_search(table(spark, sf_dir, "documents").select("doc_id", "text"), _ASK, id_col="doc_id", text_col="text", most=None)
+    found = r.hybrid_search(words, rows, rows.where("doc_id % 50 = 0"), id_col="doc_id", vector_col="embedding", most=most)
+    return found.withColumnRenamed("id", "doc_id")
 
 
 @query("keyword_search", f"WITH {_KEYWORD} SELECT * FROM kw")
@@ -56,47 +56,44 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.vector_search(rows, rows.where("vec_id % 50 = 0"), id_col="vec_id", vector_col="embedding")
 
 
-@query("hybrid_merge", f"WITH {_KEYWORD}, {_VECTOR}, {_HYBRID} SELECT doc_id, round(keyword_score, 8) AS keyword_score, round(vector_score, 8) AS vector_score, kinds, hybrid_score FROM h")
+@query("hybrid_merge", f"WITH {_HYBRID.replace("{most}", "50")} SELECT query_id, doc_id, round(keyword_score, 8) AS keyword_score, round(vector_score, 8) AS vector_score, kinds, hybrid_score FROM h")
 def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hybrid(spark, sf_dir).withColumns({c: F.round(c, 8) for c in ("keyword_score", "vector_score")})
+    return _hybrid(spark, sf_dir, 50).drop("place").withColumns({c: F.round(c, 8) for c in ("keyword_score", "vector_score")})
 
 
-@query(
-    "hybrid_topk",
-    f"""WITH kw AS (SELECT * FROM (SELECT doc_id, (len(list_intersect(list_distinct({_OWN}), {_WORDS})) + {" + ".join(_times(w) for w in _WORDS)})::DOUBLE AS keyword_score FROM documents) WHERE keyword_score > 0),
-vec AS (SELECT *, max(vector_score) OVER (PARTITION BY query_id) AS top FROM (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round({_COS}, 6) AS vector_score FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) WHERE vector_score > 0),
-kq AS (SELECT vec_id AS query_id, doc_id, keyword_score / (SELECT max(keyword_score) FROM kw) AS keyword_score FROM embeddings, kw WHERE vec_id % 50 = 0),
-hy AS (SELECT coalesce(kq.query_id, vec.query_id) AS query_id, coalesce(kq.doc_id, vec.doc_id) AS doc_id, coalesce(keyword_score, 0) AS keyword_score, coalesce(vector_score / top, 0) AS vector_score,
-  concat_ws(',', CASE WHEN kq.doc_id IS NOT NULL THEN 'keyword' END, CASE WHEN vec.doc_id IS NOT NULL THEN 'vector' END) AS kinds FROM kq FULL JOIN vec ON kq.query_id = vec.query_id AND kq.doc_id = vec.doc_id),
-h AS (SELECT *, round(keyword_score * 0.45::DOUBLE + vector_score * 0.55::DOUBLE, 6) AS hybrid_score FROM hy)
-SELECT query_id, doc_id, round(keyword_score, 8) AS keyword_score, round(vector_score, 8) AS vector_score, kinds, hybrid_score, place
-FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, doc_id))::INT AS place FROM h) WHERE place <= 10""",
-)
+@query("hybrid_topk", f"WITH {_HYBRID.replace("{most}", "10")} SELECT query_id, doc_id, round(keyword_score, 8) AS keyword_score, round(vector_score, 8) AS vector_score, kinds, hybrid_score, place FROM h")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    words = r.keyword_search(table(spark, sf_dir, "documents").select("doc_id", "text"), _ASK, id_col="doc_id", text_col="text", most=None)
-    found = r.hybrid_search(words, rows, rows.where("doc_id % 50 = 0"), id_col="doc_id", vector_col="embedding")
-    return found.withColumnRenamed("id", "doc_id").withColumns({c: F.round(c, 8) for c in ("keyword_score", "vector_score")})
+    return _hybrid(spark, sf_dir, 10).withColumns({c: F.round(c, 8) for c in ("keyword_score", "vector_score")})
 
 
 _TEXT = "coalesce(text, '')"
-_RERANK = f"""rr AS (SELECT h.doc_id, hybrid_score, round(least(1.0::DOUBLE, len(list_intersect(list_distinct(regexp_extract_all(lower(source || ' ' || {_TEXT}), '[一-龥A-Za-z0-9]{{2,}}')), {_WORDS})) / 4.0::DOUBLE * 0.7::DOUBLE
+_TOP = _HYBRID.replace("{most}", "20")
+_RERANK = f"""rr AS (SELECT h.query_id, h.doc_id, hybrid_score, round(least(1.0::DOUBLE, len(list_intersect(list_distinct(regexp_extract_all(lower(source || ' ' || {_TEXT}), '[一-龥A-Za-z0-9]{{2,}}')), {_WORDS})) / 4.0::DOUBLE * 0.7::DOUBLE
   + CASE WHEN contains({_TEXT}, '{_ASK}') THEN 0.18::DOUBLE ELSE 0.0 END + CASE WHEN {" OR ".join(f"contains(lower(source), '{w}')" for w in _WORDS)} THEN 0.12::DOUBLE ELSE 0.0 END), 6) AS rerank_score
 FROM h JOIN documents d ON h.doc_id = d.doc_id)"""
 
 
-@query("heuristic_rerank", f"WITH {_KEYWORD}, {_VECTOR}, {_HYBRID}, {_RERANK} SELECT doc_id, hybrid_score, rerank_score, round(hybrid_score * 0.55::DOUBLE + rerank_score * 0.45::DOUBLE, 6) AS final_score FROM rr")
+def _found(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Each query's first 20 hits with columns of the documents they name."""
+    return _hybrid(spark, sf_dir, 20).join(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
+
+
+@query("heuristic_rerank", f"WITH {_TOP}, {_RERANK} SELECT query_id, doc_id, hybrid_score, rerank_score, round(hybrid_score::DECIMAL(12,6) * 0.55::DECIMAL(3,2) + rerank_score::DECIMAL(12,6) * 0.45::DECIMAL(3,2), 6)::DOUBLE AS final_score FROM rr")
 def heuristic_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    # The hits are a top-k, so the documents they name are looked up by a broadcast of the hits.
-    found = texts.join(F.broadcast(_hybrid(spark, sf_dir).select("doc_id", "hybrid_score")), "doc_id")
-    return r.heuristic_rerank(found, _ASK, text_col="text", title_col="source").select("doc_id", "hybrid_score", "rerank_score", "final_score")
+    found = r.heuristic_rerank(_found(spark, sf_dir, "text", "source"), _ASK, text_col="text", title_col="source")
+    return found.select("query_id", "doc_id", "hybrid_score", "rerank_score", "final_score")
+
+
+#: The share of the tokens of question and document that both have stands for a model's raw score.
+_RAW = f"len(list_intersect(list_distinct({_OWN}), {_WORDS}))::DOUBLE / len(list_distinct(list_concat({_OWN}, {_WORDS})))"
 
 
-@query("minmax_rerank", f"WITH {_KEYWORD}, {_VECTOR}, {_HYBRID}, x AS (SELECT kinds, h.doc_id, hybrid_score, (doc_id * 7 % 13)::DOUBLE AS raw FROM h), e AS (SELECT kinds, min(raw) AS lo, max(raw) AS hi FROM x GROUP BY 1), s AS (SELECT doc_id, hybrid_score, round(CASE WHEN hi > lo THEN (raw - lo) / (hi - lo) ELSE 1 / (1 + exp(-raw)) END, 6) AS rerank_score FROM x JOIN e USING (kinds)) SELECT doc_id, rerank_score, round(hybrid_score * 0.35::DOUBLE + rerank_score * 0.65::DOUBLE, 6) AS final_score FROM s")
+@query("minmax_rerank", f"WITH {_TOP}, x AS (SELECT query_id, kinds, h.doc_id, hybrid_score, {_RAW} AS raw FROM h JOIN documents d ON h.doc_id = d.doc_id), e AS (SELECT query_id, kinds, min(raw) AS lo, max(raw) AS hi FROM x GROUP BY 1, 2), s AS (SELECT query_id, doc_id, hybrid_score, round(CASE WHEN hi > lo THEN (raw - lo) / (hi - lo) ELSE 1 / (1 + exp(-raw)) END, 6) AS rerank_score FROM x JOIN e USING (query_id, kinds)) SELECT query_id, doc_id, rerank_score, round(hybrid_score::DECIMAL(12,6) * 0.35::DECIMAL(3,2) + rerank_score::DECIMAL(12,6) * 0.65::DECIMAL(3,2), 6)::DOUBLE AS final_score FROM s")
 def minmax_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _hybrid(spark, sf_dir).withColumn("raw", (F.col("doc_id") * 7 % 13).cast("double"))
-    return r.model_rerank(found, ["kinds"], "raw").select("doc_id", "rerank_score", "final_score")
+    asked, own = F.array(*map(F.lit, _WORDS)), tokens(F.col("text"))
+    raw = F.size(F.array_intersect(own, asked)) / F.size(F.array_union(own, asked))
+    found = stored(_found(spark, sf_dir, "text").select("query_id", "kinds", "doc_id", "hybrid_score", raw.alias("raw")))
+    return r.model_rerank(found, ["query_id", "kinds"], "raw").select("query_id", "doc_id", "rerank_score", "final_score")
 
 
 _ALIASES = {"src1": ["the", "onth"], "reation": ["eau", "tion"]}
@@ -105,17 +102,16 @@ _CATEGORIES = [(["hethe", "and"], ["fr", "de"])]
 
 @query(
     "domain_boost",
-    f"""WITH {_KEYWORD}, {_VECTOR}, {_HYBRID}, x AS (SELECT h.doc_id, hybrid_score, lower(source) AS title, lower(coalesce(text, '') || ' ' || lang) AS body, lang = 'es' AS demoted FROM h JOIN documents d ON h.doc_id = d.doc_id),
+    f"""WITH {_TOP}, x AS (SELECT h.query_id, h.doc_id, hybrid_score, lower(source) AS title, lower(coalesce(text, '') || ' ' || lang) AS body, lang = 'es' AS demoted FROM h JOIN documents d ON h.doc_id = d.doc_id),
 b AS (SELECT *, (CASE WHEN contains(title, 'src1') THEN 0.14::DOUBLE WHEN contains(body, 'src1') OR contains(body, 'the') OR contains(body, 'onth') THEN 0.05::DOUBLE ELSE 0.0 END)
   + (CASE WHEN contains(title, 'reation') THEN 0.14::DOUBLE WHEN contains(body, 'reation') OR contains(body, 'eau') OR contains(body, 'tion') THEN 0.05::DOUBLE ELSE 0.0 END) + (CASE WHEN contains(body, 'fr') OR contains(body, 'de') THEN 0.06::DOUBLE ELSE 0.0 END) AS raw FROM x),
-c AS (SELECT doc_id, hybrid_score, round(least(CASE WHEN demoted THEN least(raw, 0.02::DOUBLE) ELSE raw END, 0.18::DOUBLE), 6) AS boost, CASE WHEN demoted THEN 0.28::DOUBLE ELSE 0.0::DOUBLE END AS penalty FROM b)
-SELECT doc_id, boost, penalty, round(greatest(0.0, hybrid_score + boost - penalty), 6) AS boosted_score FROM c""",
+c AS (SELECT query_id, doc_id, hybrid_score, round(least(CASE WHEN demoted THEN least(raw, 0.02::DOUBLE) ELSE raw END, 0.18::DOUBLE), 6) AS boost, CASE WHEN demoted THEN 0.28::DOUBLE ELSE 0.0::DOUBLE END AS penalty FROM b)
+SELECT query_id, doc_id, boost, penalty, round(greatest(0.0, hybrid_score + boost - penalty), 6) AS boosted_score FROM c""",
 )
 def domain_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    found = texts.join(F.broadcast(_hybrid(spark, sf_dir).select("doc_id", "hybrid_score")), "doc_id")
     body = F.concat_ws(" ", F.coalesce("text", F.lit("")), "lang")
-    return r.boosted(found, F.lit(_ASK), F.col("source"), body, _ALIASES, _CATEGORIES, F.col("lang") == "es").select("doc_id", "boost", "penalty", "boosted_score")
+    out = r.boosted(_found(spark, sf_dir, "text", "source", "lang"), F.lit(_ASK), F.col("source"), body, _ALIASES, _CATEGORIES, F.col("lang") == "es")
+    return out.select("query_id", "doc_id", "boost", "penalty", "boosted_score")
 
 
 _SYNONYMS = {"the": ["that", "this"], "on th": ["upon"], "zebra": ["horse"]}
@@ -197,14 +193,13 @@ def masked_fields_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "post_rerank",
-    f"""WITH {_KEYWORD}, {_VECTOR}, {_HYBRID}, x AS (SELECT h.doc_id, hybrid_score, source = 'src1' AS core, lang = 'es' AS demoted FROM h JOIN documents d ON h.doc_id = d.doc_id)
-SELECT doc_id, round(greatest(0.0, hybrid_score + CASE WHEN core AND NOT demoted THEN 0.08::DOUBLE ELSE 0.0 END - CASE WHEN demoted THEN 0.28::DOUBLE ELSE 0.0 END), 6) AS final_score FROM x""",
+    f"""WITH {_TOP}, x AS (SELECT h.query_id, h.doc_id, hybrid_score, source = 'src1' AS core, lang = 'es' AS demoted FROM h JOIN documents d ON h.doc_id = d.doc_id)
+SELECT query_id, doc_id, round(greatest(0.0, hybrid_score + CASE WHEN core AND NOT demoted THEN 0.08::DOUBLE ELSE 0.0 END - CASE WHEN demoted THEN 0.28::DOUBLE ELSE 0.0 END), 6) AS final_score FROM x""",
 )
 def post_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    found = texts.join(F.broadcast(_hybrid(spark, sf_dir).select("doc_id", F.col("hybrid_score").alias("final_score"))), "doc_id")
+    found = _found(spark, sf_dir, "source", "lang").withColumnRenamed("hybrid_score", "final_score")
     found = found.withColumn("penalty", F.when(F.col("lang") == "es", 0.28).otherwise(0.0))
-    return r.adjusted(found, F.col("source") == "src1", F.col("lang") == "es").select("doc_id", "final_score")
+    return r.adjusted(found, F.col("source") == "src1", F.col("lang") == "es").select("query_id", "doc_id", "final_score")
 
 
 @query("embedding_refresh")
@@ -240,16 +235,17 @@ def domain_boost_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUESTION = "Hethe reation?"
 
 
-def _count_sql(parts: list[str], whole: str) -> str:
-    counted = " + ".join(f"(length(t) - length(replace(t, '{p}', ''))) / {len(p)}" for p in parts)
-    return f"WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (SELECT doc_id, ({counted} + CASE WHEN contains(t, '{whole}') THEN 1 ELSE 0 END)::BIGINT AS score FROM x) SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20"
+def _count_sql(parts: str, whole: str, bonus: int) -> str:
+    """parts: SQL of a list of strings."""
+    counted = "list_sum([(length(t) - length(replace(t, p, ''))) // length(p) FOR p IN parts])"
+    return f"WITH x AS (SELECT doc_id, coalesce(text, '') AS t, {parts} AS parts FROM documents), s AS (SELECT doc_id, ({counted} + CASE WHEN contains(t, '{whole}') THEN {bonus} ELSE 0 END)::BIGINT AS score FROM x) SELECT doc_id, score FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20"
 
 
-@query("file_fallback_search", _count_sql(r.question_parts(_QUESTION), _QUESTION))
+@query("file_fallback_search", _count_sql("list_distinct(list_concat(['hethereation'], [substr('hethereation', i, 2) FOR i IN range(1, 12)]))", _QUESTION, 1))
 def file_fallback_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.count_search(table(spark, sf_dir, "documents"), r.question_parts(_QUESTION), _QUESTION, id_col="doc_id", text_col="text")
+    return r.count_search(table(spark, sf_dir, "documents"), r.question_parts(F.lit(_QUESTION)), _QUESTION, id_col="doc_id", text_col="text")
 
 
-@query("business_file_search", _count_sql(["hethe", "reation"], "hethe reation").replace("THEN 1 ELSE 0", "THEN 0 ELSE 0"))
+@query("business_file_search", _count_sql("['hethe', 'reation']", "hethe reation", 0))
 def business_file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.count_search(table(spark, sf_dir, "documents"), ["hethe", "reation"], "hethe reation", id_col="doc_id", text_col="text", bonus=0)
+    return r.count_search(table(spark, sf_dir, "documents"), F.array(F.lit("hethe"), F.lit("reation")), "hethe reation", id_col="doc_id", text_col="text", bonus=0)
