@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import masked_fields, tokens
 from ..functions.vectors import cosine, normalized
 from ..operators import retrieval as r
+from ..operators import text_index, vector_index
 from ..operators.documents import paragraphs
-from ..sources.scratch import stored
-from .registry import query, table
+from ..sources.scratch import scratch_dir, stored
+from .registry import ORACLES, query, table
 
 _ASK = "the reation and hethe"
 _WORDS = ["the", "reation", "and", "hethe"]
@@ -249,3 +250,37 @@ def file_fallback_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("business_file_search", _count_sql("['hethe', 'reation']", "hethe reation", 0))
 def business_file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.count_search(table(spark, sf_dir, "documents"), F.array(F.lit("hethe"), F.lit("reation")), "hethe reation", id_col="doc_id", text_col="text", bonus=0)
+
+
+@query(
+    "index_search",
+    f"""WITH t AS (SELECT doc_id, unnest({_OWN}) AS term FROM documents), d AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY ALL),
+a AS (SELECT item_id, unnest(list_distinct({_OWN})) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(n + 1)::BIGINT AS score FROM a JOIN d USING (term) GROUP BY ALL)
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS place FROM s) WHERE place <= 10""",
+)
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    text_index.write_index(table(spark, sf_dir, "documents"), path, id_col="doc_id", text_col="text")
+    found = text_index.Search(spark, path, table(spark, sf_dir, "benchmark"), question_col="item_id", text_col="text", most=10).hits()
+    return found.select(F.col("question").alias("item_id"), F.col("id").alias("doc_id"), "score", "place")
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> tuple[vector_index.Cells, str]:
+    rows, path = table(spark, sf_dir, "embeddings"), scratch_dir(spark)
+    cells = vector_index.fit_cells(rows, id_col="vec_id", vector_col="embedding")
+    vector_index.write_cells(cells, rows, path, id_col="vec_id", vector_col="embedding")
+    return cells, path
+
+
+@query("cell_topk")
+def cell_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, path = _cells(spark, sf_dir)
+    return vector_index.search_cells(cells, path, table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0"), id_col="vec_id", vector_col="embedding")
+
+
+@query("all_cells_topk", ORACLES["vector_topk"])
+def all_cells_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, path = _cells(spark, sf_dir)
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    return vector_index.search_cells(cells, path, asked, id_col="vec_id", vector_col="embedding", probes=len(cells.centroids))

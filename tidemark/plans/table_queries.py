@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as c
 from ..operators import keys as k
+from ..operators import numbering
 from ..operators.quantiles import quantiles
 from ..operators.risk import ranked
+from ..sources.scratch import scratch_dir
 from .registry import query, table
 
 at = lambda x: F.lit(x).cast("timestamp_ntz")
@@ -84,6 +86,23 @@ def rank_desc_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_retailprice").isNotNull(), F.rank().over(w)).alias("price_rank"))
 
 
+@query("rank_over_all", "SELECT l_orderkey, l_linenumber, l_extendedprice, rank() OVER (ORDER BY l_extendedprice DESC NULLS LAST) AS price_rank FROM lineitem")
+def rank_over_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbering.ranked_all(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), "l_extendedprice", "price_rank")
+
+
+@query("number_over_all", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS number FROM events")
+def number_over_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbering.numbered(table(spark, sf_dir, "events").select("ts", "event_id"), ["ts", "event_id"]).select("event_id", "number")
+
+
+@query("far_page", "SELECT l_orderkey, l_linenumber, number FROM (SELECT *, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) AS number FROM lineitem) WHERE number BETWEEN 4991 AND 5000")
+def far_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    numbering.write_paged(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate"), ["l_shipdate", "l_orderkey", "l_linenumber"], path)
+    return numbering.page(spark.read.parquet(path), 500, 10).drop("l_shipdate")
+
+
 @query("duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.repeated_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
