@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import reindexed
 from ..operators import baselines, documents
 from ..sources import readers, sinks
+from ..sources.ooxml import read_sheets, write_sheets
 from ..sources.scratch import scratch_dir
 from .registry import query, table
 
@@ -161,3 +162,10 @@ def markdown_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leak_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     return baselines.leak_report(orders.select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("rt_price"), F.lag("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rt_price_lag_1")))
+
+
+@query("sheet_round_trip", "SELECT * FROM orders")
+def sheet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, path = table(spark, sf_dir, "orders"), scratch_dir(spark)
+    write_sheets(orders.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_orderkey"), path)
+    return read_sheets(spark, path, orders.schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import documents as d
 from ..operators.retrieval import with_hash_embedding
+from ..operators.terms import best_rule, expanded, first_rule, load_terms, with_hits, with_rules
 from ..sources.html import html_text
 from .registry import query, table
 
@@ -208,3 +209,58 @@ def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("conv_id"))
     return table(spark, sf_dir, "conversations").join(done, "conv_id", "left_anti").select("conv_id", "turn")
+
+
+_TABLE_TERMS = """r AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[一-龥A-Za-z0-9]{2,}')) AS term FROM benchmark),
+w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS term FROM part)"""
+_LOW = "lower(coalesce(text, ''))"
+
+
+def _item_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, term): each benchmark item as a rule with its tokens as terms."""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(t.tokens(F.col("text"))).alias("term"))
+
+
+@query(
+    "term_table_counts",
+    f"""WITH {_TABLE_TERMS}, a AS (SELECT term FROM w WHERE term <> '' UNION SELECT term FROM r),
+d AS (SELECT {_LOW} AS t FROM documents), h AS (SELECT term, (length(t) - length(replace(t, term, ''))) // length(term) AS n FROM d, a WHERE contains(t, term))
+SELECT term, count(*) AS n_documents, sum(n)::BIGINT AS n_times FROM h GROUP BY term""",
+)
+def term_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("term"))
+    rules = words.union(_item_rules(spark, sf_dir).select("term")).withColumn("rule", F.lit("any"))
+    terms = load_terms(rules, rule_col="rule", term_col="term")
+    hits = with_hits(table(spark, sf_dir, "documents").select("text"), terms, F.lower("text")).select(F.inline("hits"))
+    return hits.groupBy("term").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_times"))
+
+
+@query(
+    "term_table_rules",
+    f"""WITH {_TABLE_TERMS}, h AS (SELECT doc_id, item_id, count(*) AS terms, sum((length(t) - length(replace(t, term, ''))) // length(term))::BIGINT AS times
+  FROM (SELECT doc_id, {_LOW} AS t FROM documents), r WHERE contains(t, term) GROUP BY ALL),
+b AS (SELECT doc_id, min(item_id) AS first, arg_min(item_id, (-terms, item_id)) AS most_terms, arg_min(item_id, (-times, item_id)) AS most_times FROM h GROUP BY doc_id)
+SELECT doc_id, coalesce(first::VARCHAR, 'none') AS first_rule, coalesce(most_terms::VARCHAR, 'none') AS most_terms, coalesce(most_times::VARCHAR, 'none') AS most_times FROM documents LEFT JOIN b USING (doc_id)""",
+)
+def term_table_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = load_terms(_item_rules(spark, sf_dir), rule_col="item_id", term_col="term", order_col="item_id")
+    found = with_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), terms, F.lower("text"))
+    found, rules = with_rules(found.select("doc_id", "hits")), F.col("rules")
+    return found.select("doc_id", first_rule(F.col("hits"), "none").alias("first_rule"), best_rule(rules, "none").alias("most_terms"), best_rule(rules, "none", by="times").alias("most_times"))
+
+
+@query(
+    "term_table_rewrite",
+    r"""WITH p AS (SELECT DISTINCT p_brand AS rule, unnest(string_split(lower(p_name) || ' ' || lower(p_type), ' ')) AS term FROM part),
+q AS (SELECT item_id, coalesce(text, '') AS t, regexp_replace(lower(coalesce(text, '')), '\s+', '', 'g') AS s FROM benchmark),
+m AS (SELECT DISTINCT item_id, t, rule FROM q, p WHERE term <> '' AND contains(s, term)),
+n AS (SELECT item_id, term, min(rule) AS rule FROM m JOIN p USING (rule) WHERE NOT contains(t, term) GROUP BY ALL),
+e AS (SELECT item_id, string_agg(term, ',' ORDER BY rule, term) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rule, term) AS i FROM n) WHERE i <= 32 GROUP BY item_id),
+l AS (SELECT item_id, string_agg(rule, ',' ORDER BY rule) AS rules FROM m GROUP BY item_id)
+SELECT item_id, coalesce(rules, '') AS matched_rules, coalesce(terms, '') AS expanded_terms FROM q LEFT JOIN l USING (item_id) LEFT JOIN e USING (item_id)""",
+)
+def term_table_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.split(F.concat_ws(" ", F.lower("p_name"), F.lower("p_type")), " ")
+    rules = table(spark, sf_dir, "part").select("p_brand", F.explode(words).alias("term")).where("term != ''")
+    out = expanded(table(spark, sf_dir, "benchmark"), rules, key="item_id", text_col="text", rule_col="p_brand", term_col="term")
+    return out.select("item_id", F.array_join("matched_rules", ",").alias("matched_rules"), F.array_join("expanded_terms", ",").alias("expanded_terms"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import first_of, moment, number_with_commas
+from .ooxml import BROKEN, document_text, read_sheets, workbook_text
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)?$")
 #: Fixed value: rows that one guarded table scan returns at most, as a page.
@@ -79,22 +80,20 @@ def extracted(files: DataFrame, extract: Callable[[str, bytes], str]) -> DataFra
 
 
 def office_text(name: str, content: bytes) -> str:
-    """Text of a PDF, DOCX or XLSX file, by the library for it; an ImportError that names it where it isn't installed."""
+    """Text of a DOCX or XLSX file, or of a PDF by its library: an ImportError that names it where it isn't installed. Broken files have an empty text."""
     import io
 
     kind = name.rsplit(".", 1)[-1].lower()
-    library = {"pdf": "pypdf", "docx": "docx", "xlsx": "openpyxl"}.get(kind)
-    if library is None:
+    if kind in ("docx", "xlsx"):
+        try:
+            return {"docx": document_text, "xlsx": workbook_text}[kind](content)
+        except BROKEN:
+            return ""
+    if kind != "pdf":
         return decoded(content)
-    if importlib.util.find_spec(library) is None:
-        raise ImportError(f"reading .{kind} needs {library}")
-    module = importlib.import_module(library)
-    if kind == "pdf":
-        return "\n".join(page.extract_text() or "" for page in module.PdfReader(io.BytesIO(content)).pages)
-    if kind == "docx":
-        return "\n".join(p.text for p in module.Document(io.BytesIO(content)).paragraphs)
-    sheets = module.load_workbook(io.BytesIO(content), read_only=True, data_only=True).worksheets
-    return "\n".join(" | ".join("" if x is None else str(x) for x in row) for s in sheets for row in s.iter_rows(values_only=True))
+    if importlib.util.find_spec("pypdf") is None:
+        raise ImportError("reading .pdf needs pypdf")
+    return "\n".join(page.extract_text() or "" for page in importlib.import_module("pypdf").PdfReader(io.BytesIO(content)).pages)
 
 
 def read_column_arrays(df: DataFrame, column: str, fields: Mapping[str, str], time: str) -> DataFrame:
@@ -109,22 +108,8 @@ def read_column_arrays(df: DataFrame, column: str, fields: Mapping[str, str], ti
 
 
 def read_excel(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A small spreadsheet, by pandas on the driver; an empty table if the file is missing, empty or broken. Keep data in Parquet.
-
-    An existing file raises an ImportError where pandas has no library for spreadsheets.
-    """
-    import os
-    import zipfile
-
-    import pandas as pd
-
-    if not os.path.exists(path) or not os.path.getsize(path):
-        return spark.createDataFrame([], schema)
-    try:
-        pdf = pd.read_excel(path)
-    except (ValueError, zipfile.BadZipFile):
-        return spark.createDataFrame([], schema)
-    return spark.createDataFrame(pdf, schema) if len(pdf) else spark.createDataFrame([], schema)
+    """A spreadsheet, or a folder of them, each read in a task; an empty table if there is none, or it is empty or broken."""
+    return read_sheets(spark, path, schema)
 
 
 def read_table(spark: SparkSession, name: str, order_by: str | None = None, limit: int = 1000) -> DataFrame:
