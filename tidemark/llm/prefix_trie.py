@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -153,20 +154,17 @@ def prefix_trie(rows: DataFrame) -> DataFrame:
         begun = _in_blocks(going.where("depth = fork").select("conv", "fork", "total", label.alias("label")), "fork", "total").select("conv", "block", "label")
         going = going.withColumn("block", _block()).join(begun, ["conv", "block"])
         active = stored(going.select("conv", "depth", "key", "size", "total", F.col("label").alias("cls"), F.col("cls").alias("up"), "above"))
-    nodes, below = None, None
-    for chain, own in zip(reversed(chains), reversed(classes), strict=True):
+    placed, below = [], None
+    for own in reversed(classes):
         if below is None:
             own = own.select("*", F.lit(0).cast("long").alias("kids"), F.lit(1).cast("long").alias("leaves"), F.lit(0).cast("long").alias("under"))
         else:
             sums = below.groupBy(F.col("up").alias("cls")).agg(F.count("*").alias("kids"), F.sum("leaves").alias("leaves"), F.sum(F.col("saved") + F.col("under")).alias("under"))
             own = own.join(sums, "cls", "left").select("cls", "up", "start", "end", "saved", F.coalesce("kids", F.lit(0)).alias("kids"), F.coalesce("leaves", F.lit(1)).alias("leaves"), F.coalesce("under", F.lit(0)).alias("under"))
         below = stored(own)
-        more = _placed(chain, below)
-        nodes = more if nodes is None else nodes.unionByName(more)
-    every = ends[0]
-    for more in ends[1:]:
-        every = every.unionByName(more)
-    out = nodes.join(_digests(every), ["cls", "depth"], "left")
+        placed.append(below)
+    nodes = _placed(reduce(DataFrame.unionByName, chains), reduce(DataFrame.unionByName, placed))
+    out = nodes.join(_digests(reduce(DataFrame.unionByName, ends)), ["cls", "depth"], "left")
     return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
 
 
