@@ -122,3 +122,20 @@ def test_numbers_and_pages(spark, tmp_path):
     read = sum(n for low, high, n in bounds if low <= 2000 and high >= 1981)
     print(f"rows of the groups that page 100 reads: {read} of {sum(n for *_, n in bounds)}")
     assert read < 5003 / 3 and "PushedFilters: [IsNotNull(number), GreaterThanOrEqual(number,1981)" in page._jdf.queryExecution().toString()
+
+
+def test_windows_over_one_endless_series(spark):
+    """Lags and sums over blocks of 50 rows are those of one window over all, and no block has many more rows than another."""
+    from pyspark.sql import Window
+
+    df = spark.createDataFrame([(i, i // 120, (i * 37) % 101) for i in range(777)], "t int, k int, x int")
+    rows = numbering.haloed(df, ["k", "t"], before=30, size=50)
+    by = Window.partitionBy("_block", "k").orderBy("_number")
+    whole = Window.partitionBy("k").orderBy("t")
+    figures = lambda w: [F.lag("x", 7).over(w).alias("l"), F.sum("x").over(w.rowsBetween(-30, -1)).alias("s"), F.count("x").over(w.rowsBetween(-30, -1)).alias("n")]
+    got = sorted(rows.select("t", "_copy", *figures(by)).where("not _copy").drop("_copy").collect())
+    assert got == sorted(df.select("t", *figures(whole)).collect())
+    sizes = sorted(r["count"] for r in rows.groupBy("_block").count().collect())
+    assert sizes[-1] <= 80 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+    with pytest.raises(ValueError):
+        numbering.haloed(df, ["t"], before=60, size=50)

@@ -74,3 +74,18 @@ def write_paged(df: DataFrame, order: Sequence[Column | str], path: str, group_b
 def page(paged: DataFrame, number: int, size: int) -> DataFrame:
     """Page `number`, from 1, of a table that write_paged wrote: only row groups with its rows are read, however far back it lies."""
     return paged.where(F.col("number").between((number - 1) * size + 1, number * size))
+
+
+def haloed(df: DataFrame, order: Sequence[Column | str], before: int, size: int = 100_000) -> DataFrame:
+    """df in blocks of `size` rows of this order, each with the last `before` rows of the block ahead: _block, _number and _copy.
+
+    A window by _block, in the order of _number, sees for every row that is no copy the `before` rows
+    ahead of it, over gaps in time and over blocks, so one endless series is many even tasks. Drop the
+    copies after it. With series' keys first in the order, windows by _block and the keys do the same.
+    """
+    if before > size:
+        raise ValueError("a block must hold the rows that the next one looks back to")
+    rows = numbered(df, order, "_number").withColumn("_number", F.col("_number") - 1)
+    own = F.expr(f"_number div {size}")
+    reaches = F.when(F.col("_number") % size >= size - before, F.array(own, own + 1)).otherwise(F.array(own))
+    return rows.select("*", F.posexplode(reaches).alias("_copy", "_block")).withColumn("_copy", F.col("_copy") == 1)

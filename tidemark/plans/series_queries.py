@@ -12,6 +12,7 @@ from ..functions.columns import clip, exact_mean, percent_change
 from ..functions.predicates import day_or_last
 from ..operators.keys import priority_union, union_keep
 from ..operators.metrics import residual_intervals, time_split
+from ..operators.numbering import haloed
 from ..operators.quantiles import with_quantiles
 from ..operators.risk import advice, confidence, data_level, explained, overall, ranked, score, storage_windows, tertile
 from ..operators.series import complete_until, day_ahead_vintage, gap_counts, hourly, resume_from, with_lags, with_rolling, with_same_hour_before, with_step
@@ -450,3 +451,24 @@ def day_or_last_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Views end on the 19th here, so their last rows stand in for the day.
     hours = _hours(spark, sf_dir).where("event_type <> 'view' or hour_ts < timestamp_ntz'2024-01-20'")
     return day_or_last(hours, "event_type", "hour_ts", dt.date(2024, 1, 29)).select("event_type", "hour_ts", "price")
+
+
+_ONE = "(ORDER BY ts, event_id)"
+
+
+def _one_rolled(n: int) -> str:
+    return _rolled("value", n).replace("PARTITION BY event_type ORDER BY hour_ts", "ORDER BY ts, event_id")
+
+
+@query(
+    "one_series_features",
+    f"""SELECT event_id, {", ".join(f"lag(value, {k}) OVER {_ONE} AS value_lag_{k}" for k in (1, 24, 168))}, {_one_rolled(24)}, {_one_rolled(168)},
+  abs(value - lag(value) OVER {_ONE}) AS abs_step, (epoch_us(ts) - epoch_us(lag(ts) OVER {_ONE})) AS gap_us FROM events""",
+)
+def one_series_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "value", F.expr("unix_micros(cast(ts as timestamp))").alias("us"))
+    rows = haloed(events, ["ts", "event_id"], before=168, size=5000)
+    out = with_rolling(with_lags(rows, "_block", "_number", {"value": [1, 24, 168]}), "_block", "_number", ["value"], [24, 168])
+    out = with_step(with_step(out, "_block", "_number", "value"), "_block", "_number", "us", "gap_us").where("not _copy")
+    out = out.withColumns({c: F.round(c, 8) for c in out.columns if "_roll_mean_" in c or "_roll_std_" in c})
+    return out.drop("_block", "_number", "_copy", "ts", "value", "us")

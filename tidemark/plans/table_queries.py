@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import columns as c
 from ..operators import keys as k
 from ..operators import numbering
+from ..operators.intervals import summed_hits
 from ..operators.quantiles import quantiles
 from ..operators.risk import ranked
+from ..sources.buckets import BucketTable
+from ..sources.differences import differences
 from ..sources.scratch import scratch_dir
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 at = lambda x: F.lit(x).cast("timestamp_ntz")
 
@@ -366,3 +369,70 @@ def given_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = between_days(table(spark, sf_dir, "orders"), "o_orderdate", dt.date(1996, 1, 1), dt.date(1996, 12, 31))
     wanted = {"status": ("F", F.col("o_orderstatus") == "F"), "customer": (None, F.col("o_custkey") == 1), "priority": ("", F.col("o_orderpriority") == "")}
     return where_given(orders, wanted).select("o_orderkey", "o_orderstatus")
+
+
+_CROWDED = _RULES.replace("s_nationkey AS nation", "CASE WHEN s_suppkey % 3 = 0 THEN 7 ELSE s_nationkey END AS nation")
+
+
+@query(
+    "interval_nodes_lookup",
+    f"""WITH {_CROWDED}, d AS (SELECT c_nationkey AS nation, o_orderkey, o_orderdate::DATE AS day FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey, count(rule_id) AS n_rules, min(rule_id) AS rule_id FROM d LEFT JOIN rules r ON d.nation = r.nation AND (starts IS NULL OR starts <= day) AND (ends IS NULL OR ends >= day) GROUP BY o_orderkey""",
+)
+def interval_nodes_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = _rules(spark, sf_dir).withColumn("nation", F.when(F.col("rule_id") % 3 == 0, 7).otherwise(F.col("nation")))
+    days = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("nation"), F.to_date("o_orderdate").alias("day"))
+    out = summed_hits(days, rules, ["nation"], "day", "starts", "ends", {"n_rules": (F.lit(1).cast("long"), "sum"), "rule_id": (F.col("rule_id"), "min")})
+    return out.select("o_orderkey", F.coalesce("n_rules", F.lit(0)).alias("n_rules"), "rule_id")
+
+
+@query("bucket_upsert", ORACLES["upsert_rewrite"])
+def bucket_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
+    held = BucketTable(spark, scratch_dir(spark), ["o_orderkey"]).create(orders.withColumn("origin", F.lit("old")))
+    changed = orders.where("o_orderkey % 5 = 0").withColumn("price", F.col("price") * 2)
+    added = orders.where("o_orderkey % 100 = 0").withColumn("o_orderkey", -1 - F.col("o_orderkey"))
+    for _ in range(2):  # the second run finds its write noted
+        held.upsert(changed.unionByName(added).withColumn("origin", F.lit("new")), "first", lambda old, new: k.upserted(old, new, ["o_orderkey"]))
+    return held.read().drop("bucket")
+
+
+@query("bucket_fill", ORACLES["upsert_fill"])
+def bucket_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    old = customer.where("c_custkey % 10 <> 0").select("c_custkey", F.when(key % 4 == 0, "").when(key % 4 != 1, F.col("c_name")).alias("name"))
+    held = BucketTable(spark, scratch_dir(spark), ["c_custkey"]).create(old)
+    news = customer.where("c_custkey % 3 <> 1").select("c_custkey", F.col("c_mktsegment").alias("name"))
+    held.upsert(news, "fill", lambda old, new: k.upserted_filling(old, new, ["c_custkey"], ["name"]))
+    return held.read().select("c_custkey", F.when(F.col("name") != "", F.col("name")).alias("name"))
+
+
+@query("bucket_update", ORACLES["update_from_join"])
+def bucket_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = BucketTable(spark, scratch_dir(spark), ["o_orderkey"]).create(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
+    news = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_extendedprice").alias("price"))
+    held.upsert(news, "actuals", lambda old, new: k.updated(old, new, ["o_orderkey"], {"o_totalprice": "price"}))
+    return held.read().drop("bucket")
+
+
+@query("bucket_single_active", ORACLES["single_active"])
+def bucket_single_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    held = BucketTable(spark, scratch_dir(spark), ["s_suppkey"]).create(supplier.select("s_suppkey", (F.col("s_suppkey") == 1).cast("int").alias("is_active")))
+    best = supplier.agg(F.max_by("s_suppkey", F.struct("s_acctbal", -F.col("s_suppkey"))).alias("s_suppkey")).select("s_suppkey", F.lit(1).alias("is_active"))
+    before = held.read().where("is_active = 1").select("s_suppkey", F.lit(0).alias("is_active"))
+    changes = before.join(best, "s_suppkey", "left_anti").unionByName(best)
+    held.upsert(changes, "switch", lambda old, new: k.upserted(old, new, ["s_suppkey"]))
+    return held.read().drop("bucket")
+
+
+@query(
+    "copy_differences",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 1009 = 5 THEN 'lost' ELSE 'changed' END AS kind, 1::BIGINT AS n_source, CASE WHEN o_orderkey % 1009 = 5 THEN 0 ELSE 1 END::BIGINT AS n_target FROM orders WHERE o_orderkey % 1009 = 5 OR o_orderkey % 997 = 3
+UNION ALL SELECT -1 - o_orderkey, 'added', 0, 1 FROM orders WHERE o_orderkey % 1013 = 7 AND o_orderkey % 1009 <> 5""",
+)
+def copy_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    copy = orders.where("o_orderkey % 1009 != 5").withColumn("o_totalprice", F.expr("if(o_orderkey % 997 = 3, o_totalprice + 0.01, o_totalprice)"))
+    copy = copy.unionByName(copy.where("o_orderkey % 1013 = 7").withColumn("o_orderkey", -1 - F.col("o_orderkey")))
+    return differences(orders, copy, ["o_orderkey"])[0]
