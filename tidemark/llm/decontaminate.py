@@ -23,6 +23,8 @@ from .scratch import n_tasks, small_batches, stored
 from .words import ALNUM_WORDS, Words, mix, pieces, ranges, windows
 
 _SLOTS, _CHUNK = 1 << 24, 1 << 13
+#: Parts that the places of one prefix token are dealt to.
+DEALS = 16
 
 
 def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,7 +191,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 
     prefix = spark.sparkContext.broadcast(bitmap(runs.select("h")))
     places = stored(texts.mapInArrow(_places(prefix, window), "id long, sub long, n_words long, h long, at int, near string, back int"))
-    joined = places.where("h is not null").join(runs.withColumnRenamed("back", "run_back"), "h")
+    # A prefix token may be a common word or pair: its places are dealt to DEALS parts, and the benchmark's runs copied to each.
+    dealt = places.where("h is not null").withColumn("deal", F.pmod(F.xxhash64("id", "sub", "at"), F.lit(DEALS)).cast("int"))
+    copied = runs.withColumnRenamed("back", "run_back").withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    joined = dealt.join(copied, ["h", "deal"])
     joined = joined.select("id", "sub", "at", "near", "back", "item", "run", "run_back", "size")
     hits = stored(joined.mapInArrow(_verify, "id long, sub long, item long, s int, n int"))
 

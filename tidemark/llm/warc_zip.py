@@ -27,6 +27,8 @@ from .rows import picked
 from .scratch import n_tasks, small_batches, stored
 from .words import pieces
 
+#: Parts that the rows of one payload are dealt to.
+DEALS = 16
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
@@ -135,8 +137,11 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     p = picked(pages, page_id=id_col, url=url_col, html=html_col)
     p = p.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("hash", F.sha1(F.col("html").cast("binary")))
-    first = stored(p.where(F.octet_length("html") >= least_bytes).groupBy("hash").agg(F.min("page_id").alias("first")))
-    marked = p.join(first, "hash", "left").select("page_id", "url", "html", "first")
+    # Only payloads that several rows have need their first; a payload of very many rows is dealt to DEALS parts.
+    first = p.where(F.octet_length("html") >= least_bytes).groupBy("hash").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = first.select("hash", "first", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal"))
+    dealt = p.withColumn("deal", F.pmod(F.xxhash64("page_id", "url"), F.lit(DEALS)).cast("int"))
+    marked = dealt.join(first, ["hash", "deal"], "left").select("page_id", "url", "html", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = FileSystem.from_uri(path)
