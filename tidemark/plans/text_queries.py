@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.secrets import masked_rows
 from ..operators import documents as d
 from ..operators.retrieval import with_hash_embedding
 from ..operators.terms import best_rule, expanded, first_rule, load_terms, with_hits, with_rules
@@ -264,3 +265,22 @@ def term_table_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = table(spark, sf_dir, "part").select("p_brand", F.explode(words).alias("term")).where("term != ''")
     out = expanded(table(spark, sf_dir, "benchmark"), rules, key="item_id", text_col="text", rule_col="p_brand", term_col="term")
     return out.select("item_id", F.array_join("matched_rules", ",").alias("matched_rules"), F.array_join("expanded_terms", ",").alias("expanded_terms"))
+
+
+_MASKED = r"""regexp_replace(regexp_replace(regexp_replace({0}, '(sk-)[A-Za-z0-9_-]{{8,}}([A-Za-z0-9_-]{{4}})', '\1******\2', 'g'), '(Bearer)\s+[A-Za-z0-9._~+/=-]{{8,}}', '\1 ******', 'gi'), '(postgresql(?:\+\w+)?://[^:\s/@]+:)[^@\s]+(@)', '\1******\2', 'gi')"""
+
+
+@query(
+    "nested_secrets",
+    f"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') || ' Bearer abcdefgh' || conv_id || ' postgresql://me:pw' || turn || '@host/db' AS text FROM conversations)
+SELECT conv_id, sha256(string_agg({_MASKED.format("text")}, chr(10) ORDER BY turn)) AS texts_sha256, count(*) AS n, 'Basic ******' AS header, 'postgresql://me:******@host/db' AS url, '******' AS token, sum(turn)::BIGINT AS turns FROM t GROUP BY conv_id""",
+)
+def nested_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("turn").cast("string")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" Bearer abcdefgh"), F.col("conv_id").cast("string"), F.lit(" postgresql://me:pw"), turn, F.lit("@host/db"))
+    head = F.create_map(F.lit("Authorization"), F.concat(F.lit("Basic "), turn), F.lit("database_url"), F.concat(F.lit("postgresql://me:"), turn, F.lit("@host/db")), F.lit("x_token"), turn)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct(F.struct(text.alias("body"), F.col("turn").alias("at")).alias("message"), head.alias("head")).alias("payload"))
+    rows = masked_rows(turns)
+    held = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "payload.message.body"))).alias("t"), F.count("*").alias("n"), F.first("payload.head").alias("h"), F.sum("payload.message.at").alias("turns"))
+    body = F.array_join(F.transform("t", lambda x: x["body"]), "\n")
+    return held.select("conv_id", F.sha2(body, 256).alias("texts_sha256"), "n", F.col("h")["Authorization"].alias("header"), F.col("h")["database_url"].alias("url"), F.col("h")["x_token"].alias("token"), "turns")
