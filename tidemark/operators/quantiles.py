@@ -67,6 +67,24 @@ def quantiles(df: DataFrame, keys: Sequence[str], column: str, points: Mapping[s
     return got.select(*[F.col(a).alias(k) for k, a in zip(keys, ks, strict=True)], *between)
 
 
+def quantiles_of(df: DataFrame, keys: Sequence[str], points: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """(keys, a column for each point): quantiles of several columns in one pass, points being column -> name -> share.
+
+    Rows become one row for each column, so the columns are groups of one table.
+    """
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("_of"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(points)]))
+    shares = sorted({x for names in points.values() for x in names.values()})
+    found = quantiles(df.select(*keys, each), [*keys, "_of"], "_value", {f"_p{i}": x for i, x in enumerate(shares)})
+    picked = [F.max(F.when(F.col("_of") == i, F.col(f"_p{shares.index(x)}"))).alias(name) for i, names in enumerate(points.values()) for name, x in names.items()]
+    return found.groupBy(*keys).agg(*picked)
+
+
+def with_quantiles_of(df: DataFrame, keys: Sequence[str], points: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """df with its keys' quantiles of several columns; null where a key has no value."""
+    got = quantiles_of(df, keys, points).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    return df.join(got, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left").drop(*[f"_k_{k}" for k in keys])
+
+
 def with_quantiles(df: DataFrame, keys: Sequence[str], column: str, points: Mapping[str, float]) -> DataFrame:
     """df with its keys' quantiles of column; null where a key has no value."""
     got = quantiles(df, keys, column, points)

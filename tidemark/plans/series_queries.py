@@ -13,7 +13,7 @@ from ..functions.predicates import day_or_last
 from ..operators.keys import priority_union, union_keep
 from ..operators.metrics import residual_intervals, time_split
 from ..operators.numbering import haloed
-from ..operators.quantiles import with_quantiles
+from ..operators.quantiles import with_quantiles, with_quantiles_of
 from ..operators.risk import advice, confidence, data_level, explained, overall, ranked, score, storage_windows, tertile
 from ..operators.series import complete_until, day_ahead_vintage, gap_counts, hourly, resume_from, with_lags, with_rolling, with_same_hour_before, with_step
 from .registry import query, table
@@ -185,8 +185,8 @@ x AS (SELECT * FROM p JOIN q USING (event_type))"""
 
 
 def _thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hours = with_quantiles(_risky(spark, sf_dir), ["event_type"], "price", {"p25": 0.25, "p75": 0.75, "p90": 0.9})
-    return with_quantiles(hours, ["event_type"], "load", {"load75": 0.75})
+    points = {"price": {"p25": 0.25, "p75": 0.75, "p90": 0.9}, "load": {"load75": 0.75}}
+    return with_quantiles_of(_risky(spark, sf_dir), ["event_type"], points)
 
 
 @query(
