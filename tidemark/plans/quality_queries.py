@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality as q
+from ..sources import lookup
+from ..sources.scratch import scratch_dir
 from .registry import query, table
 
 _ORDERS = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
@@ -95,3 +97,18 @@ def master_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = orders.agg(F.max("o_orderdate").alias("a")).join(lines.agg(F.max("l_shipdate").alias("b")), F.lit(True)).select(F.least("a", "b").alias("end"))
     kept = orders.join(F.broadcast(end), F.col("o_orderdate") <= F.col("end"))
     return kept.groupBy("o_orderstatus", F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"), F.count("o_totalprice").alias("n_price"), F.count_distinct("o_custkey").alias("n_customers"), F.min("o_orderdate").alias("first_day"), F.max("o_orderdate").alias("last_day"))
+
+
+@query("word_lookup", "SELECT doc_id, lang, source FROM documents WHERE contains(lower(coalesce(text, '')), 'license') OR contains(lower(source), 'license')")
+def word_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    lookup.write_lookup(table(spark, sf_dir, "documents"), path, ["doc_id"], texts=["text", "source"], files=16)
+    return lookup.containing(spark, path, "License", ["text", "source"]).select("doc_id", "lang", "source")
+
+
+@query("key_lookup", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (7, 200, 777) OR l_partkey IN (5, 17)")
+def key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    lookup.write_lookup(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), path, ["l_orderkey", "l_linenumber"], blooms=["l_partkey"])
+    by_order, by_part = lookup.found(spark, path, "l_orderkey", [7, 200, 777]), lookup.found(spark, path, "l_partkey", [5, 17])
+    return by_order.unionByName(by_part.where("l_orderkey not in (7, 200, 777)"))
