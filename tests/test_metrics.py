@@ -55,3 +55,36 @@ def test_quantiles_with_an_outlier_and_a_hot_key(spark):
     got = {r["k"]: (r["a"], r["b"]) for r in quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"a": 0.1, "b": 0.5}).collect()}
     assert got.keys() == {"hot", "one", None} and got["one"] == (2.0, 2.0) and got[None] == (1.3, 2.5)
     assert np.allclose(got["hot"], np.quantile(values, [0.1, 0.5]), rtol=1e-12)
+
+
+def test_steps_are_cut_until_they_fit(spark, monkeypatch):
+    import numpy as np
+
+    from tidemark.operators import quantiles as q
+
+    values = [float(v) for v in np.random.default_rng(5).permutation(9000)] + [77.0] * 500
+    df = spark.createDataFrame([("a", v) for v in values] + [(None, 3.0), ("none", float("nan"))], "k string, v double")
+    monkeypatch.setattr(q, "STEPS", 8)
+    monkeypatch.setattr(q, "MOST", 20)
+    got = {r["k"]: (r["a"], r["b"], r["c"]) for r in q.quantiles(df, ["k"], "v", {"a": 0.01, "b": 0.5, "c": 0.999}).collect()}
+    assert got == {"a": tuple(np.quantile(values, [0.01, 0.5, 0.999]).tolist()), None: (3.0, 3.0, 3.0)} or np.allclose(got["a"], np.quantile(values, [0.01, 0.5, 0.999]), rtol=1e-12)
+    assert got.keys() == {"a", None} and got[None] == (3.0, 3.0, 3.0)
+    assert q.quantiles(df.limit(0), ["k"], "v", {"a": 0.5}).count() == 0
+
+
+def test_exact_sums_of_small_large_and_negative_values(spark):
+    from tidemark.functions.columns import exact_mean, exact_sum, rmse
+
+    df = spark.createDataFrame([(0.125,), (-0.375,), (2.0**60,), (-(2.0**60),), (5e7,), (None,)], "x double")
+    assert df.select(exact_sum("x", 2)).first()[0] == 0.13 - 0.38 + 5e7
+    assert df.where("x < 1").where("x > -1").select(exact_mean("x"), rmse("x")).first() == ((0.13 - 0.38) / 2, ((0.0156 + 0.1406) / 2) ** 0.5)
+    assert df.where("x is null").select(exact_sum("x", 2), exact_mean("x"), rmse("x")).first() == (None, None, None)
+    n = spark.createDataFrame([(1.5, 3), (-2.25, 2)], "x double, n long")
+    assert n.select(exact_sum("x", 2, F.col("n"))).first()[0] == 0.0
+
+
+def test_error_memory_counts_each_bias(spark):
+    df = spark.createDataFrame([("m", 1.0), ("m", 1.0), ("m", -4.0), ("m", None), (None, 2.0)], "k string, bias double")
+    got = {r["k"]: r.asDict() for r in m.error_memory(df, ["k"]).collect()}
+    assert got["m"] == {"k": "m", "sample_count": 3, "mae": 2.0, "rmse": 6.0**0.5, "bias_mean": -2 / 3, "bias_median": 1.0, "over_count": 1, "under_count": 2}
+    assert got[None]["sample_count"] == 1 and got[None]["bias_median"] == 2.0 and m.error_memory(df.limit(0), ["k"]).count() == 0

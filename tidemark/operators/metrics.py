@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
 
-from ..functions.columns import clip, exact_mean, percent_error, rmse
+from ..functions.columns import clip, exact_mean, exact_sum, percent_error, rmse
 from .keys import best_per_key
-from .quantiles import quantiles
+from .quantiles import quantiles, quantiles_of_counts, value_counts
 
 #: Fixed values of the rules.
 DRIFT = {"least_samples": 24, "times_baseline": 1.2, "most_rmse": 80.0}
@@ -28,7 +28,7 @@ def with_errors(df: DataFrame, predicted: str, actual: str) -> DataFrame:
 def error_figures(df: DataFrame, keys: Sequence[str], peak: Column, spike: Column) -> DataFrame:
     """n, mae, rmse, mape, peak_rmse and spike_rmse of rows with errors, by keys; a group without peak rows has a null there."""
     return df.where("bias is not null").groupBy(*keys).agg(
-        F.count("*").alias("n"), exact_mean("abs_error").alias("mae"), rmse("bias").alias("rmse"), exact_mean("pct_error", "decimal(38,12)").alias("mape"),
+        F.count("*").alias("n"), exact_mean("abs_error").alias("mae"), rmse("bias").alias("rmse"), exact_mean("pct_error", 12).alias("mape"),
         rmse(F.when(peak, F.col("bias"))).alias("peak_rmse"), rmse(F.when(spike, F.col("bias"))).alias("spike_rmse"),
     )
 
@@ -42,18 +42,26 @@ def regression_figures(df: DataFrame, keys: Sequence[str], predicted: str, actua
     total = F.sum((a * a).cast("decimal(38,4)")).cast("double") - F.pow(F.sum(a.cast("decimal(18,2)")).cast("double"), 2) / F.count("*")
     return both.groupBy(*keys).agg(
         F.count("*").alias("n"), exact_mean(F.abs(a - p)).alias("mae"), F.sqrt(square / F.count("*")).alias("rmse"),
-        exact_mean(err, "decimal(38,12)").alias("mape"), F.when(total > 0, 1 - square / total).alias("r2"),
+        exact_mean(err, 12).alias("mape"), F.when(total > 0, 1 - square / total).alias("r2"),
     )
 
 
 def error_memory(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Bias of past forecasts by keys (null keys are a group): sample_count, mae, rmse, mean, median, over and under counts."""
-    known = df.where("bias is not null")
-    figures = known.groupBy(*keys).agg(
-        F.count("*").alias("sample_count"), exact_mean("abs_error").alias("mae"), rmse("bias").alias("rmse"), exact_mean("bias").alias("bias_mean"),
-        F.count(F.when(F.col("bias") < 0, 1)).alias("over_count"), F.count(F.when(F.col("bias") > 0, 1)).alias("under_count"),
+    # Each different bias of a key is one row of counts, from which both the figures and the median come: errors are read once.
+    counts = value_counts(df, keys, "bias")
+    each = counts.withColumn("_abs", F.abs("_v"))
+
+    def total(x: Column, places: int) -> Column:
+        return exact_sum(x, places, F.col("_n"))
+
+    n = F.sum("_n")
+    figures = each.groupBy(*[c for c in counts.columns if c.startswith("_k")]).agg(
+        n.alias("sample_count"), (total(F.col("_abs"), 2) / n).alias("mae"), F.sqrt(total(F.col("_v") * F.col("_v"), 4) / n).alias("rmse"), (total(F.col("_v"), 2) / n).alias("bias_mean"),
+        F.coalesce(F.sum(F.when(F.col("_v") < 0, F.col("_n"))), F.lit(0)).alias("over_count"), F.coalesce(F.sum(F.when(F.col("_v") > 0, F.col("_n"))), F.lit(0)).alias("under_count"),
     )
-    medians = quantiles(known, keys, "bias", {"bias_median": 0.5}).withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    figures = figures.withColumnsRenamed({f"_k{i}": k for i, k in enumerate(keys)})
+    medians = quantiles_of_counts(counts, keys, {"bias_median": 0.5}).withColumnsRenamed({k: f"_k_{k}" for k in keys})
     return figures.join(medians, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).drop(*[f"_k_{k}" for k in keys])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -48,9 +49,17 @@ def column_array_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_column_arrays(feed, "body", {"price": "p", "customer": "c"}, "time")
 
 
+def _drop(spark: SparkSession, *names: str) -> None:
+    if getattr(spark.sparkContext, "_jsc", None) is not None:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def _saved(spark: SparkSession, df: DataFrame) -> str:
+    """The name of a new table that holds df; it is dropped as the driver ends, as the query's result still reads it."""
     name = f"t_{uuid.uuid4().hex[:12]}"
     sinks.write_table(df, name, "overwrite")
+    atexit.register(_drop, spark, name)
     return name
 
 
@@ -90,6 +99,7 @@ def text_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def import_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefix = f"run_{uuid.uuid4().hex[:8]}_"
     out = sinks.import_run({n: table(spark, sf_dir, n) for n in ("nation", "region")}, "r1", "full", "2026-01-01 00:00:00", prefix)
+    atexit.register(_drop, spark, f"{prefix}nation", f"{prefix}region")
     return out.withColumn("table_name", F.replace("table_name", F.lit(prefix), F.lit("")))
 
 
