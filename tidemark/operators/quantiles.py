@@ -67,7 +67,8 @@ def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], points: Mapping[
     # Each round cuts the parts in which wanted ranks lie; the first part of a group is all of it.
     parts = counts.withColumns({"_part": F.lit("").cast("string"), "_start": F.lit(0).cast("bigint")})
     while True:
-        ends = parts.groupBy(*ks, "_part").agg(F.percentile_approx("_v", [i / STEPS for i in range(1, STEPS)], 16 * STEPS).alias("_cuts"), *[F.sum("_n").alias("_all")] * ("_all" not in parts.columns))
+        # Stored: approximate quantiles depend on the order in which tasks' results come, so taken twice they may differ.
+        ends = stored(parts.groupBy(*ks, "_part").agg(F.percentile_approx("_v", [i / STEPS for i in range(1, STEPS)], 16 * STEPS).alias("_cuts"), *[F.sum("_n").alias("_all")] * ("_all" not in parts.columns)))
         # The number of cuts below a value, by halving: STEPS - 1 cuts take one comparison for each of its bits.
         halves = F.array(*[F.lit(1 << i) for i in reversed(range(STEPS.bit_length() - 1))])
         step = F.aggregate(halves, F.lit(0), lambda at, half: at + F.when(F.get("_cuts", at + half - 1) < F.col("_v"), half).otherwise(F.lit(0)))
