@@ -1,3 +1,5 @@
+import time
+
 import pyarrow.parquet as pq
 
 from tidemark.sources import lookup
@@ -38,3 +40,15 @@ def test_lookups_skip_row_groups_and_files(spark, tmp_path):
 def test_no_rows(spark, tmp_path):
     lookup.write_lookup(spark.range(0).selectExpr("id", "cast(id as string) t"), str(tmp_path / "t"), ["id"], texts=["t"])
     assert lookup.containing(spark, str(tmp_path / "t"), "word", ["t"]).collect() == [] == lookup.found(spark, str(tmp_path / "t"), "id", [1]).collect()
+
+
+def test_pieces_of_a_long_text_take_linear_time(spark, tmp_path):
+    """A substring by its place reads the text from its start, so the pieces of 400,000 characters once took their square."""
+    rows = spark.createDataFrame([(1, "äb😀 " + "xyz€" * 100_000 + "end"), (2, "di"), (3, None), (4, "nd hay")], "id long, text string")
+    path, began = str(tmp_path / "t"), time.perf_counter()
+    lookup.write_lookup(rows, path, ["id"], texts=["text"], files=2)
+    assert time.perf_counter() - began < 20
+    pieces = {r.piece for r in spark.read.parquet(f"{path}/pieces").collect()}
+    assert pieces == {"äb😀", "b😀 ", "😀 x", " xy", "xyz", "yz€", "z€x", "€xy", "z€e", "€en", "end", "nd ", "d h", " ha", "hay"}
+    assert [r.id for r in lookup.containing(spark, path, "z€eN", ["text"]).collect()] == [1]
+    assert lookup.containing(spark, path, "endi", ["text"]).collect() == []

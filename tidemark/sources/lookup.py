@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of a piece of text.
@@ -24,14 +27,34 @@ def write_lookup(df: DataFrame, path: str, by: Sequence[str], blooms: Sequence[s
     writer.mode("overwrite").parquet(f"{path}/rows")
     if texts:
         rows = df.sparkSession.read.parquet(f"{path}/rows").select(F.col("_metadata.file_name").alias("file"), F.explode(F.array(*[F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")) for c in texts])).alias("text"))
-        pieces = rows.select("file", F.explode(_pieces(F.col("text"))).alias("piece")).distinct()
+        pieces = rows.mapInArrow(_pieces, "file string, piece string").distinct()
         pieces.repartitionByRange(n, "piece").sortWithinPartitions("piece").write.mode("overwrite").parquet(f"{path}/pieces")
 
 
-def _pieces(text: Column) -> Column:
-    """The different runs of PIECE characters of a text."""
-    at = F.when(F.length(text) >= PIECE, F.sequence(F.lit(1), F.length(text) - (PIECE - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.substring(text, i, F.lit(PIECE))))
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different runs of PIECE characters of a batch's texts, with their file, in time and memory that grow with the characters alone."""
+    for batch in batches:
+        at = 0
+        while at < len(batch):
+            # As many texts as have a million characters or so together; one at least.
+            ends = np.cumsum(pc.binary_length(batch.column("text").slice(at)).to_numpy(zero_copy_only=False))
+            n = max(1, int(np.searchsorted(ends, 1 << 20, "right")))
+            files, texts = batch.column("file").slice(at, n), batch.column("text").slice(at, n).to_pylist()
+            at += n
+            coded = files.dictionary_encode()
+            sizes = np.array([len(t) for t in texts])
+            chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+            if len(chars) < PIECE:
+                continue
+            text = np.repeat(np.arange(n), sizes)
+            # A character has 21 bits, so a piece is one number; pieces that reach into the next text are none.
+            code = (chars[:-2] << np.uint64(42)) | (chars[1:-1] << np.uint64(21)) | chars[2:]
+            inside, file = text[:-2] == text[2:], coded.indices.to_numpy(zero_copy_only=False)[text[:-2]]
+            for i, name in enumerate(coded.dictionary.to_pylist()):
+                own = np.unique(code[inside & (file == i)])
+                three = np.stack([own >> np.uint64(42), (own >> np.uint64(21)) & np.uint64((1 << 21) - 1), own & np.uint64((1 << 21) - 1)], axis=1).astype("<u4")
+                flat = three.tobytes().decode("utf-32-le")
+                yield pa.RecordBatch.from_pydict({"file": [name] * len(own), "piece": [flat[j : j + PIECE] for j in range(0, len(flat), PIECE)]}, pa.schema([("file", pa.string()), ("piece", pa.string())]))
 
 
 def found(spark: SparkSession, path: str, column: str, values: Sequence) -> DataFrame:
