@@ -1,3 +1,6 @@
+import time
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +55,38 @@ def test_expanded_questions(spark):
     got = {r.id: (list(r.matched_rules), list(r.expanded_terms)) for r in m.expanded(asked, table, key="id", text_col="q", rule_col="rule", term_col="term").collect()}
     assert got == {1: (["RT"], ["real time", "spot"]), 2: ([], []), 3: (["DA", "RT"], ["real time"]), 4: ([], [])}
     assert [list(r.expanded_terms) for r in m.expanded(asked, table, key="id", text_col="q", rule_col="rule", term_col="term", most=1).where("id = 1").collect()] == [["real time"]]
+
+
+@pytest.mark.parametrize("chars", [1, 10, 4_000_000])
+def test_counts_without_single_hits(spark, chars):
+    """Terms that overlap themselves, a rule of two places, rules in several shards: as with_hits and with_rules give it."""
+    more = [*RULES, (0, "b", "aba"), (9, "a", "rice"), (4, "e", "ababa"), (2, "e", "nothing")]
+    terms = m.load_terms(rules(spark, more), rule_col="rule", term_col="term", order_col="place", shard_chars=chars)
+    docs = spark.createDataFrame([*TEXTS, (8, "abababa aaaa abaaba ababa"), (9, "rice"), (9, "nothing rice aba")], "id long, text string")
+    hits = m.with_hits(docs, terms, F.lower("text"))
+    want = Counter((r.id, tuple(map(tuple, r.rules))) for r in m.with_rules(hits).collect())
+    sums = m.with_rule_counts(docs, terms, F.lower("text"))
+    assert Counter((r.id, tuple((x.rule, x.terms, x.times) for x in r.rules)) for r in sums.collect()) == want
+    assert ("e", 1, 2) in next(k[1] for k in want if k[0] == 8)  # ababa twice, not four times
+    each, want = m.term_counts(docs, terms, F.lower("text")), {}
+    for _, text in docs.collect():
+        for term in {t.lower() for _, rule, t in more if rule and t}:
+            if text and (n := text.lower().count(term)):
+                want[term] = [a + b for a, b in zip(want.get(term, [0, 0]), [1, n], strict=True)]
+    assert {r.term: [r.n_documents, r.n_times] for r in each.collect()} == want
+
+
+def test_sums_by_rule_are_the_same_by_matrix_and_by_rows(monkeypatch):
+    built = m._Built({"aa": [(1, "a"), (2, "b")], "ab": [(2, "b")], "c": [(3, "c")]})
+    counted = built.counts(["aaaa ab", "", "c aab", None])
+    dense = [x.tolist() for x in built.by_rule(*counted, 4)]
+    monkeypatch.setattr(m, "DENSE", 0)
+    assert dense == [x.tolist() for x in built.by_rule(*counted, 4)] == [[0, 0, 2, 2, 2], [0, 1, 0, 1, 2], [1, 2, 1, 2, 1], [2, 3, 1, 2, 1]]
+
+
+def test_best_of_many_rules_takes_linear_time(spark):
+    """20,000 rules at one text: comparing each with a maximum that is found again takes 400 million steps."""
+    rows = spark.range(4).select("id", F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.struct(i.cast("string").alias("rule"), (i % 7).alias("terms"), (i % 5 + 0 * F.col("id")).alias("times"))).alias("r"))
+    began = time.perf_counter()
+    got = rows.select(m.best_rule(F.col("r"), "none").alias("a"), m.best_rule(F.col("r"), "none", by="times").alias("b")).collect()
+    assert {tuple(x) for x in got} == {("6", "4")} and time.perf_counter() - began < 10

@@ -7,7 +7,7 @@ bound however many rules there are; shards follow one another in the same pass o
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import ahocorasick
@@ -22,9 +22,11 @@ from ..sources.scratch import stored
 
 #: Characters of the terms of one automaton.
 SHARD_CHARS = 4_000_000
+#: Places of a shard's matrix of terms by rules, at most (64 MB).
+DENSE = 1 << 23
 HITS = "array<struct<place: bigint, rule: string, term: string, n: bigint>>"
 _HITS = pa.list_(pa.struct([("place", pa.int64()), ("rule", pa.string()), ("term", pa.string()), ("n", pa.int64())]))
-_BUILT: dict[str, ahocorasick.Automaton] = {}
+_ITEM = np.dtype([("end", np.int32), ("term", np.int32)])
 
 
 @dataclass
@@ -54,32 +56,94 @@ def load_terms(rules: DataFrame, *, rule_col: str, term_col: str, order_col: str
     return Terms(shards)
 
 
-def _automaton(shard) -> ahocorasick.Automaton:
+class _Built:
+    """A shard's automaton, and its terms and their rules as arrays: term i has the rules at[i] to at[i + 1] of rule."""
+
+    def __init__(self, known: dict[str, list[tuple[int, str]]]):
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i, term in enumerate(known):
+            self.automaton.add_word(term, i)
+        if known:
+            self.automaton.make_automaton()
+        self.terms, self.lengths = pa.array(list(known), pa.string()), np.array([len(t) for t in known], np.int64)
+        # Rules are numbered in their order: by place and name.
+        self.rules = sorted({r for rules in known.values() for r in rules})
+        number = {r: i for i, r in enumerate(self.rules)}
+        self.matrix: np.ndarray | None = None
+        self.n_rules = np.array([len(rules) for rules in known.values()], np.int64)
+        self.at = np.cumsum(self.n_rules) - self.n_rules
+        self.rule = np.array([number[r] for rules in known.values() for r in sorted(rules)], np.int64)
+
+    def counts(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, n) by number, for each term in each text, ordered by both; occurrences of one term don't overlap, those of several may."""
+        each = [np.fromiter(self.automaton.iter(t), _ITEM) if t and len(self.lengths) else np.empty(0, _ITEM) for t in texts]
+        all_, n = np.concatenate([*each, np.empty(0, _ITEM)]), len(self.lengths)
+        key, end = np.repeat(np.arange(len(each)), [len(x) for x in each]) * n + all_["term"], all_["end"].astype(np.int64)
+        order = np.argsort(key, kind="stable")  # a term's occurrences stay in the text's order
+        key, end = key[order], end[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        sizes = np.diff(np.r_[first, len(key)])
+        key = key[first]
+        text, term = np.divmod(key, max(n, 1))
+        # Where none of a term's occurrences overlaps the one before, all count; else they are gone through.
+        near = np.r_[False, np.diff(end)] < np.repeat(self.lengths[term], sizes)
+        near[first] = False
+        for i in np.unique(np.searchsorted(first, np.flatnonzero(near), "right") - 1).tolist():
+            length, last, count = int(self.lengths[term[i]]), None, 0
+            for e in end[first[i] : first[i] + sizes[i]].tolist():
+                if last is None or e - last >= length:
+                    last, count = e, count + 1
+            sizes[i] = count
+        return text, term, sizes
+
+    def ruled(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among these terms, rule) by number, for each rule of each of these terms."""
+        n = self.n_rules[term]
+        which = np.repeat(np.arange(len(term)), n)
+        return which, self.rule[np.arange(len(which)) + np.repeat(self.at[term] - (np.cumsum(n) - n), n)]
+
+    def by_rule(self, text: np.ndarray, term: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, rule, terms, times) by number, for each rule with a term in one of `size` texts, from what counts gave.
+
+        Where most terms have many rules, a product of matrices adds them up at less cost than a row for each term's rule.
+        """
+        wide = max(len(self.rules), 1)
+        if len(self.lengths) * wide <= DENSE:
+            if self.matrix is None:
+                self.matrix = np.zeros((len(self.lengths), wide))
+                self.matrix[np.repeat(np.arange(len(self.lengths)), self.n_rules), self.rule] = 1.0
+            own, column = np.unique(term, return_inverse=True)
+            counted = np.zeros((2 * size, len(own)))
+            counted[text, column], counted[size + text, column] = 1.0, n
+            sums = (counted @ self.matrix[own]).astype(np.int64)
+            at, rule = np.nonzero(sums[:size])
+            return at, rule, sums[at, rule], sums[size + at, rule]
+        which, rule = self.ruled(term)
+        key, place = np.unique(text[which] * wide + rule, return_inverse=True)
+        return *np.divmod(key, wide), np.bincount(place, minlength=len(key)).astype(np.int64), np.bincount(place, n[which], len(key)).astype(np.int64)
+
+
+_BUILT: dict[str, _Built] = {}
+
+
+def _automaton(shard) -> _Built:
     """A shard's automaton, built once in each worker."""
     name, known = shard
     if name not in _BUILT:
         while len(_BUILT) > 3:
             _BUILT.pop(next(iter(_BUILT)))
-        built = ahocorasick.Automaton()
-        for i, (term, rules) in enumerate(known.items()):
-            built.add_word(term, (i, len(term), term, rules))
-        if known:
-            built.make_automaton()
-        _BUILT[name] = built
+        _BUILT[name] = _Built(known)
     return _BUILT[name]
 
 
-def _found(automaton: ahocorasick.Automaton, text: str) -> list[tuple[int, str, str, int]]:
-    """(place, rule, term, n) of the terms in a text; occurrences of one term don't overlap, those of several may."""
-    last: dict[int, list] = {}
-    for end, (i, length, term, rules) in automaton.iter(text):
-        seen = last.get(i)
-        if seen is None:
-            last[i] = [end, 1, term, rules]
-        elif end - seen[0] >= length:
-            seen[0] = end
-            seen[1] += 1
-    return [(place, rule, term, n) for _, n, term, rules in last.values() for place, rule in rules]
+def _cut(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """batch in slices of at most 256 rows and about `most` bytes of _text; one row at least."""
+    at = 0
+    while at < len(batch):
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("_text").slice(at, 256)), 0).to_numpy(zero_copy_only=False))
+        n = max(1, int(np.searchsorted(ends, most, "right")))
+        yield batch.slice(at, n)
+        at += n
 
 
 def with_hits(docs: DataFrame, terms: Terms, text: Column, name: str = "hits") -> DataFrame:
@@ -90,12 +154,13 @@ def with_hits(docs: DataFrame, terms: Terms, text: Column, name: str = "hits") -
         def run(batches: Iterator[pa.RecordBatch], shard=shard, i=i) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(shard.value)
             for batch in batches:
-                texts = batch.column("_text")
-                for at in range(0, len(batch), 256):
-                    found = [_found(automaton, t) if t and len(automaton) else [] for t in texts.slice(at, 256).to_pylist()]
-                    hits = pa.array([[dict(zip(("place", "rule", "term", "n"), h, strict=True)) for h in own] for own in found], _HITS)
-                    part = batch.slice(at, 256)
-                    yield pa.RecordBatch.from_arrays([*part.columns, hits], [*batch.schema.names, f"_hits_{i}"])
+                for part in _cut(batch):
+                    row, term, n = automaton.counts(part.column("_text").to_pylist())
+                    which, rule = automaton.ruled(term)
+                    places, names = pa.array([p for p, _ in automaton.rules], pa.int64()), pa.array([r for _, r in automaton.rules], pa.string())
+                    flat = pa.StructArray.from_arrays([places.take(pa.array(rule)), names.take(pa.array(rule)), automaton.terms.take(pa.array(term[which])), pa.array(n[which])], fields=list(_HITS.value_type))
+                    ends = np.r_[0, np.cumsum(np.bincount(row[which], minlength=len(part)))].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), flat).cast(_HITS)], [*batch.schema.names, f"_hits_{i}"])
 
         out = out.mapInArrow(run, T.StructType([*out.schema.fields, *T.StructType.fromDDL(f"_hits_{i} {HITS}").fields]))
     every = F.array_sort(F.concat(*[F.col(f"_hits_{i}") for i in range(len(terms.shards))]))
@@ -107,6 +172,83 @@ def first_rule(hits: Column, default: str) -> Column:
     return F.coalesce(F.try_element_at(hits, F.lit(1)).getField("rule"), F.lit(default))
 
 
+def term_counts(docs: DataFrame, terms: Terms, text: Column) -> DataFrame:
+    """(term, n_documents, n_times) of the terms in any text. A task adds up its own texts' counts before they are shuffled."""
+    out = None
+    for shard in terms.shards:
+
+        def run(batches: Iterator[pa.RecordBatch], shard=shard) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(shard.value)
+            size = len(automaton.lengths)
+            documents, times = np.zeros(size, np.int64), np.zeros(size, np.int64)
+            for batch in batches:
+                for part in _cut(batch):
+                    _, term, n = automaton.counts(part.column("_text").to_pylist())
+                    np.add.at(documents, term, 1)
+                    np.add.at(times, term, n)
+            some = np.flatnonzero(documents)
+            yield pa.RecordBatch.from_arrays([automaton.terms.take(pa.array(some)), pa.array(documents[some]), pa.array(times[some])], ["term", "n_documents", "n_times"])
+
+        own = docs.select(text.cast("string").alias("_text")).mapInArrow(run, "term string, n_documents long, n_times long")
+        out = own if out is None else out.unionByName(own)
+    return out.groupBy("term").agg(F.sum("n_documents").alias("n_documents"), F.sum("n_times").alias("n_times"))
+
+
+_RULED = pa.list_(pa.struct([("rule", pa.string()), ("place", pa.int64()), ("terms", pa.int64()), ("times", pa.int64())]))
+
+
+def _ruled(row: np.ndarray, rule: np.ndarray, names: pa.Array, place: np.ndarray, terms: np.ndarray, times: np.ndarray, n: int) -> pa.Array:
+    """For each of n rows (rule, place, terms, times) of each of its rules: sums, the least place, in order of place and name. rule: numbers in names, which are sorted."""
+    size = max(len(names), 1)
+    key, which = np.unique(row * size + rule, return_inverse=True)
+    least = np.full(len(key), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, place)
+    sums = [np.bincount(which, x, len(key)).astype(np.int64) for x in (terms, times)]
+    text, rule = np.divmod(key, size)
+    order = np.lexsort((rule, least, text))
+    flat = pa.StructArray.from_arrays([names.take(pa.array(rule[order])), *[pa.array(x[order]) for x in (least, *sums)]], fields=list(_RULED.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(text, minlength=n))].astype(np.int32)), flat).cast(_RULED)
+
+
+def with_rule_counts(docs: DataFrame, terms: Terms, text: Column, name: str = "rules") -> DataFrame:
+    """docs with (rule, place, terms, times) for each rule with a term in text, in the rules' order: sums as with_rules has them, without a row for each hit."""
+    out, columns = docs.withColumn("_text", text.cast("string")), docs.columns
+    kind = "array<struct<rule: string, place: bigint, terms: bigint, times: bigint>>"
+    for i, shard in enumerate(terms.shards):
+
+        def run(batches: Iterator[pa.RecordBatch], shard=shard, i=i) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(shard.value)
+            names = sorted({r for _, r in automaton.rules})
+            number = {r: k for k, r in enumerate(names)}
+            named, place = np.array([number[r] for _, r in automaton.rules], np.int64), np.array([p for p, _ in automaton.rules], np.int64)
+            names = pa.array(names, pa.string())
+            for batch in batches:
+                for part in _cut(batch):
+                    row, rule, different, times = automaton.by_rule(*automaton.counts(part.column("_text").to_pylist()), len(part))
+                    sums = _ruled(row, named[rule], names, place[rule], different, times, len(part))
+                    yield pa.RecordBatch.from_arrays([*part.columns, sums], [*batch.schema.names, f"_rules_{i}"])
+
+        out = out.mapInArrow(run, T.StructType([*out.schema.fields, *T.StructType.fromDDL(f"_rules_{i} {kind}").fields]))
+    if len(terms.shards) == 1:
+        return out.select(*[F.col(f"`{c}`") for c in columns], F.col("_rules_0").alias(name))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # a rule's terms may lie in several shards
+        for batch in batches:
+            lists = batch.columns[-1]
+            flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            coded = flat.field("rule").dictionary_encode()
+            order = np.argsort(np.array(coded.dictionary.to_pylist(), object), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            of = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("place", "terms", "times")]
+            sums = _ruled(np.repeat(np.arange(len(batch)), sizes), rank[coded.indices.to_numpy(zero_copy_only=False)], coded.dictionary.take(pa.array(order)).cast(pa.string()), *of, len(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], sums], batch.schema.names)
+
+    every = F.concat(*[F.col(f"_rules_{i}") for i in range(len(terms.shards))])
+    out = out.select(*[F.col(f"`{c}`") for c in columns], every.alias(name))
+    return out.mapInArrow(merge, out.schema)
+
+
 def with_rules(found: DataFrame, hits: str = "hits", name: str = "rules") -> DataFrame:
     """found with (rule, terms, times) for each rule with hits, in the rules' order: its different terms, and all their occurrences."""
     kind = pa.list_(pa.struct([("rule", pa.string()), ("terms", pa.int64()), ("times", pa.int64())]))
@@ -129,8 +271,9 @@ def with_rules(found: DataFrame, hits: str = "hits", name: str = "rules") -> Dat
 
 def best_rule(rules: Column, default: str, by: str = "terms") -> Column:
     """Of with_rules' column: the rule with the most different terms (by="terms") or occurrences (by="times"), the first among equals."""
-    most = F.array_max(F.transform(rules, lambda x: x[by]))
-    return F.coalesce(F.try_element_at(F.filter(rules, lambda x: x[by] == most), F.lit(1)).getField("rule"), F.lit(default))
+    # One pass: a filter by the largest number would look for that number again at each rule.
+    best = F.array_max(F.transform(rules, lambda x, i: F.struct(x[by].alias("n"), (-i).alias("i"), x["rule"].alias("rule"))))
+    return F.coalesce(best.getField("rule"), F.lit(default))
 
 
 def expanded(queries: DataFrame, rules: DataFrame, *, key: str, text_col: str, rule_col: str, term_col: str, most: int = 32) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import text as t
 from ..functions.secrets import masked_rows
 from ..operators import documents as d
 from ..operators.retrieval import with_hash_embedding
-from ..operators.terms import best_rule, expanded, first_rule, load_terms, with_hits, with_rules
+from ..operators.terms import best_rule, expanded, first_rule, load_terms, with_hits, with_rule_counts
 from ..sources.html import html_text
 from .registry import query, table
 
@@ -245,9 +245,8 @@ SELECT doc_id, coalesce(first::VARCHAR, 'none') AS first_rule, coalesce(most_ter
 )
 def term_table_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = load_terms(_item_rules(spark, sf_dir), rule_col="item_id", term_col="term", order_col="item_id")
-    found = with_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), terms, F.lower("text"))
-    found, rules = with_rules(found.select("doc_id", "hits")), F.col("rules")
-    return found.select("doc_id", first_rule(F.col("hits"), "none").alias("first_rule"), best_rule(rules, "none").alias("most_terms"), best_rule(rules, "none", by="times").alias("most_times"))
+    found, rules = with_rule_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), terms, F.lower("text")), F.col("rules")
+    return found.select("doc_id", first_rule(rules, "none").alias("first_rule"), best_rule(rules, "none").alias("most_terms"), best_rule(rules, "none", by="times").alias("most_times"))
 
 
 @query(
