@@ -9,7 +9,7 @@ from ..functions import text as t
 from ..functions.secrets import masked_rows
 from ..operators import documents as d
 from ..operators.retrieval import with_hash_embedding
-from ..operators.terms import best_rule, expanded, first_rule, load_terms, with_hits, with_rule_counts
+from ..operators.terms import best_rule, expanded, first_rule, load_terms, term_counts, with_rule_counts
 from ..sources.html import html_text
 from .registry import query, table
 
@@ -232,8 +232,7 @@ def term_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("term"))
     rules = words.union(_item_rules(spark, sf_dir).select("term")).withColumn("rule", F.lit("any"))
     terms = load_terms(rules, rule_col="rule", term_col="term")
-    hits = with_hits(table(spark, sf_dir, "documents").select("text"), terms, F.lower("text")).select(F.inline("hits"))
-    return hits.groupBy("term").agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_times"))
+    return term_counts(table(spark, sf_dir, "documents"), terms, F.lower("text"))
 
 
 @query(
