@@ -95,3 +95,20 @@ def test_cuts_of_quantiles_are_taken_once(spark):
     df = spark.range(1000).selectExpr("id % 3 as k", "cast(id * 7919 % 1009 as double) as v")
     plan = quantiles(df, ["k"], "v", {"a": 0.5})._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile_approx" not in plan
+
+
+def test_error_counts_are_those_of_error_memory(spark):
+    df = spark.createDataFrame([("a", 1.5), ("a", -2.25), ("a", 1.5), ("b", 0.0), ("b", None), (None, 2.0), ("c", float("nan"))], "k string, bias double")
+    got = m.error_counts(df, ["k"])
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, m.error_memory(df, ["k"]).drop("bias_median").collect()))
+    # One grouping, one shuffle: no table of values by key, as the medians need.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+@pytest.mark.parametrize("name", ["tiered_lookup_bias"])
+def test_lookups_take_no_medians(spark, name, monkeypatch):
+    from tidemark.plans.registry import QUERIES, load
+
+    load()
+    monkeypatch.setattr(m, "quantiles_of_counts", lambda *_: pytest.fail("medians that nothing reads"))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0

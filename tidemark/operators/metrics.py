@@ -46,6 +46,15 @@ def regression_figures(df: DataFrame, keys: Sequence[str], predicted: str, actua
     )
 
 
+def error_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """error_memory without the medians, for lookups and means that don't read them: one grouping of the errors."""
+    n = F.count("*")
+    return df.where(F.nanvl(F.col("bias"), F.lit(None)).isNotNull()).groupBy(*keys).agg(
+        n.alias("sample_count"), exact_mean(F.abs("bias")).alias("mae"), rmse("bias").alias("rmse"), exact_mean("bias").alias("bias_mean"),
+        F.count(F.when(F.col("bias") < 0, 1)).alias("over_count"), F.count(F.when(F.col("bias") > 0, 1)).alias("under_count"),
+    )
+
+
 def error_memory(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Bias of past forecasts by keys (null keys are a group): sample_count, mae, rmse, mean, median, over and under counts."""
     # Each different bias of a key is one row of counts, from which both the figures and the median come: errors are read once.

@@ -97,7 +97,7 @@ def tiered_lookup_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "high").otherwise("low").alias("risk_level"), (F.col("o_totalprice") / 1000).alias("price"),
     )
     tiers = [["hour", "day_of_week", "is_peak_hour", "risk_level"], ["hour", "is_peak_hour"], ["hour"]]
-    found = m.tiered_lookup(rows, _memory(spark, sf_dir), tiers, "bias_mean", _LEAST, most_entries=24 * 7 * 2 * 2).withColumn("bias", F.col("found") / 1000)
+    found = m.tiered_lookup(rows, m.error_counts(_errors(spark, sf_dir), _KEYS), tiers, "bias_mean", _LEAST, most_entries=24 * 7 * 2 * 2).withColumn("bias", F.col("found") / 1000)
     out = m.bias_corrected(found, "price", "bias")
     return out.select("o_orderkey", F.col("found_tier").alias("tier"), F.col("found_samples").alias("samples"), F.round("adjustment", 6).alias("adjustment"), F.round("corrected", 6).alias("corrected"))
 
