@@ -105,7 +105,7 @@ def test_error_counts_are_those_of_error_memory(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
 
 
-@pytest.mark.parametrize("name", ["tiered_lookup_bias"])
+@pytest.mark.parametrize("name", ["tiered_lookup_bias", "weighted_bias_summary"])
 def test_lookups_take_no_medians(spark, name, monkeypatch):
     from tidemark.plans.registry import QUERIES, load
 

@@ -109,7 +109,7 @@ def tiered_lookup_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM mem GROUP BY 1""",
 )
 def weighted_bias_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(m.weighted_bias(_memory(spark, sf_dir), ["model"]), "avg_bias", "peak_avg_bias", "spike_avg_bias")
+    return _round(m.weighted_bias(m.error_counts(_errors(spark, sf_dir), _KEYS), ["model"]), "avg_bias", "peak_avg_bias", "spike_avg_bias")
 
 
 _AS_OF = "DATE '2001-08-01'"
