@@ -139,3 +139,17 @@ def test_windows_over_one_endless_series(spark):
     assert sizes[-1] <= 80 and sizes[-1] < 2 * sizes[len(sizes) // 2]
     with pytest.raises(ValueError):
         numbering.haloed(df, ["t"], before=60, size=50)
+
+
+def test_ranks_within_keys_by_slices(spark):
+    from pyspark.sql import Window
+
+    from tidemark.operators.numbering import ranked_within
+
+    rows = spark.range(3000).selectExpr("id % 700 as id", "case when id % 10 < 8 then 'a' when id % 10 = 8 then 'b' end as k", "nullif(id % 97, 5) as v")
+    order = [F.desc_nulls_last("v"), F.col("id")]
+    got = ranked_within(rows, ["k"], order, slices=7)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, rows.withColumn("rank", F.rank().over(Window.partitionBy("k").orderBy(*order))).collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "rank(" in plan and "[_slice#" in plan.split("rank(", 1)[1]
+    assert ranked_within(rows.limit(0), ["k"], order).collect() == []

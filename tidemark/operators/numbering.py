@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
@@ -64,6 +64,21 @@ def ranked_all(df: DataFrame, value: str, name: str = "rank", descending: bool =
     return rows.alias("r").join(ranks.alias("k"), on).select(*[F.col(f"r.{c}") for c in df.columns], F.col(f"k.{name}"))
 
 
+def ranked_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "rank", slices: int | None = None) -> DataFrame:
+    """df with rank(), from 1, of each row among those of its keys in this order; null keys are a group.
+
+    A window by keys and slice holds no more than a slice, however large the share of one key.
+    """
+    rows = sliced(df, [*keys, *order], slices)
+    sizes = rows.groupBy("_slice", *keys).agg(F.count("*").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    # Keys that lie in one slice alone have a row here, others one for each of their slices.
+    before = sizes.select(F.col("_slice").alias("_s"), *[F.col(k).alias(f"_k_{k}") for k in keys], F.coalesce(ahead, F.lit(0)).alias("_before"))
+    own = rows.withColumn("_own", F.rank().over(Window.partitionBy("_slice", *keys).orderBy(*order)))
+    on = [F.col("_slice") == F.col("_s"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]]
+    return own.join(before, on).select(*df.columns, (F.col("_before") + F.col("_own")).alias(name))
+
+
 def write_paged(df: DataFrame, order: Sequence[Column | str], path: str, group_bytes: int = 1 << 20) -> None:
     """Writes df in this order with its row numbers, `number`, in row groups of about group_bytes, so that a page is found by its numbers' bounds."""
     rows = numbered(df, order)

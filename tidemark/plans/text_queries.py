@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.secrets import masked_rows
 from ..operators import documents as d
 from ..operators.retrieval import with_hash_embedding
+from ..operators.numbering import ranked_within
 from ..operators.terms import best_rule, expanded, first_rule, load_terms, term_counts, with_rule_counts
 from ..sources.html import html_text
 from .registry import query, table
@@ -130,8 +131,9 @@ def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def policy_rows_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = d.row_text(["o_orderstatus", "o_orderpriority", "o_custkey"])
-    newest = F.rank().over(Window.partitionBy("o_orderstatus").orderBy(F.desc_nulls_last("o_orderdate"), "o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("published"), content.alias("content"), F.sha2(content, 256).alias("checksum"), newest.alias("newest"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority", "o_custkey")
+    ranked = ranked_within(orders, ["o_orderstatus"], [F.desc_nulls_last("o_orderdate"), "o_orderkey"], "newest")
+    return ranked.select("o_orderkey", F.col("o_orderdate").alias("published"), content.alias("content"), F.sha2(content, 256).alias("checksum"), F.col("newest").cast("int").alias("newest"))
 
 
 @query("table_aware_chunks")
