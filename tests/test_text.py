@@ -181,3 +181,19 @@ def test_an_index_gets_a_document_s_new_chunks(spark):
     old = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c"), (None, 0, "n")], "doc_id long, chunk_index int, text string")
     new = spark.createDataFrame([(1, 0, "A"), (3, 0, "d")], old.schema)
     assert sorted(map(str, map(tuple, d.replaced_chunks(old, new).collect()))) == sorted(map(str, [(None, 0, "n"), (1, 0, "A"), (2, 0, "c"), (3, 0, "d")]))
+
+
+@pytest.mark.parametrize("kind", ["cleaned", "chunked"])
+def test_texts_are_handled_in_runs_of_bytes(spark, kind):
+    """40 MB of texts are one batch of Spark's; copies of all of it at once would grow a worker's memory."""
+    docs = spark.range(0, 2000, numPartitions=1).selectExpr("id as doc_id", "repeat('many words ', 1900) as text")
+
+    def clean(texts):
+        assert texts.nbytes < 3 << 20, "too many bytes at once"
+        return texts
+
+    if kind == "cleaned":
+        assert d.cleaned(docs, clean).where("length(text) = 20900").count() == 2000
+    else:
+        assert [len(b) for b in d._runs([pa.record_batch({"text": ["x" * 10, None, "y" * 30, "", "z"]})], most=20)] == [2, 1, 2]
+        assert d.chunked(docs, lambda text: [text[:5]]).count() == 2000
