@@ -152,3 +152,12 @@ def test_letters_in_a_pattern(whole):
     texts = [a, a.translate(str.maketrans("ab", "ba"))]
     ids, n = Encoder(tokenizer()).encode(pa.array(texts))
     assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole(x).tolist() for x in texts]
+
+
+def test_ids_are_not_shuffled_to_be_read(spark, tmp_path):
+    from tidemark.llm import token_files
+
+    spark.createDataFrame([(1, 0, 0, 2, [5, 0]), (2, 1, 0, 1, [0])], "doc_id long, part int, part_start long, n_tokens long, ids array<int>").write.parquet(str(tmp_path / "t"))
+    found = token_files.read_tokens(spark, str(tmp_path / "t"))
+    assert "strategy=broadcast" in found._jdf.queryExecution().toString()
+    assert sorted(tuple(r)[:3] for r in found.collect()) == [(1, 0, 2), (2, 2, 1)]

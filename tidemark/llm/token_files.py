@@ -60,7 +60,8 @@ def _with_start(files: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     parts = spark.read.schema(_SCHEMA).parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("part_offset"))
-    return files.join(parts, "part").withColumn("start", F.col("part_offset") + F.col("part_start"))
+    # A row for each file: without the hint the ids may be shuffled before Spark sees how few rows there are.
+    return files.join(F.broadcast(parts), "part").withColumn("start", F.col("part_offset") + F.col("part_start"))
 
 
 def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: int | None = None) -> DataFrame:
