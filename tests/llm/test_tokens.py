@@ -161,3 +161,19 @@ def test_ids_are_not_shuffled_to_be_read(spark, tmp_path):
     found = token_files.read_tokens(spark, str(tmp_path / "t"))
     assert "strategy=broadcast" in found._jdf.queryExecution().toString()
     assert sorted(tuple(r)[:3] for r in found.collect()) == [(1, 0, 2), (2, 2, 1)]
+
+
+def test_frequent_chunks_are_remembered(whole, monkeypatch):
+    """Chunks that came once make room for others; those that come in every run are encoded once."""
+    from tidemark.llm import tokens
+
+    monkeypatch.setattr(tokens, "_MOST", 90)
+    e, learned = Encoder(tokenizer()), []
+    learn = e._learn
+    monkeypatch.setattr(e, "_learn", lambda hashes, *rest: (learned.append(len(hashes)), learn(hashes, *rest)))
+    common = " ".join(f"often{chr(97 + i)}" for i in range(10))
+    for i in range(12):
+        text = f"{common} {' '.join(f'once{chr(97 + i)}{chr(97 + j)}é' for j in range(20))} \u3000. \u00a0x\u00a0 ! é"
+        ids, _ = e.encode(pa.array([text]))
+        assert ids.tolist() == whole(text).tolist()
+    assert len(e.hashes) <= 90 and max(learned[2:]) < 25

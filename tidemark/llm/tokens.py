@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 
 from .words import byte_hashes, ranges, same_bytes
 
-#: Distinct chunks that a worker remembers (about 100 bytes each, at times) before it starts anew.
-_MOST = 250_000
+#: Distinct chunks that a worker remembers (about 100 bytes each, at times) before it forgets those that came once.
+_MOST = 500_000
 _SPACE, _BLANK, _LETTER, _DIGIT, _MARK, _QUOTE, _OTHER = range(7)
 _KIND = np.full(256, _OTHER, np.uint8)
 _KIND[0x21:0x7F] = _MARK
@@ -33,6 +33,7 @@ _KIND[0x20] = _SPACE
 #: Follows a space that belongs to what comes after it: any printable ASCII, or the first byte of U+00C0 to U+07FF.
 _AFTER_SPACE = np.isin(_KIND, [_LETTER, _DIGIT, _MARK, _QUOTE])
 _AFTER_SPACE[0xC3:0xE0] = True
+_ASCII_SPACE = np.array([x < 128 and chr(x).isspace() for x in range(256)])
 _kept: dict[str, Encoder] = {}
 
 
@@ -55,6 +56,11 @@ def _cuts(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def _texts(raw: np.ndarray, sizes: np.ndarray) -> list[str]:
+    flat, ends = raw.tobytes(), np.cumsum(sizes).tolist()
+    return [flat[a:b].decode() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 class Encoder:
     """ids are the library's, with the file as it is: an added token in a text gets its own id."""
 
@@ -74,58 +80,72 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        """Chunk 0 is the end of a document; hashes are sorted, with the chunk of each."""
-        self.hashes, self.chunk = np.empty(0, np.uint64), np.empty(0, np.int32)
-        self.pool, self.starts, self.lengths = np.array([self.end_id], np.uint32), np.array([0]), np.array([1])
+        """Chunk 0 is the end of a document; hashes are sorted, with the chunk of each and the runs of texts that had it."""
+        self.hashes, self.chunk, self.uses = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.pool, self.starts, self.lengths = np.array([self.end_id], np.uint32), np.zeros(1, np.int32), np.ones(1, np.int32)
         # The bytes of each chunk, the end's zero byte first.
-        self.bytes, self.at, self.size = np.zeros(1, np.uint8), np.array([0]), np.array([1])
+        self.bytes, self.at, self.size = np.zeros(1, np.uint8), np.zeros(1, np.int32), np.ones(1, np.int32)
+
+    def _forget(self) -> None:
+        """Only chunks stay that came in several runs since the last time, the most frequent ones, half of _MOST at most."""
+        some = np.flatnonzero(self.uses > 1)
+        some = np.sort(some[np.argsort(-self.uses[some], kind="stable")[: _MOST // 2]])
+        own = np.r_[0, self.chunk[some]]
+        n, size = self.lengths[own], self.size[own]
+        self.pool, self.bytes = self.pool[ranges(self.starts[own], n)], self.bytes[ranges(self.at[own], size)]
+        self.starts, self.lengths, self.at, self.size = (np.cumsum(n) - n).astype(np.int32), n, (np.cumsum(size) - size).astype(np.int32), size
+        self.hashes, self.chunk, self.uses = self.hashes[some], np.arange(1, len(own), dtype=np.int32), np.ones(len(some), np.int32)
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array([y for x in ids for y in x], np.uint32), np.array([len(x) for x in ids], np.int64)
 
-    def _joined(self, chunks: list[str], gap: str) -> tuple[np.ndarray, np.ndarray]:
-        """Chunks that a gap between them keeps apart, encoded as one text and parted by bytes."""
-        text = gap.join(chunks)
+    def _joined(self, raw: np.ndarray, sizes: np.ndarray, gap: str) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks (their bytes, and how many each has) that a gap between them keeps apart, encoded as one text and parted by bytes."""
+        ends = np.cumsum(sizes + len(gap)) - len(gap)
+        if gap:
+            spaced = np.full(ends[-1], ord(gap), np.uint8)
+            spaced[np.arange(len(raw)) + np.repeat(np.arange(len(sizes)), sizes)] = raw
+        text = (spaced if gap else raw).tobytes().decode()
         if any(x in text for x in self.added):  # made by the joining: no chunk has one
-            return self._each(chunks)
+            return self._each(_texts(raw, sizes))
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.cumsum([len(x.encode()) + len(gap) for x in chunks]) - len(gap)
         token_ends = np.cumsum(self.bytes_of[ids])
         last = np.searchsorted(token_ends, ends)
         if last[-1] != len(ids) - 1 or (token_ends[last] != ends).any():
-            return self._each(chunks)
+            return self._each(_texts(raw, sizes))
         n = np.diff(np.r_[-1, last])
         if gap:  # one token each, before each chunk but the first
             ids, n[1:] = np.delete(ids, last[:-1] + 1), n[1:] - 1
         return ids, n
 
-    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        led, bare, odd = [], [], []
-        for i, x in enumerate(chunks):
-            if x[0] == " " and len(x) > 1 and not x[1].isspace():
-                led.append(i)
-            elif not x[0].isspace() and not x[-1].isspace():
-                bare.append(i)
-            else:
-                odd.append(i)
-        for some, encode in ((led, lambda c: self._joined(c, "")), (bare, lambda c: self._joined(c, "\n")), (odd, self._each)):
-            for at in range(0, len(some), 8_000):
-                part = some[at : at + 8_000]
-                ids, n = encode([chunks[i] for i in part])
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """hashes and places in data, which a byte follows, of chunks that are not known."""
+        first, second, end = data[starts], data[starts + 1], data[starts + sizes - 1]
+        led = (first == 0x20) & (sizes > 1) & ~_ASCII_SPACE[second]
+        bare = ~_ASCII_SPACE[first] & ~_ASCII_SPACE[end]
+        # Some characters of several bytes are white space.
+        for i in np.flatnonzero((first == 0x20) & (sizes > 1) & (second >= 0x80) | (first >= 0x80) | (end >= 0x80)).tolist():
+            x = data[starts[i] : starts[i] + sizes[i]].tobytes().decode()
+            led[i], bare[i] = x[0] == " " and not x[1].isspace(), not x[0].isspace() and not x[-1].isspace()
+        for some, encode in ((led, lambda *c: self._joined(*c, "")), (bare, lambda *c: self._joined(*c, "\n")), (~led & ~bare, lambda *c: self._each(_texts(*c)))):
+            some = np.flatnonzero(some)
+            for part in (some[at : at + 8_000] for at in range(0, len(some), 8_000)):
+                size = sizes[part]
+                raw = data[ranges(starts[part], size)]
+                ids, n = encode(raw, size)
                 new = hashes[part]
                 order = np.argsort(new)
                 place = np.searchsorted(self.hashes, new[order])
                 self.chunk = np.insert(self.chunk, place, (len(self.starts) + order).astype(np.int32))
+                self.uses = np.insert(self.uses, place, 0)
                 self.hashes = np.insert(self.hashes, place, new[order])
-                self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(n) - n])
-                self.lengths = np.concatenate([self.lengths, n])
+                self.starts = np.concatenate([self.starts, (len(self.pool) + np.cumsum(n) - n).astype(np.int32)])
+                self.lengths = np.concatenate([self.lengths, n.astype(np.int32)])
                 self.pool = np.concatenate([self.pool, ids])
-                raw = [chunks[i].encode() for i in part]
-                size = np.array([len(x) for x in raw])
-                self.at = np.concatenate([self.at, len(self.bytes) + np.cumsum(size) - size])
-                self.size = np.concatenate([self.size, size])
-                self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(raw), np.uint8)])
+                self.at = np.concatenate([self.at, (len(self.bytes) + np.cumsum(size) - size).astype(np.int32)])
+                self.size = np.concatenate([self.size, size.astype(np.int32)])
+                self.bytes = np.concatenate([self.bytes, raw])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, end ids included, as uint32, and each text's number of them."""
@@ -179,22 +199,23 @@ class Encoder:
         last = np.searchsorted(edges, stops)
         distinct, first, which = np.unique(np.delete(hashes, last), return_index=True, return_inverse=True)
         if len(self.hashes) + len(distinct) > _MOST:
-            self._clear()
+            self._forget()
         place = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
         new = np.flatnonzero(self.hashes[place] != distinct) if len(self.hashes) else np.arange(len(distinct))
         if len(new):
             at = np.delete(np.arange(len(hashes)), last)[first[new]]
-            flat = data.tobytes()
-            self._learn(distinct[new], [flat[a:b].decode() for a, b in zip(edges[at].tolist(), edges[at + 1].tolist(), strict=True)])
+            self._learn(distinct[new], data, edges[at], edges[at + 1] - edges[at])
         chunk = np.zeros(len(hashes), np.int32)
         inside = np.ones(len(hashes), bool)
         inside[last] = False
-        chunk[inside] = self.chunk[np.searchsorted(self.hashes, distinct)][which] if len(distinct) else 0
+        place = np.searchsorted(self.hashes, distinct)
+        self.uses[place] += 1
+        chunk[inside] = self.chunk[place][which] if len(distinct) else 0
         size = np.diff(edges)
         same = self.size[chunk] == size
         same[same] = same_bytes(data, edges[:-1][same], self.bytes, self.at[chunk[same]], size[same])
         sure = np.diff(np.r_[0, np.cumsum(~same)[last]]) == 0
-        lengths = self.lengths[chunk]
+        lengths = self.lengths[chunk].astype(np.int64)
         ids = self.pool[ranges(self.starts[chunk], lengths)]
         return ids, np.diff(np.r_[0, np.cumsum(lengths)[last]]), sure
 
