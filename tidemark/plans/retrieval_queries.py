@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import masked_fields, tokens
@@ -74,15 +74,18 @@ _RERANK = f"""rr AS (SELECT h.query_id, h.doc_id, hybrid_score, round(least(1.0:
 FROM h JOIN documents d ON h.doc_id = d.doc_id)"""
 
 
-def _found(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Each query's first 20 hits with columns of the documents they name."""
-    return _hybrid(spark, sf_dir, 20).join(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
+def _found(spark: SparkSession, sf_dir: str, *columns: Column | str) -> DataFrame:
+    """Each query's first 20 hits with columns of the documents they name, made once for a document, however many queries find it."""
+    # Stored, so that Spark knows how few they are before it shuffles texts for the join.
+    hits = stored(_hybrid(spark, sf_dir, 20))
+    docs = table(spark, sf_dir, "documents").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    return hits.join(docs.select("doc_id", *columns), "doc_id")
 
 
 @query("heuristic_rerank", f"WITH {_TOP}, {_RERANK} SELECT query_id, doc_id, hybrid_score, rerank_score, round(hybrid_score::DECIMAL(12,6) * 0.55::DECIMAL(3,2) + rerank_score::DECIMAL(12,6) * 0.45::DECIMAL(3,2), 6)::DOUBLE AS final_score FROM rr")
 def heuristic_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = r.heuristic_rerank(_found(spark, sf_dir, "text", "source"), _ASK, text_col="text", title_col="source")
-    return found.select("query_id", "doc_id", "hybrid_score", "rerank_score", "final_score")
+    found = _found(spark, sf_dir, r.heuristic_score(spark, _ASK, text_col="text", title_col="source").alias("rerank_score"))
+    return found.select("query_id", "doc_id", "hybrid_score", "rerank_score", r.heuristic_final().alias("final_score"))
 
 
 #: The share of the tokens of question and document that both have stands for a model's raw score.
@@ -93,7 +96,7 @@ _RAW = f"len(list_intersect(list_distinct({_OWN}), {_WORDS}))::DOUBLE / len(list
 def minmax_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, own = F.array(*map(F.lit, _WORDS)), tokens(F.col("text"))
     raw = F.size(F.array_intersect(own, asked)) / F.size(F.array_union(own, asked))
-    found = stored(_found(spark, sf_dir, "text").select("query_id", "kinds", "doc_id", "hybrid_score", raw.alias("raw")))
+    found = stored(_found(spark, sf_dir, raw.alias("raw")).select("query_id", "kinds", "doc_id", "hybrid_score", "raw"))
     return r.model_rerank(found, ["query_id", "kinds"], "raw").select("query_id", "doc_id", "rerank_score", "final_score")
 
 
