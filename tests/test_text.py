@@ -197,3 +197,12 @@ def test_texts_are_handled_in_runs_of_bytes(spark, kind):
     else:
         assert [len(b) for b in d._runs([pa.record_batch({"text": ["x" * 10, None, "y" * 30, "", "z"]})], most=20)] == [2, 1, 2]
         assert d.chunked(docs, lambda text: [text[:5]]).count() == 2000
+
+
+def test_cleaning_and_cutting_share_a_worker_with_small_batches(spark):
+    docs = QUERIES["doc_chunks"](spark, SF)
+    assert docs._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") not in ("67108864", "67108864b", "64m", "64MB")
+    texts = spark.createDataFrame([(1, "a\r\nb" * 30), (2, None), (3, "x" * 90)], "doc_id long, text string")
+    once = d.chunked(texts, d.paragraph_chunks, clean=d.cleaned_pages).collect()
+    assert once == d.chunked(d.cleaned(texts, d.cleaned_pages), d.paragraph_chunks).collect() and [x.doc_id for x in once] == [3]  # the first text is repeated short lines, which cleaning drops

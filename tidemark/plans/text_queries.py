@@ -113,8 +113,7 @@ def line_cleanup_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("doc_chunks")
 def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = d.cleaned(table(spark, sf_dir, "documents"), d.cleaned_pages)
-    return d.chunked(pages, d.paragraph_chunks).select("doc_id", "chunk_index", "n_chars", F.sha2("text", 256).alias("sha256"))
+    return d.chunked(table(spark, sf_dir, "documents"), d.paragraph_chunks, clean=d.cleaned_pages).select("doc_id", "chunk_index", "n_chars", F.sha2("text", 256).alias("sha256"))
 
 
 @query("index_build")
