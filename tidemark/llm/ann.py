@@ -4,13 +4,14 @@
    closest to the corners of a cube. The signs along them are a vector's code of 64 bits.
 2. Codes are cut in parts, and each part is an index of its own: (part, value) -> codes. Two codes within
    a radius agree in some part up to its share of the radius (pigeonhole), so probing every value within
-   that share in every part meets all codes within the radius. A pair is taken in the first part that
-   meets it.
-3. Codes met are compared whole, and those within the radius are ranked by their floats.
+   that share in every part meets all codes within the radius.
+3. Rows are dealt to blocks, each with its own index, and every query visits every block. Codes met there are
+   compared whole, and those within the radius are ranked by their floats in the same task: what leaves a
+   block are a query's nearest of it, never the pairs met.
 
 The radius comes from exact neighbours, over all rows, of a set number of rows: it is the smallest that
-holds the wanted share of them. Queries that find too few rows go again with a wider radius, in the end
-with all bits, so every query gets its number. Equal vectors are one row of the index, with their
+holds the wanted share of them. Queries that find too few rows go again with all bits, so every query gets
+its number, and what is shuffled are all rows twice at most. Equal vectors are one row of the index, with their
 smallest ids; no other row is left out.
 """
 
@@ -30,9 +31,12 @@ from .scratch import n_tasks, stored
 from .spread import looked_up
 
 BITS = 64
-#: Rows of a block of vectors; entries of a bucket that one task holds at a time; pairs held before they are sent on.
-BLOCK_ROWS, MOST_ENTRIES, MOST_HELD = 4096, 1 << 18, 1 << 21
-_VECTORS = "rid long, vec array<double>, ids array<long>"
+#: Bits of a code's parts: 256 values each, so queries that visit a block together share what they look up.
+WIDTHS = [8] * (BITS // 8)
+#: Rows of a block at most, and fewest where more tasks have use for it; numbers of its vectors at most.
+BLOCK_ROWS, LEAST_ROWS, MOST_NUMBERS = 1 << 16, 256, 1 << 23
+#: Copies of queries, one for each block, if they are over a quarter of the rows; pairs of queries and rows marked at a time; answers held before they are sent on.
+MOST_COPIES, MOST_ENTRIES, MOST_HELD = 1 << 17, 1 << 25, 1 << 13
 
 
 @dataclass
@@ -77,15 +81,9 @@ def rotation(x: np.ndarray, bits: int = BITS, rounds: int = 30, seed: int = 7) -
     return np.concatenate(planes, axis=1)[:, :bits]
 
 
-def widths(rows: int, bits: int = BITS) -> list[int]:
-    """Parts whose values hold some 64 rows or more on average: 8 to 16 bits each."""
-    parts = max(4, round(bits / max(8.0, np.log2(max(rows, 1)) - 6)))
-    return [bits // parts + (i < bits % parts) for i in range(parts)]
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Lists of one length as rows of a matrix."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+def _matrix(column: pa.Array, kind: type | None = np.float64) -> np.ndarray:
+    """Lists of one length as rows of a matrix of `kind`, or of their own."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind or column.type.value_type.to_pandas_dtype(), copy=False)
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
 
 
@@ -93,9 +91,27 @@ def _distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.sqrt(((rows - query) ** 2).sum(axis=1))
 
 
+def _norms(rows: np.ndarray) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        return np.sqrt(np.einsum("ij,ij->i", rows, rows))
+
+
+def _near(rows: np.ndarray, norms: np.ndarray, query: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest rows, and of all others that could be, as figures in products of the rows' own precision are rounded."""
+    if len(rows) <= k:
+        return np.arange(len(rows))
+    kind = np.finfo(rows.dtype)
+    with np.errstate(all="ignore"):
+        apart = norms * norms - 2 * (rows @ query)
+        room = 4 * (rows.shape[1] + 4) * kind.eps * (norms + np.sqrt(query @ query)) ** 2 + rows.shape[1] * kind.tiny
+        return np.flatnonzero(~(apart - room > np.partition(apart + room, k - 1)[k - 1]))  # what overflows stays
+
+
 def valid(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vec): rows that take part. Of rows with one id, that with the smallest vector."""
-    rows = picked(table, id=id_col, vec=vector_col).select(F.col("id").cast("long"), F.col("vec").cast("array<double>"))
+    """(id, vec): rows that take part, vec in floats or else doubles. Of rows with one id, that with the smallest vector."""
+    rows = picked(table, id=id_col, vec=vector_col)
+    kind = "array<float>" if dict(rows.dtypes)["vec"] == "array<float>" else "array<double>"
+    rows = rows.select(F.col("id").cast("long"), F.col("vec").cast(kind))
     fine = "id is not null and vec is not null and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)"
     rows = stored(rows.where(fine))
     again = stored(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
@@ -111,13 +127,18 @@ def classes(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     as ties go to the smaller id, no other copy can be among a query's nearest.
     """
     key = rows.select("id", F.xxhash64("vec").alias("a"), F.xxhash64(F.lit(1), F.reverse("vec")).alias("b"))
-    firsts = key.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(64)))
+    again = stored(key.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1"))
+    if again.isEmpty():
+        return rows.select(F.col("id").alias("rid"), "vec", F.array("id").alias("ids")), rows.select("id", F.col("id").alias("rid"))
+    copies = stored(looked_up(key, again, ["a", "b"], again).where("found is not null").drop("found"))
+    firsts = copies.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(64)))
     for by in (["a", "b", "deal"], ["a", "b"]):
         firsts = firsts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("rank") <= k)
     same = stored(firsts.groupBy("a", "b").agg(F.min("id").alias("rid"), F.array_sort(F.collect_list("id")).alias("ids")))
-    out = stored(rows.withColumnRenamed("id", "rid").join(same.select("rid", "ids"), "rid"))
-    members = looked_up(stored(key), same.select("a", "b", "rid"), ["a", "b"]).select("id", "found.rid")
-    return out, members
+    moved = stored(looked_up(copies, same, ["a", "b"], again).select("id", "found.rid", F.when(F.col("id") == F.col("found.rid"), F.col("found.ids")).alias("ids")))
+    out = rows.join(moved, "id", "left").where("rid is null or rid = id").select(F.col("id").alias("rid"), "vec", F.coalesce("ids", F.array("id")).alias("ids"))
+    members = rows.select("id").join(moved.select("id", "rid"), "id", "left").select("id", F.coalesce("rid", "id").alias("rid"))
+    return stored(out), members
 
 
 def fit(rows: DataFrame, most_values: int = 4_000_000, sample: int = 20_000) -> tuple[Model, np.ndarray]:
@@ -125,9 +146,15 @@ def fit(rows: DataFrame, most_values: int = 4_000_000, sample: int = 20_000) ->
     count, dim = rows.count(), F.size("vec")
     length = rows.select(dim.alias("n")).first()[0]
     most = max(1, min(sample, most_values // length))
-    x = _matrix(rows.orderBy(F.xxhash64("vec"), "vec").limit(most).select("vec").toArrow().column(0).combine_chunks())
+    hashed = rows.select("vec", F.xxhash64(F.col("vec").cast("array<double>")).alias("h"))
+    # Hashes are even, so those under the cut are some more than are wanted, and no more rows are gathered to be put in order.
+    cut = int(2**64 * min(1.0, (1.25 * most + 100) / count)) - 2**63
+    x = np.empty((0, 1))
+    for some in (hashed.where(F.col("h") < cut), hashed) if cut < 2**63 else (hashed,):
+        if len(x) < most:
+            x = _matrix(some.orderBy("h", "vec").limit(most).select("vec").toArrow().column(0).combine_chunks())
     mean = x.mean(axis=0)
-    return Model(mean, rotation(x - mean), widths(count), sampled=len(x)), x
+    return Model(mean, rotation(x - mean), WIDTHS, sampled=len(x)), x
 
 
 def calibrated(model: Model, sample: np.ndarray, rows: DataFrame, k: int, recall: float, tests: int = 64) -> Model:
@@ -143,11 +170,10 @@ def calibrated(model: Model, sample: np.ndarray, rows: DataFrame, k: int, recall
             x = _matrix(batch.column("vec"))
             if not len(x):
                 continue
-            own = model.codes(x)
+            own, norms = model.codes(x), _norms(x)
             for i, q in enumerate(queries):
-                d = _distances(x, q)
-                near = np.argpartition(d, min(k, len(d) - 1))[: k + 1]
-                dist = np.concatenate([best[i][0], d[near]])
+                near = _near(x, norms, q, k + 1)
+                dist = np.concatenate([best[i][0], _distances(x[near], q)])
                 bits = np.concatenate([best[i][1], np.bitwise_count(own[near] ^ codes[i]).astype(np.int64)])
                 order = np.argsort(dist, kind="stable")[: k + 1]
                 best[i] = dist[order], bits[order]
@@ -160,149 +186,140 @@ def calibrated(model: Model, sample: np.ndarray, rows: DataFrame, k: int, recall
     return model
 
 
-def coded(rows: DataFrame, model: Model) -> DataFrame:
-    """(block, at, code, rid, vec, ids): rows dealt to blocks of about BLOCK_ROWS, numbered there, with their codes."""
-    spark = rows.sparkSession
-    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    known = spark.sparkContext.broadcast(model)
+def with_codes(rows: DataFrame, model: Model) -> DataFrame:
+    """rows (vec) with their codes, the last column."""
+    known = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, 0
         for batch in batches:
-            if not len(batch):
-                continue
-            block = batch.column("block").to_numpy()
-            fresh = np.flatnonzero(np.diff(block, prepend=block[0] - 1))
-            at = np.arange(len(block)) - np.repeat(fresh, np.diff(fresh, append=len(block)))
-            if block[0] == last:
-                at[: fresh[1] if len(fresh) > 1 else len(block)] += held
-            last, held = block[-1], int(at[-1]) + 1
-            codes = known.value.codes(_matrix(batch.column("vec"))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(at), pa.array(codes), *[batch.column(c) for c in ("rid", "vec", "ids")]], names=["block", "at", "code", "rid", "vec", "ids"])
+            if len(batch):
+                codes = known.value.codes(_matrix(batch.column("vec"))).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes)], names=[*batch.schema.names, "code"])
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks))).select("block", "rid", "vec", "ids")
-    dealt = dealt.repartition(n_tasks(spark), "block").sortWithinPartitions("block", "rid")
-    return stored(dealt.mapInArrow(run, f"block long, at long, code long, {_VECTORS}"))
+    return rows.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in [*rows.dtypes, ("code", "long")]))
 
 
-def index(table: DataFrame, model: Model) -> DataFrame:
-    """(part, value, code, place): an entry for each row and part of its code."""
-    value = F.expr("shiftrightunsigned(code, shift) & (shiftleft(1L, width) - 1)")
-    parts = F.array(*[F.struct(F.lit(j).alias("part"), F.lit(s).alias("shift"), F.lit(w).alias("width")) for j, (s, w) in enumerate(zip(model.shifts, model.widths, strict=True))])
-    place = F.expr("shiftleft(block, 20) | at").alias("place")
-    return table.select("code", place, F.inline(parts)).select("part", value.alias("value"), "code", "place")
-
+def n_blocks(rows: int, numbers: int, queries: int, tasks: int) -> int:
+    """Blocks of rows of so many numbers: one for a task where rows suffice, fewer where queries would be copied too often, and as many as keep a block in its limits."""
+    fewest = -(-rows // max(1, min(BLOCK_ROWS, MOST_NUMBERS // numbers)))
+    return max(1, fewest, min(tasks, -(-rows // LEAST_ROWS), max(rows // 4, MOST_COPIES) // max(queries, 1)))
 
-def _probes(model: Model, radius: int):
-    """Every value to look up, for each code of a batch."""
-    masks = [np.array([sum(1 << b for b in bits) for n in range(share + 1) for bits in itertools.combinations(range(w), n)], np.uint64) for w, share in zip(model.widths, model.shares(radius), strict=True)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            code, qid = batch.column("code").to_numpy().astype(np.uint64), batch.column("qid").to_numpy()
-            for j, own in enumerate(masks):
-                step = max(1, 100_000 // max(len(own), 1))
-                for i in range(0, len(code) if len(own) else 0, step):
-                    value = (model.part(code[i : i + step], j)[:, None] ^ own).ravel().astype(np.int64)
-                    yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(value), j, np.int32)), "value": pa.array(value), "code": pa.array(np.repeat(code[i : i + step], len(own)).astype(np.int64)), "qid": pa.array(np.repeat(qid[i : i + step], len(own)))})
+def coded(rows: DataFrame, model: Model, queries: int = 1) -> DataFrame:
+    """(block, rid, vec, ids, code): rows with the block that each is dealt to, and their codes. queries: about how many will visit the blocks."""
+    blocks = n_blocks(rows.count(), len(model.mean), queries, n_tasks(rows.sparkSession))
+    return with_codes(rows.select(F.pmod(F.xxhash64("rid"), F.lit(blocks)).alias("block"), "rid", "vec", "ids"), model)
 
-    return run
 
+def index(table: DataFrame, model: Model) -> DataFrame:
+    """(block, part, starts, places): each block's own index of each part. A block's rows, by rid, have places; those of value v are places[starts[v] : starts[v + 1]]."""
 
-def _met(model: Model, radius: int):
-    """Entries, then probes of one bucket after another: pairs within the radius, packed by block and query."""
-    shares = model.shares(radius)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
 
-    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        qid, place = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((qid, place >> 20))
-        qid, place = qid[order], place[order]
-        block = place >> 20
-        first = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(qid, prepend=qid[0] - 1) != 0))
-        at = (place & ((1 << 20) - 1)).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(at))
-        for i in range(0, len(first), 10_000):
-            yield pa.RecordBatch.from_pydict({"block": pa.array(block[first[i : i + 10_000]]), "qid": pa.array(qid[first[i : i + 10_000]]), "places": lists.slice(i, 10_000)})
+        def indexed() -> pa.RecordBatch:
+            codes, starts, places = np.concatenate(held).astype(np.uint64), [], []
+            for j, width in enumerate(model.widths):
+                values = model.part(codes, j).astype(np.int64)
+                starts.append(np.append(0, np.cumsum(np.bincount(values, minlength=1 << width))))
+                places.append(np.argsort(values, kind="stable"))
+            parts = len(model.widths)
+            return pa.RecordBatch.from_pydict({"block": pa.array(np.full(parts, block)), "part": pa.array(np.arange(parts, dtype=np.int32)), "starts": pa.array(starts, pa.list_(pa.int32())), "places": pa.array(places, pa.list_(pa.int32()))})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, entries, joined, held, n = None, [], None, [], 0
         for batch in batches:
-            part, value, chunk, probe, codes, who = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "value", "chunk", "probe", "code", "who"))
-            if not len(part):
+            blocks, codes = batch.column("block").to_numpy(), batch.column("code").to_numpy()
+            for lo, hi in itertools.pairwise([*np.flatnonzero(np.diff(blocks, prepend=-1)).tolist(), len(blocks)] if len(blocks) else []):
+                if held and blocks[lo] != block:
+                    yield indexed()
+                    held = []
+                block = blocks[lo]
+                held.append(codes[lo:hi])
+        if held:
+            yield indexed()
+
+    dealt = table.select("block", "rid", "code").repartition(n_tasks(table.sparkSession), "block").sortWithinPartitions("block", "rid")
+    return dealt.mapInArrow(run, "block long, part int, starts array<int>, places array<int>")
+
+
+def _masks(model: Model, radius: int) -> list[np.ndarray]:
+    """By part: what turns a code's value into each value to look up. A part whose share is all its bits meets every row, so the others need no look."""
+    shares = model.shares(radius)
+    every = [j for j, w in enumerate(model.widths) if shares[j] >= w][:1]
+    shares = [share if j in every or not every else -1 for j, share in enumerate(shares)]
+    return [np.array([sum(1 << b for b in bits) for n in range(share + 1) for bits in itertools.combinations(range(w), n)], np.int64) for w, share in zip(model.widths, shares, strict=True)]
+
+
+def _marked(model: Model, radius: int, masks: list[np.ndarray], parts: list[tuple[np.ndarray, ...]], asked: np.ndarray) -> np.ndarray:
+    """For each code asked, which rows of a block have codes within the radius. parts: starts, places, and the codes in that order, by part."""
+    rows = len(parts[0][1])
+    marked = np.zeros((len(asked), rows), bool)
+    flat = marked.reshape(-1)
+    for j, (starts, places, codes) in enumerate(parts):
+        if not len(masks[j]):
+            continue
+        own = model.part(asked, j).astype(np.int64)
+        by = np.argsort(own, kind="stable")
+        for lo, hi in itertools.pairwise([*np.flatnonzero(np.diff(own[by], prepend=-1)).tolist(), len(by)]):
+            value = own[by[lo]] ^ masks[j]
+            first, size = starts[value], starts[value + 1] - starts[value]
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1]) + np.repeat(first - ends + size, size)
+            if not len(at):
                 continue
-            edges = np.flatnonzero((np.diff(part) != 0) | (np.diff(value) != 0) | (np.diff(chunk) != 0) | (np.diff(probe) != 0)) + 1
-            for lo, hi in itertools.pairwise([0, *edges.tolist(), len(part)]):
-                here = (part[lo], value[lo], chunk[lo])
-                if here != bucket:
-                    bucket, entries, joined = here, [], None
-                if not probe[lo]:
-                    entries.append((codes[lo:hi].astype(np.uint64), who[lo:hi]))
-                    continue
-                if not entries:
-                    continue
-                if joined is None:
-                    joined = [np.concatenate(x) for x in zip(*entries, strict=True)]
-                for i in range(lo, hi, step := max(1, (1 << 20) // len(joined[0]))):
-                    apart = codes[i : min(i + step, hi)].astype(np.uint64)[:, None] ^ joined[0][None, :]
-                    q, e = np.nonzero(np.bitwise_count(apart) <= radius)
-                    apart = apart[q, e]
-                    new = np.ones(len(q), bool)
-                    for j in range(here[0]):
-                        new &= np.bitwise_count(model.part(apart, j)).astype(np.int64) > shares[j]
-                    held.append((who[i : min(i + step, hi)][q[new]], joined[1][e[new]]))
-                    n += int(new.sum())
-                    if n >= MOST_HELD:
-                        yield from packed(held)
-                        held, n = [], 0
-        if n:
-            yield from packed(held)
-
-    return run
+            met, place = codes[at], places[at]
+            for i in range(lo, hi, step := max(1, (1 << 20) // len(at))):
+                who = by[i : min(i + step, hi)]
+                q, e = np.divmod(np.flatnonzero(np.bitwise_count(asked[who][:, None] ^ met) <= radius), len(at))
+                flat[who[q] * rows + place[e]] = True
+    return marked
 
 
-def _ranked(k: int):
-    """A block's vectors, then the places that queries ask for: each query's k nearest of the block."""
+def _visited(model: Model, radius: int, k: int):
+    """A block's rows, then its index, then queries: each query's k nearest of the block within the radius."""
+    masks = _masks(model, radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, rows, ids, query = None, [], [], None
+        block, rows, lists, parts, ready = None, [], [], [], None
         out: list[tuple[int, list[float], list[int]]] = []
 
-        def answered() -> None:
-            qid, vec, places = query
-            at = np.concatenate(places)
-            d = _distances(rows[at], vec)
-            if len(d) > k:
-                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-                at, d = at[near], d[near]
-            found = sorted((x, i) for x, a in zip(d.tolist(), at.tolist(), strict=True) for i in ids[a])[:k]
-            out.append((qid, [x for x, _ in found], [i for _, i in found]))
-
         def sent() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64())), strict=True)], names=["qid", "dist", "ids"])
 
         for batch in batches:
-            columns = [batch.column(c) for c in ("block", "qid", "vec", "ids", "places")]
-            blocks, qids = columns[0].to_pylist(), columns[1].to_pylist()
-            for i, (b, q) in enumerate(zip(blocks, qids, strict=True)):
-                if query and (b, q) != (block, query[0]):
-                    answered()
-                    query = None
-                if b != block:
-                    block, rows, ids = b, [], []
-                if q is None:
-                    rows.append(columns[2][i].values.to_numpy())
-                    ids.append(columns[3][i].as_py())
-                    continue
-                if isinstance(rows, list):
-                    rows = np.array(rows)
-                if query is None:
-                    query = (q, columns[2][i].values.to_numpy(), [])
-                query[2].append(columns[4][i].values.to_numpy())
-            if len(out) >= 10_000:
-                yield sent()
-                out.clear()
-        if query:
-            answered()
+            blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            edges = np.flatnonzero((np.diff(blocks, prepend=-1) != 0) | (np.diff(kinds, prepend=-1) != 0)).tolist()
+            for lo, hi in itertools.pairwise([*edges, len(blocks)] if edges else []):
+                key, code, vec, ids, starts, places = (batch.column(c).slice(lo, hi - lo) for c in ("key", "code", "vec", "ids", "starts", "places"))
+                if blocks[lo] != block:
+                    block, rows, lists, parts, ready = blocks[lo], [], [], [], None
+                if kinds[lo] == 0:
+                    rows.append((code.to_numpy().astype(np.uint64), _matrix(vec, None)))
+                    lists.append(ids)
+                elif kinds[lo] == 1:
+                    parts += [(s.values.to_numpy(), p.values.to_numpy()) for s, p in zip(starts, places, strict=True)]
+                elif rows:
+                    if ready is None:
+                        codes, x = (np.concatenate(c) for c in zip(*rows, strict=True))
+                        rows, ready = True, ([(s, p, codes[p]) for s, p in parts], x, _norms(x), pa.concat_arrays(lists))
+                    own, x, norms, copies = ready
+                    ends, same = copies.offsets.to_numpy(), copies.values.to_numpy()
+                    asked, queries, qids = code.to_numpy().astype(np.uint64), _matrix(vec, None), key.to_pylist()
+                    for i in range(0, len(asked), step := max(1, MOST_ENTRIES // len(x))):
+                        marked = _marked(model, radius, masks, own, asked[i : i + step])
+                        for q, here in zip(range(i, i + len(marked)), marked, strict=True):
+                            at = np.flatnonzero(here)
+                            if not len(at):
+                                continue
+                            at = at[_near(x[at], norms[at], queries[q], k)]
+                            d = _distances(x[at].astype(np.float64), queries[q].astype(np.float64))
+                            if len(d) > k:
+                                first = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                                at, d = at[first], d[first]
+                            found = sorted((y, r) for y, a in zip(d.tolist(), at.tolist(), strict=True) for r in same[ends[a] : ends[a + 1]].tolist())[:k]
+                            out.append((qids[q], [y for y, _ in found], [r for _, r in found]))
+                            if len(out) >= MOST_HELD:
+                                yield sent()
+                                out.clear()
         if out:
             yield sent()
 
@@ -310,20 +327,18 @@ def _ranked(k: int):
 
 
 def within_radius(model: Model, radius: int, table: DataFrame, entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, dist, id): for each of `queries` (qid, code, vec), its k nearest ids among all rows of `table` whose code is within the radius."""
-    spark = table.sparkSession
-    # A bucket of more entries than a task holds is dealt to chunks; there are parts * 2**16 buckets at most.
-    crowded = entries.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > MOST_ENTRIES)
-    crowded = F.broadcast(stored(crowded.select("part", "value", F.expr(f"cast(ceil(n / {MOST_ENTRIES}) as int)").alias("chunks"))))
-    kept = entries.join(crowded, ["part", "value"], "left").select("part", "value", F.expr("pmod(xxhash64(place), coalesce(chunks, 1))").cast("int").alias("chunk"), F.lit(False).alias("probe"), "code", F.col("place").alias("who"))
-    asked = queries.select("qid", "code").mapInArrow(_probes(model, radius), "part int, value long, code long, qid long").join(crowded, ["part", "value"], "left")
-    asked = asked.select("part", "value", F.explode(F.expr("sequence(0, coalesce(chunks, 1) - 1)")).alias("chunk"), F.lit(True).alias("probe"), "code", F.col("qid").alias("who"))
-    bucket = ["part", "value", "chunk"]
-    met = kept.unionByName(asked).repartition(n_tasks(spark), *bucket).sortWithinPartitions(*bucket, "probe").mapInArrow(_met(model, radius), "block long, qid long, places array<int>")
-    met = met.join(queries.select("qid", "vec"), "qid").select("block", F.lit(-1).cast("long").alias("at"), "qid", "vec", F.lit(None).cast("array<long>").alias("ids"), "places")
-    rows = table.select("block", "at", F.lit(None).cast("long").alias("qid"), "vec", "ids", F.lit(None).cast("array<int>").alias("places"))
-    together = rows.unionByName(met).repartition(n_tasks(spark), "block").sortWithinPartitions("block", F.asc_nulls_first("qid"), "at")
-    near = together.mapInArrow(_ranked(k), "qid long, dist array<double>, ids array<long>")
+    """(qid, dist, id): for each of `queries` (qid, code, vec), its k nearest ids among all rows of `table` whose code is within the radius. entries: the table's index."""
+    blocks = entries.agg(F.max("block")).first()[0] + 1
+    names = {"code": "long", "vec": dict(table.dtypes)["vec"], "ids": "array<long>", "starts": "array<int>", "places": "array<int>"}
+
+    def laid(rows: DataFrame, kind: int, key: str) -> DataFrame:
+        return rows.select("block", F.lit(kind).alias("kind"), F.col(key).cast("long").alias("key"), *[c if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in names.items()])
+
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "qid", "code", "vec")
+    together = laid(table, 0, "rid").unionByName(laid(entries, 1, "part")).unionByName(laid(asked, 2, "qid"))
+    # Few blocks of one size: over more tasks than blocks, fewer of them meet in one.
+    together = together.repartition(max(n_tasks(table.sparkSession), 4 * blocks), "block").sortWithinPartitions("block", "kind", "key")
+    near = together.mapInArrow(_visited(model, radius, k), "qid long, dist array<double>, ids array<long>")
     near = near.select("qid", F.inline(F.arrays_zip(F.col("dist"), F.col("ids").alias("id"))).alias("dist", "id"))
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("dist", "id"))).where(F.col("rank") <= k)
     return near.select("qid", "dist", "id")
@@ -346,18 +361,20 @@ def nearest(table: DataFrame, is_query: str, k: int = 10, recall: float = 0.97,
     vectors, members = classes(rows, k + 1)
     model, x = fit(vectors, sample=sample)
     model = calibrated(model, x, vectors, k, recall)
-    placed = coded(vectors, model)
-    entries = index(placed, model)
     queries = stored(members.where(is_query))
-    left = stored(queries.select(F.col("rid").alias("qid")).distinct().join(placed.select(F.col("rid").alias("qid"), "code", "vec"), "qid"))
-    want, radius, found = min(k + 1, length.m), model.radius, []
-    while not left.isEmpty():
+    placed = coded(vectors, model, queries.count())
+    entries = stored(index(placed, model))
+    asked = rows.where(is_query).join(queries, "id").select(F.col("rid").alias("qid"), "vec").dropDuplicates(["qid"])
+    left = stored(with_codes(asked, model))
+    want, found = min(k + 1, length.m), []
+    for radius in sorted({model.radius, BITS}):
+        if left.isEmpty():
+            break
         near = stored(within_radius(model, radius, placed, entries, left, k + 1).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("dist", "id"))).alias("near")))
         near = near.where(F.size("near") >= want) if radius < BITS else near
         found.append(near)
-        if radius >= BITS:
-            break
-        left, radius = stored(left.join(near, "qid", "left_anti")), min(BITS, radius + max(8, radius // 2))
+        if radius < BITS:
+            left = stored(left.join(near, "qid", "left_anti"))
     if not found:
         return spark.createDataFrame([], schema)
     every = found[0]
