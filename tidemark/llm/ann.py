@@ -297,12 +297,13 @@ def _visited(model: Model, radius: int, k: int):
                     lists.append(ids)
                 elif kinds[lo] == 1:
                     parts += [(s.values.to_numpy(), p.values.to_numpy()) for s, p in zip(starts, places, strict=True)]
-                elif rows:
+                elif rows or ready:
                     if ready is None:
                         codes, x = (np.concatenate(c) for c in zip(*rows, strict=True))
-                        rows, ready = True, ([(s, p, codes[p]) for s, p in parts], x, _norms(x), pa.concat_arrays(lists))
-                    own, x, norms, copies = ready
-                    ends, same = copies.offsets.to_numpy(), copies.values.to_numpy()
+                        copies = pa.concat_arrays(lists)
+                        ready = [(s, p, codes[p]) for s, p in parts], x, _norms(x), copies.offsets.to_numpy(), copies.values.to_numpy()
+                        rows, lists, parts = [], [], []
+                    own, x, norms, ends, same = ready
                     asked, queries, qids = code.to_numpy().astype(np.uint64), _matrix(vec, None), key.to_pylist()
                     for i in range(0, len(asked), step := max(1, MOST_ENTRIES // len(x))):
                         marked = _marked(model, radius, masks, own, asked[i : i + step])
